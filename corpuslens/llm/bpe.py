@@ -1,6 +1,6 @@
 """Byte-level BPE with a hierarchical-bitmap rank queue.
 
-All pre-tokens of a slice of texts that this worker hasn't met lately are laid side by side in one byte buffer. A
+All pre-tokens in the words of a slice of texts that this worker hasn't met lately are laid side by side in one byte buffer. A
 linked list runs through its tokens; for each merge rank a bucket holds the list positions whose pair has that rank,
 and a three-level bitmap over the ranks finds the next one by find-first-set. Entries whose pair has changed meanwhile
 are stale and skipped. A merge costs the same in a pre-token of ten bytes and of ten million.
@@ -9,6 +9,7 @@ are stale and skipped. A merge costs the same in a pre-token of ten bytes and of
 from __future__ import annotations
 
 import base64
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -20,8 +21,9 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.arrowmap import with_columns
 
-#: Pre-tokens whose ids a worker keeps between slices, and characters of text in a slice.
+#: Words whose ids a worker keeps between slices, and characters of text in a slice.
 KEPT, SLICE = 300_000, 1 << 20
+DOUBLE = re.compile(r"\s\s|^\s|\s\Z")
 
 
 class RankQueue:
@@ -71,9 +73,11 @@ class Vocabulary:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.size = max(self.ranks.values()) + 1
         self.pattern = regex.compile(pattern)
-        self.bytes = [b""] * self.size
-        for token, rank in self.ranks.items():
-            self.bytes[rank] = token
+        tokens = sorted((rank, token) for token, rank in self.ranks.items())
+        self.length = np.zeros(self.size, np.int64)
+        self.length[[r for r, _ in tokens]] = [len(t) for _, t in tokens]
+        self.offset = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(t for _, t in tokens), np.uint8)
         self.single = np.array([self.ranks[bytes([i])] for i in range(256)])
         self.pair = np.full(1 << 16, self.size, np.int64)
         for token, rank in self.ranks.items():
@@ -149,6 +153,11 @@ class Vocabulary:
             out[i] = x
         return out
 
+    def words(self, text: str) -> list[str]:
+        """text cut before each single space, those spaces left out. No pre-token reaches across such a space, and the
+        pattern takes what follows it, with the space, as it would alone. Where white space is not single, one part."""
+        return [text] if DOUBLE.search(text) else text.split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids, as little-endian unsigned 32-bit integers."""
         out: list[bytes] = []
@@ -160,21 +169,41 @@ class Vocabulary:
                 end += 1
             if len(self.kept) > KEPT:
                 self.kept.clear()
-            split = [self.pattern.findall(t) for t in texts[at:end]]
+            split = [self.words(t) for t in texts[at:end]]
             new = set()
             for x in split:
-                new.update(x)
+                new.update(x[1:])
             new = [w for w in new if w not in self.kept]
-            for w, ids in zip(new, self.merge([w.encode() for w in new]), strict=True):
-                self.kept[w] = ids.tobytes()
+            firsts = [x[0] for x in split]
+            parts = [self.pattern.findall(w) for w in firsts] + [self.pattern.findall(" " + w) for w in new]
+            ids = self.merge([p.encode() for x in parts for p in x])
+            done, k = [], 0
+            for x in parts:
+                done.append(ids[k].tobytes() if len(x) == 1 else b"".join([i.tobytes() for i in ids[k : k + len(x)]]))
+                k += len(x)
+            self.kept.update(zip(new, done[len(firsts) :], strict=True))
             get = self.kept.__getitem__
-            out += [b"".join(map(get, x)) for x in split]
+            out += [done[i] + b"".join(map(get, x[1:])) for i, x in enumerate(split)]
             at = end
         return out
 
-    def decode(self, ids: bytes) -> bytes:
-        table = self.bytes
-        return b"".join([table[i] for i in np.frombuffer(ids, "<u4").tolist()])
+    def decode(self, many: list[bytes]) -> list[bytes]:
+        """Of each list of ids, as encode() gives them, the bytes it stands for."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(many):
+            end, size = at, 0
+            while end < len(many) and (end == at or size + len(many[end]) <= SLICE):
+                size += len(many[end])
+                end += 1
+            ids = np.frombuffer(b"".join(many[at:end]), "<u4")
+            length = self.length[ids]
+            stops = np.cumsum(length)
+            data = self.flat[np.repeat(self.offset[ids] - (stops - length), length) + np.arange(length.sum())].tobytes()
+            cuts = np.concatenate([[0], stops])[np.cumsum([0] + [len(x) // 4 for x in many[at:end]])].tolist()
+            out += [data[a:b] for a, b in zip(cuts, cuts[1:])]
+            at = end
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -203,8 +232,9 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", decoded:
     """docs with a binary column of the bytes that the ids stand for; null for null."""
 
     def make(batch: pa.RecordBatch) -> list:
-        v = vocabulary(path, pattern)
-        return [[None if x is None else v.decode(x) for x in batch.column(ids).to_pylist()]]
+        column = batch.column(ids)
+        out = vocabulary(path, pattern).decode(pc.fill_null(column, b"").to_pylist())
+        return [[x if there else None for x, there in zip(out, column.is_valid().to_pylist(), strict=True)]]
 
     return with_columns(docs, f"`{decoded}` binary", make)
 
