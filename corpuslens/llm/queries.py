@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, decontam, wavelet
+from corpuslens.llm import bpe, decontam, neardup, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -64,3 +64,28 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = wavelet.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2, words_apart=True)
     return docs.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)
+
+
+ORACLE_SQL["op4_minhash_neardup"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) = 1 THEN w
+             ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS sh FROM w),
+n AS (SELECT doc_id, len(sh) AS n, sh FROM s),
+u AS (SELECT doc_id, n, unnest(sh) AS x FROM n),
+f AS (SELECT x FROM u GROUP BY x HAVING count(*) > 1),
+v AS (SELECT doc_id, n, x FROM u SEMI JOIN f USING (x)),
+links AS (SELECT a.doc_id AS p, b.doc_id AS q FROM v a JOIN v b ON a.x = b.x AND a.doc_id < b.doc_id
+          WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)
+          GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT p, q FROM links UNION SELECT q, p FROM links),
+reach(id, r) AS (SELECT p, p FROM e UNION SELECT reach.id, e.q FROM reach JOIN e ON e.p = reach.r),
+c AS (SELECT id, min(r) AS m FROM reach GROUP BY id)
+SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(c.m, n.doc_id) AS component_id, coalesce(c.m, n.doc_id) = n.doc_id AS kept
+FROM n LEFT JOIN c ON c.id = n.doc_id
+"""
