@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, decontam, neardup, wavelet
+from corpuslens.llm import bpe, decontam, dedup, neardup, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -89,3 +89,15 @@ c AS (SELECT id, min(r) AS m FROM reach GROUP BY id)
 SELECT n.doc_id, CAST(n.n AS BIGINT) AS n_shingles, coalesce(c.m, n.doc_id) AS component_id, coalesce(c.m, n.doc_id) = n.doc_id AS kept
 FROM n LEFT JOIN c ON c.id = n.doc_id
 """
+
+
+@query
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.exact_duplicates(table(spark, sf_dir, "documents")).drop("locator")
+
+
+ORACLE_SQL["op10_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS p FROM documents),
+g AS (SELECT p, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id) AS keep_id FROM t GROUP BY p)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(p) AS text_sha256 FROM t JOIN g USING (p)
+"""
