@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, decontam, dedup, neardup, wavelet
+from corpuslens.llm import bpe, decontam, dedup, neardup, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -55,8 +55,7 @@ FROM dw LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    encoded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
-    done = bpe.decode(encoded, path, pattern)
+    done = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern)
     return done.select("doc_id", bpe.count().alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -101,3 +100,16 @@ WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coales
 g AS (SELECT p, count(*) AS group_size, first(doc_id ORDER BY n DESC, doc_id) AS keep_id FROM t GROUP BY p)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(p) AS text_sha256 FROM t JOIN g USING (p)
 """
+
+
+def fold(parts: int) -> Column:
+    """crc32 of doc_id as text, modulo parts."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % parts
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=fold(3) != 1)
+    found = toxicity.score(docs, model)
+    return found.select("doc_id", (fold(3) == 1).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic").cast("int").alias("predicted"), F.col("toxic_segments").alias("segments"))

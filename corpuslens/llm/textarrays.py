@@ -87,10 +87,14 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.n
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, without regard to the case of A-Z; it depends on the word's bytes only."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of each word, without regard to the case of A-Z; it depends on the word's bytes only.
+
+    With prefixes, a row for the whole words and one for each of these numbers of leading bytes; 0 for words that are no
+    longer.
+    """
     if not len(starts):
-        return np.zeros(0, np.uint64)
+        return np.zeros((1 + len(prefixes), 0) if prefixes else 0, np.uint64)
     n = int(ends[-1])
     at = np.zeros(n, np.int64)
     at[starts] = starts
@@ -100,4 +104,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     weight *= BYTE[data[:n]]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(weight, out=total[1:])
-    return mix((total[ends] - total[starts]) ^ (lengths.astype(np.uint64) << np.uint64(48)))
+    whole = mix((total[ends] - total[starts]) ^ (lengths.astype(np.uint64) << np.uint64(48)))
+    if not prefixes:
+        return whole
+    out = [whole]
+    for m in prefixes:
+        part = mix((total[np.minimum(starts + m, n)] - total[starts]) ^ np.uint64((m << 48) + (1 << 60)))
+        out.append(np.where(lengths > m, part, np.uint64(0)))
+    return np.stack(out)
+
+
+def lowered(column: pa.Array) -> pa.Array:
+    """Lower-case texts in which what is neither ASCII nor a letter is a space."""
+    return pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(column, "")), r"[^\x00-\x7F\p{L}\p{M}]+", " ")
