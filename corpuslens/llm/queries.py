@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, decontam, dedup, neardup, toxicity, wavelet
+from corpuslens.llm import bpe, decontam, dedup, langid, neardup, toxicity, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -113,3 +113,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=fold(3) != 1)
     found = toxicity.score(docs, model)
     return found.select("doc_id", (fold(3) == 1).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic").cast("int").alias("predicted"), F.col("toxic_segments").alias("segments"))
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.select("doc_id", "text", "lang"), train=fold(4) != 2)
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_parts").alias("parts"))
