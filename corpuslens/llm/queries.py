@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, decontam, dedup, langid, neardup, toxicity, wavelet
+from corpuslens.llm import bpe, decontam, dedup, langid, neardup, toxicity, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -121,3 +121,19 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = langid.fit(docs.select("doc_id", "text", "lang"), train=fold(4) != 2)
     found = langid.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", (fold(4) == 2).alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_parts").alias("parts"))
+
+
+@query
+def op2_warc_salvage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages").select("page_id", "url", "html"), payloads=False)
+    return found.where("reason IS NULL").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL["op2_warc_salvage"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, max(page_id) AS last FROM p WHERE strlen(h) >= 1000 GROUP BY h)
+SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN last <> page_id THEN last END AS refers_to
+FROM p LEFT JOIN g USING (h)
+"""
