@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, decontam, dedup, langid, neardup, toxicity, warc, wavelet
+from corpuslens.llm import bpe, decontam, dedup, langid, neardup, secrets, toxicity, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -137,3 +137,40 @@ SELECT page_id, strlen(h) AS payload_bytes, sha1(h) AS payload_digest,
        CASE WHEN last <> page_id THEN last END AS refers_to
 FROM p LEFT JOIN g USING (h)
 """
+
+
+@query
+def op9_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *[count(k) for k in secrets.BASE], F.sha2(secrets.listed(base).cast("binary"), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans"))
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+ORACLE_SQL["op9_secret_links"] = f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(f"SELECT doc_id, {_sql(k)} AS kind, {i} AS rank, regexp_extract_all(text, {_sql(p)}) AS ms, string_split_regex(text, {_sql(p)}) AS ps FROM t" for i, (k, p) in enumerate(secrets.PATTERNS.items()))}),
+r AS (SELECT doc_id, kind, rank, unnest(range(1, len(ms) + 1)) AS i, ms, ps FROM m WHERE len(ms) > 0),
+h AS (SELECT doc_id, kind, rank, i, ms[i] AS s, length(ps[i]) AS gap, length(ms[i]) AS n FROM r),
+c AS (SELECT *, sum(gap + n) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e FROM h),
+v AS (SELECT doc_id, kind, rank, CAST(e - n AS BIGINT) AS b, CAST(e AS BIGINT) AS e FROM c
+      WHERE CASE kind WHEN 'assign' THEN length(regexp_extract(s, {_sql(secrets.PATTERNS["assign"])}, 2)) >= 6
+                      WHEN 'access' THEN n >= 20 WHEN 'hex' THEN n >= 24
+                      WHEN 'secret' THEN regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]') AND regexp_matches(s, '[0-9]') ELSE true END),
+base AS (SELECT * FROM v WHERE rank < 3),
+weak AS (SELECT w.* FROM v w WHERE w.rank >= 3
+    AND EXISTS (SELECT 1 FROM v o WHERE o.doc_id = w.doc_id AND greatest(o.b, w.b) - least(o.e, w.e) BETWEEN 0 AND {secrets.SCOPE}
+        AND CASE w.kind WHEN 'secret' THEN o.kind IN ('access', 'ident', 'endpoint') ELSE o.kind IN ('assign', 'hex', 'secret') END)
+    AND NOT EXISTS (SELECT 1 FROM base o WHERE o.doc_id = w.doc_id AND greatest(o.b, w.b) < least(o.e, w.e))),
+a AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
+g AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+      string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) FILTER (rank < 3) AS bs,
+      string_agg(kind || ':' || b || ':' || e, ',' ORDER BY b, rank) AS spans FROM a GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(bs, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM t LEFT JOIN g USING (doc_id)
+"""
