@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, decontam, dedup, langid, neardup, secrets, toxicity, warc, wavelet
+from corpuslens.llm import bpe, decontam, dedup, langid, neardup, secrets, token_counts, toxicity, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -174,3 +174,12 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
        sha256(coalesce(bs, '')) AS base_sha256, coalesce(spans, '') AS spans
 FROM t LEFT JOIN g USING (doc_id)
 """
+
+
+@query
+def op7_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after its runs of four or more digits are masked."""
+    path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", token_counts.replacements("text", "[0-9]{4,}", "<number>"))
+    built = token_counts.build(docs, path, pattern).withColumn("n_before", F.col("n_tokens"))
+    return token_counts.edit(built, path, pattern).select("doc_id", "n_before", F.size("edits").cast("bigint").alias("n_edits"), F.col("n_tokens").alias("n_after"), "n_encoded")
