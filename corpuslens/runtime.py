@@ -39,8 +39,15 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows go to Python workers in batches of so many bytes, unless the session says otherwise: texts can be very long.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Let Python workers that start from another folder import this package."""
+    """Let Python workers that start from another folder import this package, and bound what they get at once."""
+    if int(spark.conf.get(_BATCH, str(2**31 - 1))) >= 64 << 20:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
