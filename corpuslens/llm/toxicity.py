@@ -244,3 +244,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return [scores, [p >= THRESHOLD for p in scores], found]
 
     return with_columns(without(docs, "toxic_score", "toxic", "toxic_segments"), f"toxic_score double, toxic boolean, toxic_segments {SEGMENTS}", make)
+
+
+def reject(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs that aren't toxic, with their own columns, whatever their names."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make(batch: pa.RecordBatch) -> list:
+        m = held.value
+        if not hasattr(m, "table"):
+            m.table = m.dense()
+        return [[probability(_evidence(n, x, m)[0], m) >= THRESHOLD for n, x in _scan(batch.column("text"), m.table)]]
+
+    return with_columns(docs, "__toxic boolean", make).where("NOT __toxic").drop("__toxic")
