@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 
 from corpuslens.runtime import materialise, new_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the stream while it starts: state in RocksDB, of which changes are uploaded; no space is set aside for it
+#: on disk, since there is a store for each partition.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 WHITE = " \t\n\x0b\x0c\r"
 
 
@@ -48,16 +54,15 @@ def run_stream(spark: SparkSession, folder: str, schema, files_per_batch: int =
     def store(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
     try:
+        for k, v in STATE.items():
+            spark.conf.set(k, v)
         query = keep_state(stream).writeStream.outputMode("update").foreachBatch(store).option("checkpointLocation", state).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     kind = keep_state(spark.createDataFrame([], schema)).schema.add("batch", "long")
     updates = spark.read.schema(kind).parquet(out)
     last = updates.groupBy("sha256", "n_bytes").agg(F.max("batch").alias("batch"))
