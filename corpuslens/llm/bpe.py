@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm.arrowmap import with_columns
 
 #: Words whose ids a worker keeps between slices, and characters of text in a slice.
-KEPT, SLICE = 300_000, 1 << 20
+KEPT, SLICE = 600_000, 1 << 20
 DOUBLE = re.compile(r"\s\s|^\s|\s\Z")
 
 
@@ -35,13 +35,6 @@ class RankQueue:
         self.mid = [0] * ((n >> 12) + 1)
         self.top = 0
 
-    def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.fill(rank, [position])
-        else:
-            bucket.append(position)
-
     def fill(self, rank: int, positions: list[int]) -> None:
         self.buckets[rank] = positions
         self.low[rank >> 6] |= 1 << (rank & 63)
@@ -111,11 +104,13 @@ class Vocabulary:
         queue = RankQueue(self.size)
         order = np.argsort(rank, kind="stable")
         order = order[: np.searchsorted(rank[order], self.size)]
-        cuts = np.flatnonzero(np.diff(rank[order])) + 1
-        for group in np.split(order, cuts) if len(order) else []:
-            queue.fill(int(rank[group[0]]), group.tolist())
+        sorted_ranks = rank[order]
+        heads = np.flatnonzero(np.diff(sorted_ranks, prepend=-1))
+        places, bounds = order.tolist(), [*heads.tolist(), len(order)]
+        for r, a, b in zip(sorted_ranks[heads].tolist(), bounds, bounds[1:], strict=False):
+            queue.fill(r, places[a:b])
         of, first = rank.tolist(), first.tolist()
-        get, push, none = ranks.get, queue.push, self.size
+        get, buckets, fill, none = ranks.get, queue.buckets, queue.fill, self.size
         while (entry := queue.pop()) is not None:
             r, bucket = entry
             for k, p in enumerate(bucket):
@@ -131,14 +126,22 @@ class Vocabulary:
                 else:
                     q = of[p] = get(buf[p : after[e]], none)
                     if q != none:
-                        push(q, p)
-                        least = q
+                        if q in buckets:
+                            buckets[q].append(p)
+                        else:
+                            fill(q, [p])
+                        if q < r:
+                            least = q
                 if not first[p]:
                     b = before[p]
                     q = of[b] = get(buf[b:e], none)
                     if q != none:
-                        push(q, b)
-                        least = min(least, q)
+                        if q in buckets:
+                            buckets[q].append(b)
+                        else:
+                            fill(q, [b])
+                        if q < r:
+                            least = q
                 if least < r:  # a lower rank has come up: it goes first
                     if rest := bucket[k + 1 :]:
                         if r in queue.buckets:
@@ -228,6 +231,17 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: st
     return with_columns(docs, f"`{ids}` binary", make)
 
 
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """encode() and decode() of its ids, by one worker for a batch."""
+
+    def make(batch: pa.RecordBatch) -> list:
+        v = vocabulary(path, pattern)
+        encoded = v.encode(pc.fill_null(batch.column(text), "").to_pylist())
+        return [encoded, v.decode(encoded)]
+
+    return with_columns(docs, f"`{ids}` binary, `{decoded}` binary", make)
+
+
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """docs with a binary column of the bytes that the ids stand for; null for null."""
 
