@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -23,14 +24,14 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpuslens.llm.arrowmap import with_columns
 from corpuslens.runtime import materialise, new_path, ship_package
 
 MAGIC = b"CLWMv1\0\0"
 #: A file is closed once it holds so many tokens; a document is never split.
 SHARD_TOKENS = 8 << 20
 #: Words whose ids a worker keeps between batches, and characters encoded at once.
-KEPT, SLICE = 300_000, 1 << 20
+KEPT, SLICE = 1_200_000, 1 << 20
+SIGNS = re.compile(r"(?:[^\w\s]|_)[.,]")
 
 
 class Bits:
@@ -74,20 +75,26 @@ class WaveletMatrix:
         ids = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes = []
         for level in range(width - 1, -1, -1):
-            bit = (ids >> level) & 1
-            planes.append(np.packbits(bit.view(np.uint8)[:: bit.itemsize], bitorder="little"))
-            bit = bit.astype(bool)
-            ids = np.concatenate([ids[~bit], ids[bit]])
+            bit = (ids & ids.dtype.type(1 << level)) != 0
+            planes.append(np.packbits(bit, bitorder="little"))
+            below = np.empty_like(ids)
+            zeros = len(ids) - int(np.count_nonzero(bit))
+            np.compress(bit, ids, out=below[zeros:])
+            np.compress(np.logical_not(bit, out=bit), ids, out=below[:zeros])
+            ids = below
         return cls(len(ids), planes)
 
     def all(self) -> np.ndarray:
         """Every id, by undoing the partitions from the last plane up."""
-        ids = np.zeros(self.n, np.uint32)
+        kind = np.uint16 if len(self.packed) <= 16 else np.uint32
+        ids = np.zeros(self.n, kind)
         for level, packed in enumerate(reversed(self.packed)):
             bit = np.unpackbits(packed, count=self.n, bitorder="little").view(bool)
             zeros = self.n - int(np.count_nonzero(bit))
+            ids[zeros:] |= kind(1 << level)
             up = np.empty_like(ids)
-            up[~bit], up[bit] = ids[:zeros], ids[zeros:] | np.uint32(1 << level)
+            up[bit] = ids[zeros:]
+            up[np.logical_not(bit, out=bit)] = ids[:zeros]
             ids = up
         return ids
 
@@ -177,12 +184,34 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        #: upper-case ASCII letters come to the same ids, so that one of the two is kept
+        self.lowers = all(self.whole([x])[0] == self.whole([x.lower()])[0] for x in map(chr, range(65, 91)))
+        #: letters and digits are parted from commas and full stops
+        self.cuts = all(self.whole([a + b + c])[0] == self.whole([f"{a} {b}{c}"])[0] for a in "a1 " for b in ",." for c in ("", "b", "2", "'s", ";."))
         self.kept: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def apart(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, from one call for all of them: a token belongs to the word in which it begins."""
+        found = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        starts = np.cumsum([0] + [len(w) + 1 for w in words])
+        begin = np.fromiter((a for a, _ in found.offsets), np.int64, len(found))
+        cuts = (4 * np.searchsorted(begin, starts)).tolist()
+        ids = np.array(found.ids, "<u4").tobytes()
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:])]
+
+    def words(self, text: str) -> list[str]:
+        """Parts that the tokenizer encodes alike alone: between spaces and line feeds, and before a comma or full stop that ends no run of signs."""
+        if self.lowers and text.isascii():
+            text = text.lower()
+        if self.cuts and not SIGNS.search(text):
+            text = text.replace(",", " ,").replace(".", " .")
+        return text.replace("\n", " ").split(" ")
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Of each text its ids; what stands between spaces and line feeds is encoded apart."""
         out, at = [], 0
         while at < len(texts):
             end, size = at, 0
@@ -191,12 +220,12 @@ class WordEncoder:
                 end += 1
             if len(self.kept) > KEPT:
                 self.kept.clear()
-            split = [t.replace("\n", " ").split(" ") for t in texts[at:end]]
+            split = [self.words(t) for t in texts[at:end]]
             new = set()
             for x in split:
                 new.update(x)
             new = [w for w in new if w not in self.kept]
-            self.kept.update(zip(new, self.whole(new), strict=True))
+            self.kept.update(zip(new, self.apart(new), strict=True))
             out += [b"".join(map(self.kept.__getitem__, x)) for x in split]
             at = end
         return out
@@ -207,20 +236,6 @@ def encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
-def encode(docs: DataFrame, path: str, words_apart: bool, text: str = "text", ids: str = "ids") -> DataFrame:
-    """docs with a binary column of ids (little-endian unsigned 32-bit integers) from the tokenizers library, without special tokens.
-
-    words_apart: the tokenizer drops white space, so what stands between spaces and line feeds may be encoded apart;
-    else whole texts are passed to the library. Null and empty texts have no ids.
-    """
-
-    def make(batch: pa.RecordBatch) -> list:
-        texts = pc.fill_null(batch.column(text), "").to_pylist()
-        return [encoder(path).encode(texts) if words_apart else encoder(path).whole(texts)]
-
-    return with_columns(docs, f"`{ids}` binary", make)
-
-
 def _put(folder: str, name: str, data: bytes) -> None:
     """A whole file or none, also when several attempts write it."""
     from pyarrow import fs
@@ -236,7 +251,8 @@ def _put(folder: str, name: str, data: bytes) -> None:
 def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None, words_apart: bool = False, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """Encode docs (doc_id, text) and write shard files in ascending doc_id order to folder, a URI all machines share.
 
-    The texts are dealt out by ranges of doc_id, sorted within each (ties by text), encoded and written as they come.
+    words_apart: the tokenizer drops white space, so what stands between spaces and line feeds is encoded apart; else
+    whole texts are passed to the library. The texts are dealt out by ranges of doc_id, sorted within each (ties by text), encoded and written as they come.
     end_id, if any, ends each document; null and empty texts have no other id. Null doc_ids come first. Files are named
     by range and number, so a task that runs again replaces its own. Returns the list of files: part, shard,
     tokens_before (in this part), n_tokens, n_docs, file.
@@ -245,7 +261,6 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None, wo
     ship_package(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
-    encoded = encode(dealt, path, words_apart).select("doc_id", "ids")
     last = b"" if end_id is None else struct.pack("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +279,8 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None, wo
 
         size = 0
         for batch in batches:
-            for doc, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            texts = pc.fill_null(batch.column(1), "").to_pylist()
+            for doc, ids in zip(batch.column(0).to_pylist(), encoder(path).encode(texts) if words_apart else encoder(path).whole(texts), strict=True):
                 held.append((doc, ids + last))
                 size += len(ids) // 4 + 1
                 if size >= shard_tokens:
@@ -273,7 +289,7 @@ def write_shards(docs: DataFrame, folder: str, path: str, end_id: int | None, wo
         if held:
             yield close()
 
-    return materialise(encoded.mapInArrow(run, "part bigint, shard bigint, tokens_before bigint, n_tokens bigint, n_docs bigint, file string"), "shards")
+    return materialise(dealt.mapInArrow(run, "part bigint, shard bigint, tokens_before bigint, n_tokens bigint, n_docs bigint, file string"), "shards")
 
 
 def read_shards(spark: SparkSession, folder: str, shards: DataFrame) -> DataFrame:
