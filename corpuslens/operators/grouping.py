@@ -19,12 +19,12 @@ def pairs_of(ids: DataFrame, articles: DataFrame, threshold: float = 0.8) -> Dat
 def one_hop(pairs: DataFrame) -> DataFrame:
     """group (of the seed pair), a, b, similarity: greedy groups around seed pairs.
 
-    In order of similarity (ties by ids), a pair whose ends are both free seeds a group; all pairs of free ends that
-    touch a seed's end join it, and their ends are free no more. Per round all pairs that come first among those that
-    touch them, or touch a pair that does, are seeds at once, which gives the same groups.
+    In order of similarity (ties by ids), a pair whose ends are both free seeds a group; all pairs that touch an end of it
+    join it, and their ends are free no more. Per round all pairs of free ends that come first among those that touch
+    them, or touch a pair that does, are seeds at once, which gives the same groups.
     """
     key = F.struct((-F.col("similarity")).alias("m"), F.col("a").alias("x"), F.col("b").alias("y"))
-    left = materialise(pairs.select("a", "b", "similarity", key.alias("k")).distinct(), "pairs")
+    everything = left = materialise(pairs.select("a", "b", "similarity", key.alias("k")).distinct(), "pairs")
     out = None
     while not left.isEmpty():
         ends = left.select(F.explode(F.array("a", "b")).alias("v"), "k")
@@ -35,7 +35,7 @@ def one_hop(pairs: DataFrame) -> DataFrame:
         full = wide.join(reach.withColumnRenamed("v", "a").withColumnRenamed("n2", "fa"), "a").join(reach.withColumnRenamed("v", "b").withColumnRenamed("n2", "fb"), "b")
         seeds = materialise(full.where(F.col("k") == F.least("fa", "fb")).select("a", "b", "k"), "seeds")
         owner = seeds.select(F.explode(F.array("a", "b")).alias("v"), F.concat_ws("-", "a", "b").alias("group"))
-        held = left.join(owner.select(F.col("v").alias("a"), F.col("group").alias("ga")), "a", "left").join(owner.select(F.col("v").alias("b"), F.col("group").alias("gb")), "b", "left")
+        held = everything.join(owner.select(F.col("v").alias("a"), F.col("group").alias("ga")), "a", "left").join(owner.select(F.col("v").alias("b"), F.col("group").alias("gb")), "b", "left")
         held = held.withColumn("group", F.coalesce("ga", "gb")).where("group IS NOT NULL")
         taken = materialise(held.select("group", "a", "b", "similarity"), "taken")
         out = taken if out is None else out.unionByName(taken)

@@ -91,7 +91,7 @@ def provider_usage(usage: DataFrame) -> DataFrame:
 def provider_comparison(usage: DataFrame) -> DataFrame:
     """p95 is the element at rank ceil(0.95 n): partial sums are counts of distinct whole milliseconds, of which there are few."""
     n = F.count("*")
-    return usage.groupBy("provider").agg(n.alias("requests"), F.avg("response_time_ms").alias("avg_ms"), F.min("response_time_ms").alias("min_ms"), F.max("response_time_ms").alias("max_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY response_time_ms)").alias("p95_ms"), F.avg("cost_estimate").alias("avg_cost"), F.sum("cost_estimate").alias("cost"), percent(F.count_if("success"), n).alias("success_rate"))
+    return usage.groupBy("provider").agg(n.alias("requests"), F.avg("response_time_ms").alias("avg_ms"), F.min("response_time_ms").alias("min_ms"), F.max("response_time_ms").alias("max_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY response_time_ms)").cast("bigint").alias("p95_ms"), F.avg("cost_estimate").alias("avg_cost"), F.sum("cost_estimate").alias("cost"), percent(F.count_if("success"), n).alias("success_rate"))
 
 
 def cost_savings(usage: DataFrame, dear: str = "hosted", cheap: str = "local", unit: float = 50.0) -> DataFrame:

@@ -7,6 +7,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.runtime import materialise
+
 COURSE = "id bigint, attributes struct<slug:string,name:string,description:string,createdAt:string,updatedAt:string>, _corrupt string"
 ARTICLE = (
     "id bigint, attributes struct<POST_TITLE:string,LINK:string,KOZA_ID:string,description:string,"
@@ -21,7 +23,8 @@ def read_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def quarantine(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Readable rows, and the corrupt ones."""
+    """Readable rows, and the corrupt ones. The parsed documents are kept in the shared folder: the raw files are read once."""
+    df = materialise(df, "parsed")
     return df.where("_corrupt IS NULL").drop("_corrupt"), df.where("_corrupt IS NOT NULL").select("_corrupt")
 
 
