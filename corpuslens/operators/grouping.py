@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.operators.components import connected_components
-from corpuslens.operators.vectors import pair_similarity
+from corpuslens.operators.vectors import similarity_join
 from corpuslens.runtime import materialise
 
 
 def pairs_of(ids: DataFrame, articles: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Pairs (a < b) of a chosen list of ids at or above a threshold."""
-    both = ids.select(F.col("id").alias("a")).join(ids.select(F.col("id").alias("b")), F.col("a") < F.col("b"))
-    return pair_similarity(both, articles, "a", "b").where(F.col("similarity") >= threshold)
+    chosen = articles.join(ids.select("id").distinct(), "id", "left_semi")
+    found = similarity_join(chosen, threshold).where("base_id < similar_id")
+    return found.withColumnsRenamed({"base_id": "a", "similar_id": "b"})
 
 
 def one_hop(pairs: DataFrame) -> DataFrame:

@@ -148,18 +148,18 @@ def z06(t: Tables):
     return sync_metrics(t("v_events"), t("v_courses"), t("v_articles"), SITE, "2024-01-31").select("id", "pageviews", "organic_sessions", "engaged_sessions", F.round("avg_engagement_time", 6).alias("avg_engagement_time"))
 
 
-# table maintenance: the first 300 orders as a table, orders 200 to 399 as changes
+# table maintenance: orders that are not open as a table, those of all but the lowest priority as changes
 
 
 def _old_new(t: Tables):
     o = t("orders")
-    old = o.where("o_orderkey < 600").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("slug"), F.col("o_orderpriority").alias("name"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("last_synced"))
-    new = o.where("o_orderkey >= 400 AND o_orderkey < 800").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("new").alias("slug"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("name"), F.col("o_orderdate").alias("created_at"), as_of().alias("last_synced"))
+    old = o.where("o_orderstatus <> 'O'").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderstatus").alias("slug"), F.col("o_orderpriority").alias("name"), F.col("o_orderdate").alias("created_at"), F.col("o_orderdate").alias("last_synced"))
+    new = o.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderkey").cast("string").alias("id"), F.lit("new").alias("slug"), F.when(F.col("o_orderkey") % 2 == 0, F.col("o_orderpriority")).alias("name"), F.col("o_orderdate").alias("created_at"), as_of().alias("last_synced"))
     return old, new
 
 
-OLDNEW = f"""o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS slug, o_orderpriority AS name, o_orderdate AS created_at FROM orders WHERE o_orderkey < 600),
- n AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, 'new' AS slug, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS name, o_orderdate AS created_at FROM orders WHERE o_orderkey >= 400 AND o_orderkey < 800)"""
+OLDNEW = f"""o AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus AS slug, o_orderpriority AS name, o_orderdate AS created_at FROM orders WHERE o_orderstatus <> 'O'),
+ n AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, 'new' AS slug, CASE WHEN o_orderkey % 2 = 0 THEN o_orderpriority END AS name, o_orderdate AS created_at FROM orders WHERE o_orderpriority <> '5-LOW')"""
 
 
 @query("d01_merge_courses", f"WITH {OLDNEW} SELECT coalesce(o.id, n.id) AS id, coalesce(n.slug, o.slug) AS slug, CASE WHEN n.id IS NULL THEN o.name ELSE n.name END AS name, CAST(coalesce(o.created_at, n.created_at) AS DATE) AS created_on FROM o FULL JOIN n ON o.id = n.id")
@@ -218,14 +218,14 @@ def d09(t: Tables):
     return merge.normalised_cache(rows).drop("cached_at", "expires_at")
 
 
-STATUS = """WITH a AS (SELECT CAST(o_orderkey AS VARCHAR) AS proposal_id, CASE WHEN l_linenumber % 2 = 0 THEN 'approved' ELSE 'rejected' END AS status, l_linenumber AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey % 3 = 0),
+STATUS = """WITH a AS (SELECT CAST(o_orderkey AS VARCHAR) AS proposal_id, CASE WHEN l_linenumber % 2 = 0 THEN 'approved' ELSE 'rejected' END AS status, l_linenumber AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'),
     b AS (SELECT proposal_id, status FROM a QUALIFY row_number() OVER (PARTITION BY proposal_id ORDER BY n DESC, status) = 1)
     SELECT p.proposal_id, coalesce(b.status, p.status) AS status FROM v_proposals p LEFT JOIN b USING (proposal_id)"""
 
 
 @query("d10_proposal_actions", STATUS)
 def d10(t: Tables):
-    o = t("orders").where("o_orderkey % 3 = 0").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    o = t("orders").where("o_orderpriority = '1-URGENT'").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     actions = o.select(F.col("o_orderkey").cast("string").alias("proposal_id"), F.when(F.col("l_linenumber") % 2 == 0, "approved").otherwise("rejected").alias("status"), F.timestamp_seconds(F.col("l_linenumber")).alias("at"))
     p = t("v_proposals").withColumn("updated_at", F.col("created_at").cast("timestamp"))
     return merge.apply_status(p, actions, "proposal_id").select("proposal_id", "status")
@@ -233,7 +233,7 @@ def d10(t: Tables):
 
 @query("d11_group_actions", STATUS.replace("'approved' ELSE 'rejected'", "'executed' ELSE 'pending'").replace("p.proposal_id,", "p.proposal_id AS group_id,"))
 def d11(t: Tables):
-    o = t("orders").where("o_orderkey % 3 = 0").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    o = t("orders").where("o_orderpriority = '1-URGENT'").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
     actions = o.select(F.col("o_orderkey").cast("string").alias("group_id"), F.when(F.col("l_linenumber") % 2 == 0, "executed").otherwise("pending").alias("status"), F.timestamp_seconds(F.col("l_linenumber")).alias("at"))
     g = t("v_proposals").withColumnRenamed("proposal_id", "group_id").withColumn("updated_at", F.col("created_at").cast("timestamp"))
     return merge.apply_status(g, actions, "group_id").select("group_id", "status")

@@ -78,9 +78,9 @@ def j05(t: Tables):
     return near(t).select("id", F.round("similarity", 6).alias("similarity"))
 
 
-@query("j06_chunk_matches", f"WITH {MATCHES} SELECT base_chunk_id, similar_chunk_id, {SIM} FROM m WHERE base_article IN ('1', '2')")
+@query("j06_chunk_matches", f"SELECT a.chunk_id AS base_id, b.chunk_id AS similar_id, round({COS}, 6) AS similarity FROM v_chunks a JOIN v_chunks b ON a.article_id <> b.article_id WHERE {COS} >= 0.2")
 def j06(t: Tables):
-    return jobs.chunk_matches(t("v_chunks"), ["1", "2"], 0.2, 10).select("base_chunk_id", "similar_chunk_id", F.round("similarity", 6).alias("similarity"))
+    return vectors.similarity_join(t("v_chunks"), 0.2, None, "chunk_id", "article_id").withColumns(r6("similarity"))
 
 
 @query("j07_zip_product", f"SELECT a.chunk_id, round(list_dot_product({D.format('a.content_embedding')}, {D.format('a.content_embedding')}), 5) AS squared FROM v_chunks a")
@@ -390,13 +390,13 @@ def z05(t: Tables):
     return jobs.neighbour_analysis(t("v_articles"), "5")[2].withColumns(r6("avg", "max"))
 
 
-@query("u03_merged_neighbours", """WITH f AS (SELECT base_article_id AS base_id, similar_article_id AS similar_id, similarity_score AS similarity FROM v_cache WHERE CAST(similar_article_id AS INTEGER) % 2 = 0),
+@query("u03_merged_neighbours", """WITH f AS (SELECT base_article_id AS base_id, similar_article_id AS similar_id, similarity_score AS similarity FROM v_cache WHERE similarity_score >= 0.5),
     g AS (SELECT base_article_id AS base_id, similar_article_id AS similar_id, similarity_score AS similarity FROM v_cache),
     e AS (SELECT g.* FROM g LEFT JOIN (SELECT base_id, count(*) AS c FROM f GROUP BY 1) USING (base_id) WHERE coalesce(c, 0) < 2.5 AND (base_id, similar_id) NOT IN (SELECT (base_id, similar_id) FROM f)),
     u AS (SELECT *, 0 AS o FROM f UNION ALL SELECT *, 1 FROM e) SELECT base_id, similar_id, similarity FROM u QUALIFY row_number() OVER (PARTITION BY base_id ORDER BY o, similarity DESC, similar_id) <= 5""")
 def u03(t: Tables):
     g = t("v_cache").select(F.col("base_article_id").alias("base_id"), F.col("similar_article_id").alias("similar_id"), F.col("similarity_score").alias("similarity"))
-    return vectors.merge_neighbours(g.where("CAST(similar_id AS INT) % 2 = 0"), g, 5).drop("rank")
+    return vectors.merge_neighbours(g.where("similarity >= 0.5"), g, 5).drop("rank")
 
 
 LINKS = "SELECT base_article_id AS a, similar_article_id AS b, similarity_score AS similarity FROM v_cache WHERE similarity_score >= 0.8"
@@ -406,10 +406,10 @@ def links(t: Tables):
     return t("v_cache").where("similarity_score >= 0.8").select(F.col("base_article_id").alias("a"), F.col("similar_article_id").alias("b"), F.col("similarity_score").alias("similarity"))
 
 
-@query("g01_pairs_of_list", f"SELECT a.id AS a, b.id AS b, round({COS}, 6) AS similarity FROM v_articles a JOIN v_articles b ON a.id < b.id WHERE length(a.id) = 2 AND length(b.id) = 2 AND a.content_embedding IS NOT NULL AND b.content_embedding IS NOT NULL AND {COS} >= 0.2")
+@query("g01_pairs_of_list", f"SELECT a.id AS a, b.id AS b, round({COS}, 6) AS similarity FROM v_articles a JOIN v_articles b ON a.id < b.id WHERE a.koza_id = 'src1' AND b.koza_id = 'src1' AND a.content_embedding IS NOT NULL AND b.content_embedding IS NOT NULL AND {COS} >= 0.1")
 def g01(t: Tables):
     a = t("v_articles")
-    return grouping.pairs_of(a.where("length(id) = 2").select("id"), a, 0.2).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return grouping.pairs_of(a.where("koza_id = 'src1'").select("id"), a, 0.1).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query("g02_one_hop_groups")

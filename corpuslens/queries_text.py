@@ -12,7 +12,6 @@ from corpuslens.runtime import new_path
 PLAIN = "regexp_replace(html, '<[^>]*>', ' ', 'g')"
 for entity, char in (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&hellip;", "…"), ("&mdash;", "—")):
     PLAIN = f"replace({PLAIN}, '{entity}', '{char}')"
-WORDS = "doc_id % 5 = 0"
 
 
 def docs(t: Tables):
@@ -107,10 +106,9 @@ def t18(t: Tables):
     return docs(t).select("doc_id", tx.keyword_marks(planted(), tx.FIELD_KEYWORDS["legal"]).alias("text"))
 
 
-@query("t19_labelled", "SELECT doc_id, 'タイトル: ' || lang || chr(10) || chr(10) || '講座: ' || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '分野: 法律' ELSE '' END || chr(10) || chr(10) || '内容: ' || left(text, 20) AS text FROM documents WHERE left(text, 20) = trim(left(text, 20), ' ')")
+@query("t19_labelled", "SELECT doc_id, 'タイトル: ' || lang || chr(10) || chr(10) || '講座: ' || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '分野: 法律' ELSE '' END || CASE WHEN trim(left(text, 20), ' ') <> '' THEN chr(10) || chr(10) || '内容: ' || trim(left(text, 20), ' ') ELSE '' END AS text FROM documents")
 def t19(t: Tables):
-    rows = docs(t).where("left(text, 20) = trim(left(text, 20))")
-    return rows.select("doc_id", tx.labelled(F.col("lang"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, "legal").otherwise("general"), F.left("text", F.lit(20)), F.lit("")).alias("text"))
+    return docs(t).select("doc_id", tx.labelled(F.col("lang"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, "legal").otherwise("general"), F.left("text", F.lit(20)), F.lit("")).alias("text"))
 
 
 NORMAL = "text || ' http://a.b/c x@y.zz ！！ ☆'"
