@@ -129,8 +129,11 @@ def string_id(value: Column) -> Column:
 
 def field_of(course_name: Column, course_slug: Column, content: Column, title: Column) -> Column:
     """Subject field: by the course's name or slug, else by most keywords in the text (the first field wins ties), else general."""
-    name, slug = F.lower(F.coalesce(course_name, F.lit(""))), F.lower(F.coalesce(course_slug, F.lit("")))
-    text = F.lower(F.concat(F.coalesce(content, F.lit("")), F.lit(" "), F.coalesce(title, F.lit(""))))
+    return field_of_lower(F.lower(F.coalesce(course_name, F.lit(""))), F.lower(F.coalesce(course_slug, F.lit(""))), F.lower(F.concat(F.coalesce(content, F.lit("")), F.lit(" "), F.coalesce(title, F.lit("")))))
+
+
+def field_of_lower(name: Column, slug: Column, text: Column) -> Column:
+    """field_of() of lower-case texts, which should be columns: each is looked at for every keyword."""
     hits = [F.struct(sum((F.contains(text, F.lit(k)).cast("int") for k in ks), F.lit(0)).alias("n"), F.lit(-i).alias("minus"), F.lit(f).alias("field")) for i, (f, ks) in enumerate(FIELD_KEYWORDS.items())]
     best = F.array_max(F.array(*hits))
     out = F.when(best["n"] > 0, best["field"]).otherwise("general")
@@ -142,13 +145,18 @@ def field_of(course_name: Column, course_slug: Column, content: Column, title: C
     return out
 
 
+def _where(text: Column, needle: str, pattern: str, to: str) -> Column:
+    """Replacement by a pattern in texts that contain what every match of it does; the others aren't run through it."""
+    return F.when(F.contains(text, F.lit(needle)), F.regexp_replace(text, pattern, to)).otherwise(text)
+
+
 def structured(text: Column) -> Column:
     """Definitions, legal terms, article references, bullets, numbers and key points in uniform marks."""
     flags = "(?mdU)"
-    out = F.regexp_replace(text, flags + r"(?:^|\n)([^\n]{1,50}とは[？?]?)\s*(?:\n|$)", "\n【$1】\n")
-    out = F.regexp_replace(out, flags + LEGAL, "《$1》")
-    out = F.regexp_replace(out, flags + ARTICLES, "《$1》")
-    out = F.regexp_replace(out, flags + r"(?:^|\n)・([^\n]+)", "\n- $1")
+    out = _where(text, "とは", flags + r"(?:^|\n)([^\n]{1,50}とは[？?]?)\s*(?:\n|$)", "\n【$1】\n")
+    out = F.when(out.rlike("法|規則|規定|基準|要件|条例"), F.regexp_replace(out, flags + LEGAL, "《$1》")).otherwise(out)
+    out = _where(out, "条", flags + ARTICLES, "《$1》")
+    out = _where(out, "・", flags + r"(?:^|\n)・([^\n]+)", "\n- $1")
     out = F.regexp_replace(out, flags + r"(?:^|\n)(\d+)\.([^\n]+)", "\n$1. $2")
     return F.regexp_replace(out, flags + r"(?:^|\n)(ポイント|重要|注意|要点|まとめ)[：:]([^\n]+)", "\n★$1: $2")
 
@@ -187,8 +195,10 @@ def labelled(title: Column, course: Column, field: Column, content: Column, qa:
 
 def normalised(text: Column) -> Column:
     """Decoration, repeated signs, URLs and addresses out; blank lines and blanks squeezed."""
-    for p in (r"[◆◇■□●○▲△▼▽★☆※]", r"[！？]{2,}|[。、]{2,}", r"(?U)https?://[^\s]+", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"):
-        text = F.regexp_replace(text, p, "")
+    text = F.regexp_replace(text, r"[◆◇■□●○▲△▼▽★☆※]", "")
+    text = F.regexp_replace(text, r"[！？]{2,}|[。、]{2,}", "")
+    text = _where(text, "://", r"(?U)https?://[^\s]+", "")
+    text = _where(text, "@", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "")
     text = F.regexp_replace(text, r"(?U)\n\s*\n\s*\n+", "\n\n")
     return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), "\n ", "\n")
 
@@ -221,12 +231,15 @@ def enriched(df: DataFrame, limit: int = 8000, to: str = "embedding_text") -> Da
     """df (title, full_content, qanda_content, course_name, course_slug) with the text that is turned into a vector, and field_type."""
     empty = F.lit("")
     out = df.withColumns({"__c": html_text(F.col("full_content"), ""), "__q": html_text(F.col("qanda_content"), ""), "__t": F.coalesce("title", empty)})
-    out = out.withColumn("field_type", field_of(F.col("course_name"), F.col("course_slug"), F.col("__c"), F.col("__t")))
-    out = out.withColumns({"__c": enhanced_terms(structured(F.col("__c")), F.col("field_type")), "__q": structured_qa(F.col("__q"))})
-    out = out.withColumn(to, priority_cut(normalised(labelled(F.col("__t"), F.col("course_name"), F.col("field_type"), F.col("__c"), F.col("__q"))), limit))
-    out = out.withColumn(to, F.regexp_replace(to, r"(?U)^\s+|\s+$", ""))
+    low = lambda c: F.lower(F.coalesce(c, empty))
+    out = out.withColumns({"__n": low("course_name"), "__s": low("course_slug"), "__l": F.lower(F.concat("__c", F.lit(" "), "__t"))})
+    out = out.withColumn("field_type", field_of_lower(F.col("__n"), F.col("__s"), F.col("__l")))
+    # what is used more than once below is a column first, so that it is computed once a row
+    out = out.withColumns({"__c": structured(F.col("__c")), "__q": structured_qa(F.col("__q"))}).withColumn("__c", enhanced_terms(F.col("__c"), F.col("field_type")))
+    out = out.withColumn(to, normalised(labelled(F.col("__t"), F.col("course_name"), F.col("field_type"), F.col("__c"), F.col("__q"))))
+    out = out.withColumn(to, priority_cut(F.col(to), limit)).withColumn(to, F.regexp_replace(to, r"(?U)^\s+|\s+$", ""))
     short = simple_text(F.col("__t"), F.coalesce("full_content", empty), F.coalesce("qanda_content", empty), limit=limit)
-    return out.withColumn(to, F.when(F.char_length(to) < 50, short).otherwise(F.col(to))).drop("__c", "__q", "__t")
+    return out.withColumn(to, F.when(F.char_length(to) < 50, short).otherwise(F.col(to))).drop("__c", "__q", "__t", "__n", "__s", "__l")
 
 
 def text_stats(before: Column, after: Column) -> dict[str, Column]:
