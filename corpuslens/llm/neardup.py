@@ -7,9 +7,10 @@ set and the node only, so the first levels are walked where the document is read
 vertex from then on.
 
 Nodes of up to SMALL members are compared exhaustively. In larger ones every member is compared with one pivot; what
-that links is contracted, and only nodes that still hold several components go on to the next levels, and at the last
-are compared block by block, across components. All comparisons are of the full sets. The number of trees follows from
-the similarity and the recall asked for.
+that links is contracted. Nodes that still hold several components are compared exhaustively across these, in blocks;
+those of more than WIDE blocks go on to the next levels first. Pairs are compared by a sketch (the least hash of each of
+BINS ranges, in a byte) and those that aren't far below the similarity by their full sets. The number of trees follows
+from the similarity and the recall asked for.
 """
 
 from __future__ import annotations
@@ -29,8 +30,12 @@ from corpuslens.runtime import materialise
 BRANCH = (2, 2, 1, 1)
 #: What a further descent adds, and how many there are before blocks are compared.
 DEEPER, DESCENTS = (2, 2), 2
-SMALL, BLOCK = 24, 200
+SMALL, BLOCK, WIDE = 24, 1000, 8
 RECALL = 0.999999
+#: At most so many ids (of 8 bytes) go to every task.
+BROADCAST_IDS = 1_000_000
+#: Bytes of a sketch; pairs whose estimate is MARGIN (five standard deviations) below the similarity are left out.
+BINS, MARGIN = 256, 0.125
 
 
 def shared_picks(similarity: float, picks: int) -> list[float]:
@@ -103,13 +108,30 @@ def walk(values: np.ndarray, offsets: np.ndarray, nodes: list[np.ndarray], alive
     return nodes, alive
 
 
+def sketches(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Of each set, from the least hash in each of BINS ranges, a byte from 1; 0 for a range without any. Hashes are sorted within sets."""
+    out = np.zeros((len(offsets) - 1, BINS), np.uint8)
+    if len(values):
+        row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        cell = row * BINS + (values >> np.uint64(56)).astype(np.int64)
+        head = np.flatnonzero(np.diff(cell, prepend=-1))
+        out.reshape(-1)[cell[head]] = (ta.mix(values[head]) % np.uint64(255)).astype(np.uint8) + 1
+    return out
+
+
+def estimates(one: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Of the Jaccard similarities of a sketch (or one for each row) with others: equal ranges among those that aren't both empty."""
+    there = (one != 0) | (others != 0)
+    return ((one == others) & there).sum(-1) / np.maximum(there.sum(-1), 1)
+
+
 def roots(trees: int) -> np.ndarray:
     return ta.mix(np.arange(1, trees + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def _fingerprints(docs: DataFrame, k: int, trees: int) -> DataFrame:
     def make(batch: pa.RecordBatch) -> list:
-        n_out, one, two, keys = [], [], [], []
+        n_out, one, two, keys, drawn = [], [], [], [], []
         for _, _, data, offsets in ta.pieces(batch.column("text")):
             values, at = shingle_sets(data, offsets, k)
             size = np.diff(at)
@@ -128,15 +150,17 @@ def _fingerprints(docs: DataFrame, k: int, trees: int) -> DataFrame:
                 found, live = np.zeros((len(size), len(nodes)), np.uint64), np.zeros((len(size), len(nodes)), bool)
                 found[full], live[full] = np.stack(nodes, 1), np.stack(alive, 1)
             n_out.append(size)
+            raw = sketches(values, at).tobytes()
+            drawn += [raw[i : i + BINS] for i in range(0, len(raw), BINS)]
             one.append(d1.view(np.int64))
             two.append(d2.view(np.int64))
             lengths = live.sum(1)
             keys.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32), pa.array(found.view(np.int64)[live])))
         if not n_out:
-            return [[], [], [], []]
-        return [np.concatenate(n_out).tolist(), np.concatenate(one).tolist(), np.concatenate(two).tolist(), pa.concat_arrays(keys).cast(pa.list_(pa.int64()))]
+            return [[], [], [], [], []]
+        return [np.concatenate(n_out).tolist(), np.concatenate(one).tolist(), np.concatenate(two).tolist(), pa.concat_arrays(keys).cast(pa.list_(pa.int64())), drawn]
 
-    return with_columns(docs.select("doc_id", "text"), "n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>", make).drop("text")
+    return with_columns(docs.select("doc_id", "text"), "n_shingles bigint, d1 bigint, d2 bigint, keys array<bigint>, sketch binary", make).drop("text")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -150,7 +174,9 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             out += [bytes(raw[8 * a : 8 * b]) for a, b in zip(at, at[1:], strict=False)]
         return [out]
 
-    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(ids, "id", "left_semi")
+    ids = materialise(ids, "ids")
+    # texts are shuffled only if there are too many ids to send to every task
+    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
     return materialise(with_columns(wanted, "items binary", make).drop("text"), "sets")
 
 
@@ -164,6 +190,17 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
     return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
+def _near(edges: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """The pairs a, b whose sketches don't rule them out."""
+    both = edges.join(drawn.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").join(drawn.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").select("a", "b", "x", "y")
+
+    def make(batch: pa.RecordBatch) -> list:
+        x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
+        return [(estimates(x, y) >= percent / 100 - MARGIN).tolist()]
+
+    return with_columns(both, "near boolean", make).where("near").select("a", "b")
+
+
 def _confirmed(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs a, b whose full sets are similar."""
     edges = materialise(edges, "candidates")
@@ -215,25 +252,71 @@ def _descend(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return materialise(below.select(F.explode("below").alias("node"), "id", "n", "comp"), "below")
 
 
-def _across(members: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components of the same node, comparing its members block by block."""
-    size = members.groupBy("node").agg(F.count("*").alias("c")).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("bigint"))
-    mine = members.join(size, "node").withColumn("i", F.pmod(F.xxhash64("id"), "blocks"))
+def _sizes(members: DataFrame) -> DataFrame:
+    """Members with the number of blocks of their node."""
+    return members.join(members.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("blocks")), "node")
+
+
+def _across(members: DataFrame, drawn: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between members of a node that are of different components, block by block.
+
+    A first pass over sketches and sizes lists each member's possible partners; a pair is left to the first of the nodes
+    that its ends share. Members with any then meet with their full sets, so pairs never become rows.
+    """
+    # a document is in a few nodes of each tree
+    own = members.groupBy("id").agg(F.collect_set("node").alias("keys"))
+    mine = members.withColumn("i", F.pmod(F.xxhash64("id"), "blocks")).join(own, "id").join(drawn, "id")
     dealt = mine.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    dealt = dealt.select("node", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "comp")
-    sets = _sets(docs, members.select("id").distinct(), k)
+    dealt = dealt.select("node", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "n", "comp", "sketch", "keys")
+
+    def meet(key, pdf):
+        import pandas as pd
 
-    def compare(key, pdf):
+        drawn, comp, n, block, ids = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(-1, BINS), pdf["comp"].to_numpy(), pdf["n"].to_numpy(), pdf["i"].to_numpy(), pdf["id"].to_numpy()
+        width = max(map(len, pdf["keys"]))
+        # padded by the rows' own numbers, negative and far from one another: they match nothing
+        keys = np.stack([np.concatenate([x, np.full(width - len(x), -(2**63) + s)]) for s, x in enumerate(pdf["keys"])]).astype(np.int64)
+        partners: list[list[int]] = [[] for _ in ids]
+        wanted = np.zeros(len(ids), bool)
+        for s in range(len(ids) - 1):
+            x = slice(s + 1, None)
+            some = (comp[x] != comp[s]) & (100 * np.minimum(n[x], n[s]) >= percent * np.maximum(n[x], n[s]))
+            if key[1] != key[2]:
+                some &= block[x] != block[s]
+            at = s + 1 + np.flatnonzero(some)
+            if len(at):
+                at = at[estimates(drawn[s], drawn[at]) >= percent / 100 - MARGIN]
+            if len(at):
+                shared = np.isin(keys[at], keys[s])
+                at = at[np.where(shared, keys[at], 2**63 - 1).min(1) >= key[0]] if shared.any() else at
+            if len(at):
+                partners[s] = ids[at].tolist()
+                wanted[s] = wanted[at] = True
+        return pd.DataFrame({"node": key[0], "p": key[1], "q": key[2], "id": ids[wanted], "comp": comp[wanted], "partners": pd.Series([partners[s] for s in np.flatnonzero(wanted)], dtype=object)})
+
+    listed = materialise(dealt.groupBy("node", "p", "q").applyInPandas(meet, "node bigint, p bigint, q bigint, id bigint, comp bigint, partners array<bigint>"), "partners")
+    sets = _sets(docs, listed.select("id").distinct(), k)
+
+    def compare(pdf):
         import pandas as pd
 
-        rows, found = list(pdf[["id", "i", "comp", "items"]].itertuples(index=False)), []
-        for s, x in enumerate(rows):
-            for y in rows[s + 1 :]:
-                if x.comp != y.comp and (x.i != y.i or key[1] == key[2]) and similar(x.items, y.items, percent):
-                    found.append((min(x.id, y.id), max(x.id, y.id)))
+        items, at, found = dict(zip(pdf["id"], pdf["items"], strict=True)), dict(zip(pdf["id"], pdf["comp"], strict=True)), []
+        up: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while up.get(c, c) != c:
+                c = up[c]
+            return c
+
+        for a, partners in zip(pdf["id"], pdf["partners"], strict=True):
+            for b in partners:
+                x, y = root(at[a]), root(at[b])
+                if x != y and similar(items[a], items[b], percent):
+                    up[max(x, y)] = min(x, y)
+                    found.append((min(a, b), max(a, b)))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return materialise(dealt.join(sets, "id").groupBy("node", "p", "q").applyInPandas(compare, "a bigint, b bigint"), "across")
+    return materialise(listed.join(sets, "id").groupBy("node", "p", "q").applyInPandas(compare, "a bigint, b bigint"), "across")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
@@ -246,23 +329,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall:
     """
     base = materialise(_fingerprints(docs, words, trees_for(percent / 100, recall)), "fingerprints")
     same = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
-    mapped = base.join(same, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("keys")).alias("keys"))
+    mapped = base.join(same, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "sketch")])
     mapped = materialise(mapped, "classes")
-    nodes = mapped.where("keys IS NOT NULL").select(F.explode(F.array_distinct("keys")).alias("node"), F.col("rep").alias("id"), F.col("n_shingles").alias("n")).withColumn("comp", F.col("id"))
+    chosen = mapped.where("keys IS NOT NULL")
+    drawn = chosen.select(F.col("rep").alias("id"), "sketch").dropDuplicates(["id"])
+    nodes = chosen.select(F.explode(F.array_distinct("keys")).alias("node"), F.col("rep").alias("id"), F.col("n_shingles").alias("n")).withColumn("comp", F.col("id"))
     links = None
     for level in range(DESCENTS + 1):
         pairs, big = _candidates(nodes, percent)
-        found = _confirmed(pairs, docs, words, percent)
+        found = _confirmed(_near(pairs, drawn, percent), docs, words, percent)
         links = found if links is None else links.union(found)
         if big.isEmpty():
             break
-        rest = _open(_labelled(big, links))
+        rest = materialise(_sizes(_open(_labelled(big, links))), "rest")
         if rest.isEmpty():
             break
-        if level == DESCENTS:
-            links = links.union(_across(rest, docs, words, percent))
-        else:
-            nodes = _descend(rest, docs, words)
+        narrow = rest if level == DESCENTS else rest.where(F.col("blocks") <= WIDE)
+        links = links.union(_across(narrow, drawn, docs, words, percent))
+        wide = rest.where(F.col("blocks") > WIDE)
+        if level == DESCENTS or wide.isEmpty():
+            break
+        nodes = _descend(_labelled(wide.drop("comp", "blocks"), links), docs, words)
     comps = connected_components(links).select(F.col("id").alias("rep"), "component")
-    out = mapped.drop("keys").join(comps, "rep", "left").withColumn("component_id", F.coalesce("component", "rep", "doc_id"))
+    out = mapped.drop("keys", "sketch").join(comps, "rep", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
+    """The rows of docs that near_duplicates() keeps, with their own columns."""
+    dropped = near_duplicates(docs, words, percent, recall).where("NOT kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
