@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm import textarrays as ta
 from corpuslens.llm.arrowmap import with_columns
-from corpuslens.runtime import ship_package
+from corpuslens.runtime import materialise, ship_package
 
 #: At most so many labelled documents of each class are used for fitting (those with the least hash of their doc_id).
 TRAIN_ROWS = 20_000
@@ -157,8 +157,19 @@ def _count(docs: DataFrame) -> DataFrame:
     return parts.groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.bit_or("b0").alias("b0"), F.bit_or("b1").alias("b1"))
 
 
-def token_scores(cell: np.ndarray, n0: np.ndarray, n1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Cells whose score is above that of other tokens, and the scores."""
+def telling(counts: DataFrame) -> tuple[float, DataFrame]:
+    """Log of the classes' ratio of tokens, and the cells whose token counts alone leave them a positive score: few go to the driver."""
+    counts = materialise(counts, "counts")
+    n0, n1 = counts.agg(F.coalesce(F.sum("n0"), F.lit(0)), F.coalesce(F.sum("n1"), F.lit(0))).first()
+    if not n0 or not n1:
+        return 0.0, counts.limit(0)
+    total = math.log((n0 + PRIOR) / (n1 + PRIOR))
+    bound = F.log((F.col("n1") + PRIOR) / (F.col("n0") + PRIOR)) + total - Z * F.sqrt(1 / (F.col("n1") + PRIOR) + 1 / (F.col("n0") + PRIOR)) - DRIFT
+    return total, counts.where(bound > 0)
+
+
+def token_scores(cell: np.ndarray, n0: np.ndarray, n1: np.ndarray, b0: np.ndarray, b1: np.ndarray, total: float) -> tuple[np.ndarray, np.ndarray]:
+    """Cells whose score is above that of other tokens, and the scores. total: log of the classes' ratio of tokens."""
 
     def distinct(bits: np.ndarray) -> np.ndarray:
         empty = 64 - np.bitwise_count(bits.view(np.uint64)).astype(float)
@@ -167,7 +178,6 @@ def token_scores(cell: np.ndarray, n0: np.ndarray, n1: np.ndarray, b0: np.ndarra
     def bound(x0: np.ndarray, x1: np.ndarray, total: float) -> np.ndarray:
         return np.log((x1 + PRIOR) / (x0 + PRIOR)) + total - Z * np.sqrt(1 / (x1 + PRIOR) + 1 / (x0 + PRIOR))
 
-    total = math.log((n0.sum() + PRIOR) / (n1.sum() + PRIOR))
     score = np.minimum(bound(n0.astype(float), n1.astype(float), total), bound(distinct(b0), distinct(b1), total)) - DRIFT
     keep = score > 0
     return cell[keep], score[keep]
@@ -188,11 +198,11 @@ def fit(docs: DataFrame, labels: DataFrame, train: Column | None = None, rows: i
     sample = F.broadcast(picked[0].union(picked[1]))
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(sample, "doc_id")
     fresh = F.pmod("h", F.lit(4)) == 0
-    counts = _count(texts.where(~fresh).select("text", "toxic")).toPandas()
-    columns = [counts[c].to_numpy(np.int64) for c in ("cell", "n0", "n1", "b0", "b1")]
+    total, kept = telling(_count(texts.where(~fresh).select("text", "toxic")))
+    rows_kept = np.array([tuple(r) for r in kept.select("cell", "n0", "n1", "b0", "b1").collect()], np.int64).reshape(-1, 5)
     model = Model()
-    if len(counts) and columns[1].any() and columns[2].any():
-        model.cells, model.scores = token_scores(*columns)
+    if len(rows_kept):
+        model.cells, model.scores = token_scores(*np.ascontiguousarray(rows_kept.T), total)
     table = spark.sparkContext.broadcast(model)
     seen = with_columns(texts.where(fresh).select("toxic", "text"), "n bigint, scores array<double>", lambda b: list(zip(*((n, [s for *_, s in x]) for n, x in _scan(b.column("text"), table.value.dense())), strict=True)) or [[], []])
     calibrate(model, [(r.toxic, r.n, r.scores) for r in seen.select("toxic", "n", "scores").collect()])
