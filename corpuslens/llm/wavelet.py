@@ -183,7 +183,10 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        #: texts with an added token in any case go to the library as they are; all texts, if one can arise from white space or normalisation
+        anywhere = any(x.normalized or re.search(r"\s", x.content) for x in added)
+        self.added = re.compile("" if anywhere else "|".join(re.escape(x.content) for x in added) or r"(?!)", re.IGNORECASE)
         #: upper-case ASCII letters come to the same ids, so that one of the two is kept
         self.lowers = all(self.whole([x])[0] == self.whole([x.lower()])[0] for x in map(chr, range(65, 91)))
         #: letters and digits are parted from commas and full stops
@@ -211,7 +214,7 @@ class WordEncoder:
         return text.replace("\n", " ").split(" ")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Of each text its ids; what stands between spaces and line feeds is encoded apart."""
+        """Of each text its ids; what stands between spaces and line feeds is encoded apart, but for texts with added tokens."""
         out, at = [], 0
         while at < len(texts):
             end, size = at, 0
@@ -220,13 +223,13 @@ class WordEncoder:
                 end += 1
             if len(self.kept) > KEPT:
                 self.kept.clear()
-            split = [self.words(t) for t in texts[at:end]]
+            split = [None if self.added.search(t) else self.words(t) for t in texts[at:end]]
             new = set()
             for x in split:
-                new.update(x)
+                new.update(x or ())
             new = [w for w in new if w not in self.kept]
             self.kept.update(zip(new, self.apart(new), strict=True))
-            out += [b"".join(map(self.kept.__getitem__, x)) for x in split]
+            out += [self.whole([t])[0] if x is None else b"".join(map(self.kept.__getitem__, x)) for t, x in zip(texts[at:end], split, strict=True)]
             at = end
         return out
 

@@ -254,6 +254,18 @@ def test_words_encode_apart():
     assert w.encode(texts) == w.whole(texts)
 
 
+def test_added_tokens_encode_as_in_the_library():
+    from tokenizers import Tokenizer
+
+    path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(1)
+    t, w = Tokenizer.from_file(path), wavelet.WordEncoder(path)
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|endof", "text|>", "<|", "|>", "a", "B", ",", ".", " ", "\n", "É"]
+    texts = ["a <|endoftext|> b", "A<|ENDOFTEXT|>B", "<|endoftext|>", "", *("".join(rng.choices(pieces, k=rng.randrange(0, 12))) for _ in range(600))]
+    want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert np.frombuffer(want[0], "<u4").tolist() == [320, 49407, 321]
+    assert w.whole(texts) == want and w.encode(texts) == want
+
+
 # 6 and 7
 
 
