@@ -325,10 +325,10 @@ def z07(t: Tables):
 
 
 def streamed(rows, name: str):
-    """rows as files, and a stream over them."""
+    """rows as files, and a stream over them: all in one batch, as the files aren't in order of time and a later batch would find its older rows behind the watermark."""
     spark, path = rows.sparkSession, new_path(rows.sparkSession, name)
     rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(path)
+    return spark.readStream.schema(rows.schema).parquet(path)
 
 
 def collected(stream, keys: list[str]):
