@@ -87,7 +87,7 @@ def t15(t: Tables):
 
 @query("t16_questions")
 def t16(t: Tables):
-    return docs(t).select("doc_id", tx.structured_qa(F.concat(F.lit("Q: a"), F.col("source"), F.lit("\nA: b\nQ：c\nA：d "), F.substring("text", 1, 50))).alias("text"))
+    return docs(t).select("doc_id", tx.structured_qa(F.concat(F.lit("Q: a"), F.col("source"), F.lit("\nA: b\nQ：c\nA：d "), F.col("text"))).alias("text"))
 
 
 def replaced(text: str, words: list[str]) -> str:
@@ -251,9 +251,11 @@ def landed(t: Tables, kind: str):
     if kind == "courses":
         rows = d.select("source").distinct().select(F.crc32(F.col("source").cast("binary")).alias("id"), F.struct(F.col("source").alias("slug"), F.col("source").alias("name"), F.lit("").alias("description"), F.lit("2024-01-01T00:00:00.000Z").alias("createdAt"), F.lit(None).cast("string").alias("updatedAt")).alias("attributes"))
     else:
-        section = F.struct(F.lit("s").alias("title"), F.substring("text", 1, 200).alias("text"), F.array(F.struct(F.lit("p").alias("subtitle"), F.substring("text", 201, 200).alias("text"))).alias("paragraph"))
+        # the whole text: blocks between empty lines are sections, their lines after the first are paragraphs
+        paragraphs = lambda b: F.transform(F.slice(F.split(b, "\n"), 2, F.size(F.split(b, "\n"))), lambda x: F.struct(F.lit("p").alias("subtitle"), x.alias("text")))
+        sections = F.transform(F.split(F.coalesce("text", F.lit("")), "\n\n"), lambda b: F.struct(F.lit("s").alias("title"), F.split(b, "\n")[0].alias("text"), paragraphs(b).alias("paragraph")))
         qa = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit("q").alias("Question"), F.col("lang").alias("Answer"))))
-        rows = d.select(F.col("doc_id").alias("id"), F.struct(F.concat(F.lit("t"), "doc_id").alias("POST_TITLE"), F.concat(F.lit("doc-"), "doc_id").alias("LINK"), F.col("source").alias("KOZA_ID"), F.col("lang").alias("description"), F.array(section).alias("article"), qa.alias("QandA"), F.lit("2024-01-01T00:00:00.000Z").alias("createdAt"), F.lit("not a time").alias("updatedAt")).alias("attributes"))
+        rows = d.select(F.col("doc_id").alias("id"), F.struct(F.concat(F.lit("t"), "doc_id").alias("POST_TITLE"), F.concat(F.lit("doc-"), "doc_id").alias("LINK"), F.col("source").alias("KOZA_ID"), F.col("lang").alias("description"), sections.alias("article"), qa.alias("QandA"), F.lit("2024-01-01T00:00:00.000Z").alias("createdAt"), F.lit("not a time").alias("updatedAt")).alias("attributes"))
     rows.write.json(path)
     return spark, path
 

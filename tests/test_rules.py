@@ -169,6 +169,27 @@ def test_streams_count_rows_of_all_files(spark, monkeypatch):
     assert tuple(hours.agg(F.sum("requests"), F.sum("cost"), F.sum("successes")).first()) == (n, n, n)
 
 
+@pytest.fixture
+def long_texts(spark, tmp_path):
+    """A folder of tables whose documents have what matters at the end of a long text."""
+    text = "first\nline two\n\n" + "filler " * 200 + "\n\n・last 宅地建物取引\nQ: late\nA: answer\n\nend"
+    spark.createDataFrame([(i, text, "en", "web", len(text)) for i in range(4)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path), text
+
+
+def test_cms_articles_and_questions_have_whole_texts(spark, long_texts):
+    from corpuslens import queries
+
+    queries.load()
+    folder, text = long_texts
+    got = {q: queries.QUERIES[q](spark, folder).collect() for q in ("s02_article_documents", "t06_assembled", "t16_questions")}
+    assert [r.sections for r in got["s02_article_documents"]] == [4] * 4
+    for r in got["t06_assembled"]:
+        lines = [x for x in r.full_content_html.split("\n") if x not in ("<h2>s</h2>", "<h3>p</h3>")]
+        assert "\n".join(x for x in text.split("\n") if x) in "\n".join(lines) and r.full_content.split("\n")[-3 if r.qanda_content else -1] == "end"
+    assert all("Q3: late\nA3: answer" in r.text for r in got["t16_questions"])
+
+
 def test_plans(spark):
     from oracle import SF
 
