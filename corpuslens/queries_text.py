@@ -68,6 +68,11 @@ def planted():
     return F.when(n == 0, "簿記と税務の決算").when(n == 1, "保険と年金、社会保険").when(n == 2, F.col("text")).otherwise("システムの設計 税金")
 
 
+def planted_before():
+    """The planted sentence, where there is one, before the whole text."""
+    return F.when(F.col("doc_id") % 4 == 2, F.col("text")).otherwise(F.concat(planted(), F.lit("\n"), F.coalesce("text", F.lit(""))))
+
+
 @query("t13_subject_field", f"""WITH d AS (SELECT doc_id, lower({PLANTED} || ' ') AS x, CASE WHEN doc_id % 9 = 0 THEN 'takken' ELSE 'c' END AS slug FROM documents), s AS (SELECT doc_id, slug, {', '.join(f'{h} AS {f}' for f, h in HITS.items())} FROM d),
     m AS (SELECT *, greatest({', '.join(HITS)}) AS best FROM s) SELECT doc_id, CASE WHEN slug = 'takken' THEN 'real_estate' WHEN best = 0 THEN 'general' {' '.join(f"WHEN {f} = best THEN '{f}'" for f in HITS)} END AS field FROM m""")
 def t13(t: Tables):
@@ -77,12 +82,12 @@ def t13(t: Tables):
 
 @query("t14_structured")
 def t14(t: Tables):
-    return docs(t).select("doc_id", tx.structured(F.concat(F.lit("簿記とは？\n・一つ\n1.二つ\n重要：三つ\n"), planted())).alias("text"))
+    return docs(t).select("doc_id", tx.structured(F.concat(F.lit("簿記とは？\n・一つ\n1.二つ\n重要：三つ\n"), planted_before())).alias("text"))
 
 
 @query("t15_structured_by_course")
 def t15(t: Tables):
-    return docs(t).select("doc_id", tx.keyword_marks(tx.structured(planted()), tx.FIELD_KEYWORDS["real_estate"]).alias("text"))
+    return docs(t).select("doc_id", tx.keyword_marks(tx.structured(planted_before()), tx.FIELD_KEYWORDS["real_estate"]).alias("text"))
 
 
 @query("t16_questions")

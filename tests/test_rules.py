@@ -172,7 +172,7 @@ def test_streams_count_rows_of_all_files(spark, monkeypatch):
 @pytest.fixture
 def long_texts(spark, tmp_path):
     """A folder of tables whose documents have what matters at the end of a long text."""
-    text = "first\nline two\n\n" + "filler " * 200 + "\n\n・last 宅地建物取引\nQ: late\nA: answer\n\nend"
+    text = "first\nline two\n\n" + "filler " * 200 + "\n\n・last マンション\nQ: late\nA: answer\n\nend"
     spark.createDataFrame([(i, text, "en", "web", len(text)) for i in range(4)], "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     return str(tmp_path), text
 
@@ -190,6 +190,17 @@ def test_cms_articles_and_questions_have_whole_texts(spark, long_texts):
     assert all("Q3: late\nA3: answer" in r.text for r in got["t16_questions"])
 
 
+def test_structure_is_found_in_whole_texts(spark, long_texts):
+    from corpuslens import queries
+
+    queries.load()
+    folder, _ = long_texts
+    for q, last in (("t14_structured", "- last マンション"), ("t15_structured_by_course", "- last 【マンション】")):
+        rows = queries.QUERIES[q](spark, folder).collect()
+        assert len(rows) == 4 and all(last in r.text and r.text.endswith("end") for r in rows)
+        assert sum("簿記と税務の決算" in r.text for r in rows) == 1
+
+
 def test_plans(spark):
     from oracle import SF
 
