@@ -70,7 +70,11 @@ def _parse(data: bytes | memoryview, at: int) -> tuple[dict, int]:
     head = bytes(data[at : at + CHUNK])
     if not VERSION.match(head):
         raise Damaged("no version line")
-    stop = head.find(b"\r\n\r\n")
+    stop, width = head.find(b"\r\n\r\n"), CHUNK
+    while stop < 0 and at + width < len(data):
+        width *= 2
+        head = bytes(data[at : at + width])
+        stop = head.find(b"\r\n\r\n")
     if stop < 0:
         raise Damaged("no end of the header")
     fields = {}
@@ -210,10 +214,10 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
     return pages.select(F.col("page_id").cast("bigint"), "url", "payload", F.col("refers_to").cast("bigint")).mapInArrow(run, "file string, records bigint, bytes bigint")
 
 
-def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
+def read_archives(spark: SparkSession, folder: str, payloads: bool = True, whole: bool = False) -> DataFrame:
     """Records and quarantined gaps (reason not null) of the archives in folder; gaps have no other fields but file, offset and length.
 
-    payloads: whether the payload column is filled in.
+    payloads: whether the payload column is filled in. whole: a gap is an error.
     """
     ship_package(spark)
     schema = pa.schema([("file", pa.string()), ("offset", pa.int64()), ("length", pa.int64()), ("reason", pa.string()), ("record_type", pa.string()), ("record_id", pa.string()), ("refers_to", pa.string()), ("target", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary())])
@@ -223,6 +227,8 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> Da
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 held = []
                 for x in salvage(content.as_buffer()):
+                    if whole and x["reason"] is not None:
+                        raise ValueError(f"{name}: gap at {x['offset']}: {x['reason']}")
                     held.append(x | {"file": name} if payloads else x | {"file": name, "payload": None})
                     if len(held) == 200:
                         yield pa.RecordBatch.from_pylist(held, schema)
@@ -239,7 +245,7 @@ def page_of(column: str):
 
 
 def round_trip(pages: DataFrame, payloads: bool = True) -> DataFrame:
-    """Write pages (page_id, url, html) to a new folder in the shared one and read the archives back.
+    """Write pages (page_id, url, html) to a new folder in the shared one and read the archives back; a gap in them is an error.
 
     Empty tables give no file and no row; repeated rows are each written. Columns: page_id, refers_to (page_id) and those
     of read_archives().
@@ -251,5 +257,5 @@ def round_trip(pages: DataFrame, payloads: bool = True) -> DataFrame:
     written = materialise(write_archives(with_revisits(pages), folder), "files")
     if written.isEmpty():
         return spark.createDataFrame([], "page_id bigint, refers_to bigint, " + RECORDS.replace("refers_to", "refers_to_id"))
-    found = read_archives(spark, folder, payloads)
+    found = read_archives(spark, folder, payloads, whole=True)
     return found.withColumnRenamed("refers_to", "refers_to_id").withColumns({"page_id": page_of("record_id"), "refers_to": page_of("refers_to_id")})

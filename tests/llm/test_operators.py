@@ -114,6 +114,12 @@ def test_archives_round_trip(spark):
     assert warc.round_trip(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
 
 
+def test_long_headers_are_read(spark):
+    url = "http://a.test/" + " " * 30_000
+    rows = warc.round_trip(spark.createDataFrame([(1, url, "<p>x</p>"), (2, "u", "y")], "page_id bigint, url string, html string")).collect()
+    assert {r.page_id: (r.reason, r.target, bytes(r.payload)) for r in rows} == {1: (None, url.replace(" ", "%20"), b"<p>x</p>"), 2: (None, "u", b"y")}
+
+
 # 3
 
 
