@@ -16,13 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import bpe
-from corpuslens.llm.arrowmap import with_columns, without
+from corpuslens.llm.arrowmap import Recent, with_columns, without
 
 #: Pre-tokens in a block at first, and how many it may have before the tree is laid out anew.
 BLOCK, CROWDED = 32, 2048
 #: The pattern looks at most so many characters beyond a pre-token's end.
 CONTEXT = 4
-KEPT, SLICE = 500_000, 1 << 20
+#: Bytes that a worker spends on the pre-tokens that it has met, and characters of text in a slice.
+KEPT, SLICE = 64 << 20, 1 << 20
 
 EDITS = "array<struct<skip:bigint,remove:bigint,insert:string>>"
 
@@ -32,20 +33,17 @@ class Counter:
 
     def __init__(self, path: str, pattern: str):
         self.vocabulary = bpe.vocabulary(path, pattern)
-        self.kept: dict[str, int] = {}
+        self.kept = Recent(KEPT)
 
     def learn(self, parts: set[str]) -> None:
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        new = [p for p in parts if p not in self.kept]
-        for p, ids in zip(new, self.vocabulary.merge([p.encode() for p in new]), strict=True):
-            self.kept[p] = len(ids)
+        new = self.kept.missing(parts)
+        self.kept.add(new, [len(ids) // 4 for ids in self.vocabulary.merge([p.encode() for p in new])])
 
     def split(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
         """Lengths and numbers of tokens of the pre-tokens of each text."""
         parts = [self.vocabulary.pattern.findall(t) for t in texts]
         self.learn(set().union(*parts))
-        return [(list(map(len, x)), list(map(self.kept.__getitem__, x))) for x in parts]
+        return [(list(map(len, x)), list(map(self.kept.young.__getitem__, x))) for x in parts]
 
 
 @lru_cache(maxsize=2)
@@ -121,7 +119,7 @@ class Tree:
         else:
             block, i = len(self.blocks) - 1, len(self.blocks[-1][0])
         count.learn(set(found))
-        numbers = [count.kept[p] for p in found]
+        numbers = [count.kept.young[p] for p in found]
         head, tail = self.blocks[first], self.blocks[block]
         rest = (tail[0][i:], tail[1][i:])
         for b in range(first + 1, block + 1):
@@ -148,19 +146,13 @@ def build(docs: DataFrame, path: str, pattern: str, text: str = "text") -> DataF
 
     def make(batch: pa.RecordBatch) -> list:
         trees, totals = [], []
-        texts, at = pc.fill_null(batch.column(text), "").to_pylist(), 0
-        while at < len(texts):
-            end, size = at, 0
-            while end < len(texts) and (end == at or size + len(texts[end]) <= SLICE):
-                size += len(texts[end])
-                end += 1
-            for lengths, tokens in counter(path, pattern).split(texts[at:end]):
+        for some in bpe.slices(pc.fill_null(batch.column(text), "").to_pylist(), SLICE):
+            for lengths, tokens in counter(path, pattern).split(some):
                 trees.append(Tree(lengths, tokens).dump())
                 totals.append(sum(tokens))
-            at = end
         return [trees, totals]
 
-    return with_columns(without(docs, "tree", "n_tokens"), "tree binary, n_tokens bigint", make)
+    return with_columns(without(docs, "tree", "n_tokens"), "tree binary, n_tokens bigint", make, lambda: counter(path, pattern).kept.clear())
 
 
 def edit(docs: DataFrame, path: str, pattern: str, text: str = "text", edits: str = "edits") -> DataFrame:
@@ -195,7 +187,7 @@ def edit(docs: DataFrame, path: str, pattern: str, text: str = "text", edits: st
                 column.append(value)
         return list(out)
 
-    done = with_columns(without(docs, "n_encoded"), "__text string, __tree binary, __n bigint, n_encoded bigint", make)
+    done = with_columns(without(docs, "n_encoded"), "__text string, __tree binary, __n bigint, n_encoded bigint", make, lambda: counter(path, pattern).kept.clear())
     new = {text: "__text", "tree": "__tree", "n_tokens": "__n"}
     return done.select(*[F.col(new[c]).alias(c) if c in new else F.col(c) for c in names], "n_encoded")
 
