@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import textarrays as ta
-from corpuslens.llm.arrowmap import with_columns, without
+from corpuslens.llm.arrowmap import in_tasks, with_columns, without
 from corpuslens.runtime import ship_package
 
 #: Cells of trigrams a language; this bounds its part of the model.
@@ -76,7 +76,7 @@ def fit(docs: DataFrame, train: Column | None = None) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([0]), pa.array([0])], names=["lang", "cell", "n"])
 
     # at most CELLS rows a language
-    counts = rows.mapInArrow(run, "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = rows.mapInArrow(in_tasks(run), "lang string, cell bigint, n bigint").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(set(counts["lang"]))
     table = np.full((CELLS, len(languages)), SMOOTHING)
     table[counts["cell"].to_numpy(int), [languages.index(x) for x in counts["lang"]]] += counts["n"].to_numpy(float)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm import textarrays as ta
-from corpuslens.llm.arrowmap import with_columns
+from corpuslens.llm.arrowmap import in_tasks, with_columns
 from corpuslens.runtime import materialise, ship_package
 
 #: At most so many labelled documents of each class are used for fitting (those with the least hash of their doc_id).
@@ -153,7 +153,7 @@ def _count(docs: DataFrame) -> DataFrame:
             x = at[a : a + 50_000]
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(number[0, x]), pa.array(number[1, x]), pa.array(seen[0, x].view(np.int64)), pa.array(seen[1, x].view(np.int64))], names=["cell", "n0", "n1", "b0", "b1"])
 
-    parts = docs.mapInArrow(run, "cell bigint, n0 bigint, n1 bigint, b0 bigint, b1 bigint")
+    parts = docs.mapInArrow(in_tasks(run), "cell bigint, n0 bigint, n1 bigint, b0 bigint, b1 bigint")
     return parts.groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.bit_or("b0").alias("b0"), F.bit_or("b1").alias("b1"))
 
 

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.llm.arrowmap import in_tasks
 from corpuslens.runtime import new_path, ship_package
 
 #: A file is closed once it has so many bytes.
@@ -211,7 +212,7 @@ def write_archives(pages: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
         if held:
             yield close()
 
-    return pages.select(F.col("page_id").cast("bigint"), "url", "payload", F.col("refers_to").cast("bigint")).mapInArrow(run, "file string, records bigint, bytes bigint")
+    return pages.select(F.col("page_id").cast("bigint"), "url", "payload", F.col("refers_to").cast("bigint")).mapInArrow(in_tasks(run), "file string, records bigint, bytes bigint")
 
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True, whole: bool = False) -> DataFrame:
@@ -236,7 +237,7 @@ def read_archives(spark: SparkSession, folder: str, payloads: bool = True, whole
                 yield pa.RecordBatch.from_pylist(held, schema)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc*").load(folder)
-    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(run, RECORDS)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content").mapInArrow(in_tasks(run), RECORDS)
 
 
 def page_of(column: str):
