@@ -14,6 +14,9 @@ HOST = "www.example.test"
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
+#: Events by the document that they are of: half of them over 200 much-visited ones, half over all.
+OF_DOC = """(SELECT *, CASE WHEN event_id % 2 = 0 THEN event_id % 200 ELSE CAST(floor(event_id / 2) AS BIGINT) % (SELECT COUNT(*) FROM {documents}) END AS of_doc FROM {events})"""
+
 VIEWS = {
     "v_courses": """
         SELECT source AS id, source AS slug, concat('Course ', source) AS name FROM {documents} GROUP BY source""",
@@ -25,14 +28,14 @@ VIEWS = {
                CAST(floor(e.value * 1000) AS BIGINT) AS engagement_time_msec,
                concat('https://{HOST}/', d.source, '/column/doc-', CAST(d.doc_id AS STRING),
                       CASE e.event_id % 4 WHEN 0 THEN '/' WHEN 1 THEN '?ref=x' WHEN 2 THEN '#top' ELSE '' END) AS page_location
-        FROM {{events}} e JOIN {{documents}} d ON d.doc_id = e.event_id % 200""",
-    "v_metrics": """
-        SELECT CAST(event_id % 200 AS STRING) AS id,
+        FROM {OF_DOC} e JOIN {{documents}} d ON d.doc_id = e.of_doc""",
+    "v_metrics": f"""
+        SELECT CAST(of_doc AS STRING) AS id,
                SUM(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END) AS pageviews,
                COUNT(DISTINCT CASE WHEN event_type = 'click' THEN user_id END) AS engaged_sessions,
                COUNT(DISTINCT CASE WHEN user_id % 3 = 0 THEN user_id END) AS organic_sessions,
                SUM(value) / COUNT(*) AS avg_engagement_time
-        FROM {events} GROUP BY event_id % 200""",
+        FROM {OF_DOC} e GROUP BY of_doc""",
     "v_articles": """
         SELECT CAST(d.doc_id AS STRING) AS id, split_part(d.text, chr(10), 1) AS title, concat('doc-', CAST(d.doc_id AS STRING)) AS link,
                d.source AS koza_id, d.text AS full_content, d.lang AS content_type,
@@ -43,8 +46,8 @@ VIEWS = {
         LEFT JOIN {embeddings} v ON v.vec_id = d.doc_id
         LEFT JOIN {orders} o1 ON o1.o_orderkey = d.doc_id LEFT JOIN {orders} o2 ON o2.o_orderkey = d.doc_id + 500""",
     "v_chunks": """
-        SELECT concat(CAST(vec_id % 50 AS STRING), '_', CAST(CAST(floor(vec_id / 50) AS BIGINT) AS STRING)) AS chunk_id,
-               CAST(vec_id % 50 AS STRING) AS article_id, CAST(floor(vec_id / 50) AS BIGINT) AS chunk_index,
+        SELECT concat(CAST(CAST(floor(vec_id / 10) AS BIGINT) AS STRING), '_', CAST(vec_id % 10 AS STRING)) AS chunk_id,
+               CAST(CAST(floor(vec_id / 10) AS BIGINT) AS STRING) AS article_id, CAST(vec_id % 10 AS BIGINT) AS chunk_index,
                CASE label WHEN 0 THEN '概要' WHEN 1 THEN 'まとめ' WHEN 2 THEN '参考' WHEN 3 THEN '' ELSE concat('Section ', CAST(label AS STRING)) END AS chunk_title,
                embedding AS content_embedding
         FROM {embeddings}""",
@@ -54,10 +57,11 @@ VIEWS = {
                CASE WHEN user_id % 2 = 0 THEN 50.0E0 ELSE 5.0E0 END AS cost_estimate, event_type <> 'error' AS success
         FROM {events}""",
     "v_cache": """
-        SELECT CAST(a.vec_id AS STRING) AS base_article_id, CAST(b.vec_id AS STRING) AS similar_article_id,
-               (a.vec_id * 7 + b.vec_id * 3) % 100 / 100.0E0 AS similarity_score, o.o_orderdate AS cached_at, e.ts AS expires_at
-        FROM {embeddings} a JOIN {embeddings} b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 4
-        JOIN {orders} o ON o.o_orderkey = a.vec_id JOIN {events} e ON e.event_id = a.vec_id + b.vec_id % 3 WHERE a.vec_id < 400""",
+        SELECT CAST(p.base AS STRING) AS base_article_id, CAST(p.similar AS STRING) AS similar_article_id,
+               (p.base * 7 + p.similar * 3) % 100 / 100.0E0 AS similarity_score, o.o_orderdate AS cached_at, e.ts AS expires_at
+        FROM (SELECT a.vec_id AS base, b.vec_id AS similar, (a.vec_id * 37 + b.vec_id % 3) % (SELECT COUNT(*) FROM {events}) AS of_event
+              FROM {embeddings} a JOIN {embeddings} b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 4) p
+        JOIN {orders} o ON o.o_orderkey = p.base JOIN {events} e ON e.event_id = p.of_event""",
     "v_proposals": """
         SELECT CAST(o_orderkey AS STRING) AS proposal_id,
                CASE o_orderstatus WHEN 'F' THEN 'approved' WHEN 'O' THEN 'pending' ELSE 'rejected' END AS status,

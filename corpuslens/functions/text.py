@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -47,6 +48,28 @@ ARTICLES = r"([第]?\d+条[の]?\d*(?:第\d+項)?)"
 QA = r"Q[:：]\s*([^\n]+(?:\n(?!A[:：])[^\n]*)*)\s*A[:：]\s*([^\n]+(?:\n(?!Q[:：])[^\n]*)*)"
 
 
+# Fixed values of the law variant: references to articles, marked terms; keywords and names of courses by their id
+LAW_ARTICLES = r"([^\s]+法[第]?\d+条[の]?\d*(?:第\d+項)?)"
+LAW_TERMS = ["宅建業法", "宅地建物取引士", "重要事項説明", "営業保証金", "供託所", "宅建業者", "媒介契約", "売買契約", "賃貸借契約", "重要事項", "契約書面", "37条書面", "35条書面", "免許", "登録", "更新", "監督処分", "指示処分", "業務停止", "免許取消", "罰則", "行政書士", "社会保険労務士", "ファイナンシャルプランナー", "簿記", "マンション管理士", "管理業務主任者", "司法書士", "通関士"]
+COURSE_KEYWORDS = {
+    "1": ["行政書士法", "許認可", "官公署", "代理", "代行"],
+    "2": ["労働基準法", "社会保険", "労災", "雇用保険", "年金"],
+    "3": ["ライフプランニング", "リスク管理", "金融資産", "タックスプランニング", "不動産", "相続"],
+    "4": ["宅建業法", "都市計画法", "建築基準法", "重要事項説明", "媒介契約"],
+    "5": ["マンション管理適正化法", "区分所有法", "管理組合", "修繕積立金"],
+    "6": ["仕訳", "貸借対照表", "損益計算書", "減価償却", "棚卸資産"],
+    "26": ["ITパスポート", "情報セキュリティ", "システム開発", "データベース"],
+    "27": ["関税法", "通関業法", "輸出入", "税関"],
+    "45": ["司法書士法", "不動産登記", "商業登記", "供託"],
+    "46": ["アルゴリズム", "データ構造", "プログラミング", "システム設計"],
+    "47": ["金融商品取引法", "証券", "投資信託", "デリバティブ"],
+}
+COURSE_NAMES = {
+    "1": "行政書士", "2": "社会保険労務士", "3": "FP（ファイナンシャルプランナー）", "4": "宅建士（宅地建物取引士）", "5": "マンション管理士・管理業務主任者", "6": "簿記2級・3級", "26": "IT（ITパスポート）",
+    "27": "通関士", "28": "旅行業務取扱管理者", "39": "年金アドバイザー3級", "40": "危険物取扱者乙種4類", "45": "司法書士", "46": "基本情報技術者", "47": "証券外務員",
+}
+
+
 class _Text(HTMLParser):
     """Pieces of text outside the dropped elements; alt texts of images count as text."""
 
@@ -105,13 +128,18 @@ def collapse(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r"^ | $", "")
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def cut(text: Column, n: int, mark: str = "...") -> Column:
-    return F.when(F.char_length(text) > n, F.concat(F.left(text, F.lit(n - len(mark))), F.lit(mark))).otherwise(text)
+    return let(text, lambda x: F.when(F.char_length(x) > n, F.concat(F.left(x, F.lit(n - len(mark))), F.lit(mark))).otherwise(x))
 
 
 def bounded(text: Column, n: int) -> Column:
     """Texts of more than n characters are cut there and marked."""
-    return F.when(F.char_length(text) > n, F.concat(F.left(text, F.lit(n)), F.lit("...[truncated]"))).otherwise(text)
+    return let(text, lambda x: F.when(F.char_length(x) > n, F.concat(F.left(x, F.lit(n)), F.lit("...[truncated]"))).otherwise(x))
 
 
 def simple_text(*parts: Column, limit: int = 8000) -> Column:
@@ -133,39 +161,77 @@ def field_of(course_name: Column, course_slug: Column, content: Column, title: C
 
 
 def field_of_lower(name: Column, slug: Column, text: Column) -> Column:
-    """field_of() of lower-case texts, which should be columns: each is looked at for every keyword."""
-    hits = [F.struct(sum((F.contains(text, F.lit(k)).cast("int") for k in ks), F.lit(0)).alias("n"), F.lit(-i).alias("minus"), F.lit(f).alias("field")) for i, (f, ks) in enumerate(FIELD_KEYWORDS.items())]
-    best = F.array_max(F.array(*hits))
-    out = F.when(best["n"] > 0, best["field"]).otherwise("general")
-    for f, ks in reversed(FIELD_COURSES.items()):
-        here = F.lit(False)
-        for k in ks:
-            here = here | F.contains(name, F.lit(k)) | F.contains(slug, F.lit(k))
-        out = F.when(here, f).otherwise(out)
-    return out
+    """field_of() of lower-case texts."""
+    words = F.array(*[F.struct(F.array(*map(F.lit, ks)).alias("words"), F.lit(-i).alias("minus"), F.lit(f).alias("field")) for i, (f, ks) in enumerate(FIELD_KEYWORDS.items())])
+    courses = F.array(*[F.struct(F.array(*map(F.lit, ks)).alias("words"), F.lit(f).alias("field")) for f, ks in FIELD_COURSES.items()])
+    hits = lambda x: F.transform(words, lambda w: F.struct(F.size(F.filter(w["words"], lambda k: F.contains(x, k))).alias("n"), w["minus"].alias("minus"), w["field"].alias("field")))
+    best = let(text, lambda x: let(F.array_max(hits(x)), lambda m: F.when(m["n"] > 0, m["field"]).otherwise("general")))
+    named = let(F.struct(name.alias("name"), slug.alias("slug")), lambda c: F.filter(courses, lambda w: F.exists(w["words"], lambda k: F.contains(c["name"], k) | F.contains(c["slug"], k))))
+    return F.coalesce(F.get(named, F.lit(0))["field"], best)
 
 
 def _where(text: Column, needle: str, pattern: str, to: str) -> Column:
     """Replacement by a pattern in texts that contain what every match of it does; the others aren't run through it."""
-    return F.when(F.contains(text, F.lit(needle)), F.regexp_replace(text, pattern, to)).otherwise(text)
+    return let(text, lambda x: F.when(F.contains(x, F.lit(needle)), F.regexp_replace(x, pattern, to)).otherwise(x))
+
+
+# What opens a definition, a bullet, a numbered line
+DEFINITION, BULLET, NUMBER = r"(?:^|\n)([^\n]{1,50}とは[？?]?)\s*(?:\n|$)", r"(?:^|\n)・([^\n]+)", r"(?:^|\n)(\d+)\.([^\n]+)"
+_FLAGS = "(?mdU)"
+
+
+def _definitions(text: Column) -> Column:
+    return _where(text, "とは", _FLAGS + DEFINITION, "\n【$1】\n")
+
+
+def _lists_and_points(text: Column, words: str) -> Column:
+    out = _where(text, "・", _FLAGS + BULLET, "\n- $1")
+    out = F.regexp_replace(out, _FLAGS + NUMBER, "\n$1. $2")
+    return F.regexp_replace(out, f"{_FLAGS}(?:^|\n)({words})[：:]([^\n]+)", "\n★$1: $2")
 
 
 def structured(text: Column) -> Column:
     """Definitions, legal terms, article references, bullets, numbers and key points in uniform marks."""
-    flags = "(?mdU)"
-    out = _where(text, "とは", flags + r"(?:^|\n)([^\n]{1,50}とは[？?]?)\s*(?:\n|$)", "\n【$1】\n")
-    out = F.when(out.rlike("法|規則|規定|基準|要件|条例"), F.regexp_replace(out, flags + LEGAL, "《$1》")).otherwise(out)
-    out = _where(out, "条", flags + ARTICLES, "《$1》")
-    out = _where(out, "・", flags + r"(?:^|\n)・([^\n]+)", "\n- $1")
-    out = F.regexp_replace(out, flags + r"(?:^|\n)(\d+)\.([^\n]+)", "\n$1. $2")
-    return F.regexp_replace(out, flags + r"(?:^|\n)(ポイント|重要|注意|要点|まとめ)[：:]([^\n]+)", "\n★$1: $2")
+    out = _definitions(text)
+    out = let(out, lambda x: F.when(x.rlike("法|規則|規定|基準|要件|条例"), F.regexp_replace(x, _FLAGS + LEGAL, "《$1》")).otherwise(x))
+    return _lists_and_points(_where(out, "条", _FLAGS + ARTICLES, "《$1》"), "ポイント|重要|注意|要点|まとめ")
+
+
+def law_structured(text: Column) -> Column:
+    """The law variant of structured(): only whole references to articles of a law are marked, and three words open key points."""
+    return _lists_and_points(_where(_definitions(text), "条", _FLAGS + LAW_ARTICLES, "《$1》"), "ポイント|重要|注意")
+
+
+def course_marks(text: Column, course: Column) -> Column:
+    """The keywords of a course put into 【】, one after the other; other courses have none."""
+    return _marked_by(text, course, COURSE_KEYWORDS)
+
+
+def course_name(course: Column, known: Column) -> Column:
+    """The name of a course: the known one, else that of the list, else one made from its id."""
+    names = F.create_map(*[F.lit(x) for item in COURSE_NAMES.items() for x in item])
+    return F.coalesce(known, F.try_element_at(names, course), F.concat(F.lit("講座"), course))
+
+
+def law_terms(text: Column, course: Column, name: Column) -> Column:
+    """The terms of the law variant in marks, then the course's name, unless it is only made from the id."""
+    out = keyword_marks(text, LAW_TERMS)
+    return F.when((F.coalesce(name, F.lit("")) != "") & (name != F.concat(F.lit("講座"), course)), F.replace(out, name, F.concat(F.lit("【"), name, F.lit("】")))).otherwise(out)
+
+
+def _marked(text: Column, words: Column) -> Column:
+    return F.aggregate(words, text, lambda done, w: F.replace(done, w, F.concat(F.lit("【"), w, F.lit("】"))))
+
+
+def _marked_by(text: Column, key: Column, words: dict[str, list[str]]) -> Column:
+    """The words of a key, if it has any, in marks."""
+    known = F.create_map(*[c for k, ws in words.items() for c in (F.lit(k), F.array(*map(F.lit, ws)))])
+    return _marked(text, F.coalesce(F.try_element_at(known, key), F.array().cast("array<string>")))
 
 
 def keyword_marks(text: Column, words: list[str]) -> Column:
     """Each word in turn put into 【】 wherever it stands."""
-    for w in words:
-        text = F.replace(text, F.lit(w), F.lit(f"【{w}】"))
-    return text
+    return _marked(text, F.array(*map(F.lit, words)))
 
 
 def structured_qa(text: Column) -> Column:
@@ -178,10 +244,7 @@ def structured_qa(text: Column) -> Column:
 
 def enhanced_terms(text: Column, field: Column) -> Column:
     """The field's keywords, then the common terms, in marks; sequential, so terms in both are marked twice."""
-    out = text
-    for f, ks in FIELD_KEYWORDS.items():
-        out = F.when(field == f, keyword_marks(text, ks)).otherwise(out)
-    return keyword_marks(out, TERMS)
+    return keyword_marks(_marked_by(text, field, FIELD_KEYWORDS), TERMS)
 
 
 def labelled(title: Column, course: Column, field: Column, content: Column, qa: Column) -> Column:
@@ -189,7 +252,7 @@ def labelled(title: Column, course: Column, field: Column, content: Column, qa:
     name = F.lit(None).cast("string")
     for f, n in FIELD_NAMES.items():
         name = F.when(field == f, n).otherwise(name)
-    part = lambda label, c: F.when(F.coalesce(F.btrim(c), F.lit("")) != "", F.concat(F.lit(label), F.btrim(c)))
+    part = lambda label, c: let(F.btrim(c), lambda x: F.when(F.coalesce(x, F.lit("")) != "", F.concat(F.lit(label), x)))
     return F.concat_ws("\n\n", part("タイトル: ", title), F.when(F.coalesce(course, F.lit("")) != "", F.concat(F.lit("講座: "), course)), F.when(field != "general", F.concat(F.lit("分野: "), F.coalesce(name, field))), part("内容: ", content), part("Q&A: ", qa))
 
 
@@ -253,11 +316,13 @@ def text_stats(before: Column, after: Column) -> dict[str, Column]:
 
 def sentence_cut(text: Column, n: int = 1500, mark: str = "。") -> Column:
     """Tags out, cut at n, back to the last full stop if that is beyond four fifths, with dots."""
+
+    def back(head: Column) -> Column:
+        last = n - F.instr(F.reverse(head), mark) + 1
+        return F.when((F.instr(head, mark) > 0) & (last > n * 0.8), F.substring(head, F.lit(1), last)).otherwise(head)
+
     plain = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"<[^>]*>", ""))
-    head = F.left(plain, F.lit(n))
-    last = n - F.instr(F.reverse(head), mark) + 1
-    kept = F.when((F.instr(head, mark) > 0) & (last > n * 0.8), F.substring(head, F.lit(1), last)).otherwise(head)
-    return F.when(F.char_length(plain) <= n, plain).otherwise(F.concat(kept, F.lit("...")))
+    return let(plain, lambda x: F.when(F.char_length(x) <= n, x).otherwise(F.concat(let(F.left(x, F.lit(n)), back), F.lit("..."))))
 
 
 def chunk_text(article_title: Column, section: Column, text: Column) -> Column:
@@ -274,6 +339,16 @@ def pair_sentence(a_title: Column, b_title: Column, score: Column, action: Colum
     return F.concat(a_title, F.lit(" / "), b_title, F.lit(": "), F.format_string("%.1f", score * 100), F.lit("% "), action)
 
 
+def cache_prompt(a_title: Column, a_course: Column, a_views: Column, b_title: Column, b_course: Column, b_views: Column, score: Column, action: Column) -> Column:
+    """Prompt that asks for a short reason to carry out an action on a cached pair."""
+
+    def side(name: str, title: Column, course: Column, views: Column) -> list[Column]:
+        return [F.lit(f"{name}\n- title: "), F.coalesce(title, F.lit("")), F.lit("\n- course: "), F.coalesce(course, F.lit("N/A")), F.lit("\n- views a month: "), F.format_number(F.coalesce(views, F.lit(0)).cast("bigint"), 0), F.lit("\n")]
+
+    end = [F.lit("- similarity: "), F.format_string("%.3f", score), F.lit("\nAction: "), action, F.lit("\nSay in at most 150 characters why it helps, what it does for search results, and what to watch out for.")]
+    return F.concat(*side("Base article", a_title, a_course, a_views), *side("Similar article", b_title, b_course, b_views), *end)
+
+
 def display_views(n: Column) -> Column:
     return F.when(n >= 1_000_000, F.concat(F.format_string("%.1f", n / 1_000_000), F.lit("M"))).when(n >= 1000, F.concat(F.format_string("%.1f", n / 1000), F.lit("K"))).otherwise(n.cast("string"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import html_text, iso_time, string_id
+from corpuslens.functions.text import bounded, html_text, iso_time, string_id
 
 
 def _parts(*parts: Column) -> Column:
@@ -38,6 +38,15 @@ def assembled(docs: DataFrame) -> DataFrame:
     )
 
 
+# Characters that a field of a record may have
+FIELD_LIMITS = {"full_content": 50_000, "full_content_html": 50_000, "qanda_content": 10_000, "description": 5_000}
+
+
+def limited(rows: DataFrame) -> DataFrame:
+    """rows with those of their text fields that have a limit cut there and marked."""
+    return rows.withColumns({c: bounded(F.col(c), n) for c, n in FIELD_LIMITS.items() if c in rows.columns})
+
+
 def course_rows(docs: DataFrame) -> DataFrame:
     a = F.col("attributes")
     return docs.select(string_id(F.col("id")).alias("id"), a["slug"].alias("slug"), a["name"].alias("name"), a["description"].alias("description"), F.lit(0).cast("bigint").alias("total_articles"), F.lit(0).cast("bigint").alias("total_pageviews"), iso_time(a["createdAt"]).alias("created_at"), iso_time(a["updatedAt"]).alias("updated_at"))

@@ -15,7 +15,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """id, component (smallest id of its component) for every vertex of an undirected edge list.
 
     Each round, a vertex goes over to the neighbour (or itself) whose hash under that round's seed is least, edges are
-    carried along, and what has become a loop or a copy falls away. The labels are joined and aggregated by key, with
+    carried along, and what has become a loop or a copy falls away. A seed serves two rounds: in the second, all that has
+    gathered around the least vertex of a star goes over to it. The labels are joined and aggregated by key, with
     partial sums, and written to the shared folder after each round, so neither long chains nor vertices with very many
     edges gather in one task. Null ends, loops and repeated edges are ignored; no edge gives no row.
     """
@@ -25,12 +26,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     for number in range(MAX_ROUNDS):
         if left.isEmpty():
             break
-        order = lambda c: F.xxhash64(F.lit(number), c)
-        both = left.union(left.select("v", "u"))
-        least = both.groupBy("u").agg(F.min(order(F.col("v"))).alias("h"))
-        # the neighbour with that hash; a vertex that is least itself stays
-        to = both.withColumn("h", order(F.col("v"))).join(least, ["u", "h"]).groupBy("u", "h").agg(F.min("v").alias("v"))
-        moves = materialise(to.where(F.col("h") < order(F.col("u"))).select(F.col("u").alias("at"), F.col("v").alias("to")), "moves")
+        order = lambda c: F.xxhash64(F.lit(number // 2), c)  # noqa: B023, E731
+        both = left.union(left.select("v", "u")).select("u", "v", order(F.col("v")).alias("h"))
+        least = both.groupBy("u").agg(F.min("h").alias("h"), F.min_by("v", "h").alias("v"))
+        moves = materialise(least.where(F.col("h") < order(F.col("u"))).select(F.col("u").alias("at"), F.col("v").alias("to")), "moves")
         labels = materialise(labels.join(moves, "at", "left").select("id", F.coalesce("to", "at").alias("at")), "labels")
         carried = left.join(moves.withColumnRenamed("at", "u"), "u", "left").select(F.coalesce("to", "u").alias("u"), "v")
         carried = carried.join(moves.withColumnRenamed("at", "v"), "v", "left").select("u", F.coalesce("to", "v").alias("v"))

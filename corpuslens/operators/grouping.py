@@ -54,10 +54,19 @@ def strategy(courses: Column) -> Column:
     return F.when(courses == 1, "same_course").otherwise("cross_course")
 
 
+# Benefits of very similar members, of several courses, of three members or more
+BENEFITS = ("非常に高い類似度による重複コンテンツの削減", "講座横断での一貫性向上", "複数記事の統合による包括的なコンテンツ作成")
+
+
+def benefits(similarity: Column, courses: Column, members: Column) -> Column:
+    """The benefits that apply."""
+    return F.filter(F.array(F.when(similarity > 0.9, BENEFITS[0]), F.when(courses > 1, BENEFITS[1]), F.when(members >= 3, BENEFITS[2])), lambda x: x.isNotNull())
+
+
 def summary(groups: DataFrame, articles: DataFrame) -> DataFrame:
-    """Of each group (group, a, b, similarity): stable id, members, their number and courses, mean similarity, strategy, priority."""
+    """Of each group (group, a, b, similarity): stable id, members, their number and courses, mean similarity, strategy, benefits, priority."""
     mean = groups.groupBy("group").agg(F.avg("similarity").alias("mean_similarity"))
     members = groups.select("group", F.explode(F.array("a", "b")).alias("id")).distinct().join(articles.select("id", "koza_id"), "id", "left")
     out = members.groupBy("group").agg(F.array_sort(F.collect_set("id")).alias("members"), F.count_distinct("koza_id").alias("courses")).join(mean, "group")
     level = F.when(F.col("mean_similarity") > 0.9, "high").when(F.col("mean_similarity") > 0.8, "medium").otherwise("low")
-    return out.select(F.xxhash64("members").alias("group_id"), "group", "members", F.size("members").alias("n"), "courses", "mean_similarity", strategy(F.col("courses")).alias("strategy"), level.alias("priority"))
+    return out.select(F.xxhash64("members").alias("group_id"), "group", "members", F.size("members").alias("n"), "courses", "mean_similarity", strategy(F.col("courses")).alias("strategy"), benefits(F.col("mean_similarity"), F.col("courses"), F.size("members")).alias("benefits"), level.alias("priority"))

@@ -114,6 +114,6 @@ def enhanced(avg: Column, ratio: Column, run: Column, metadata: Column) -> Colum
 
 
 def breakdown(avg: Column, ratio: Column, run: Column, metadata: Column) -> Column:
-    """The parts of enhanced(), as texts with three decimals."""
+    """The parts of enhanced(), as texts with three decimals (half up)."""
     parts = {"base_score": avg * 0.60, "weighted_ratio_score": ratio * 0.25, "run_bonus": run, "metadata_bonus": F.least(metadata * 0.5, F.lit(0.05)), "weighted_ratio": ratio}
     return F.struct(*[F.format_string("%.3f", v.cast("double")).alias(k) for k, v in parts.items()])

@@ -149,3 +149,8 @@ def page_info(df: DataFrame, number: int, size: int) -> DataFrame:
 def relevance(query: str) -> Column:
     """3 for a hit in the title, 2 in the text, 1 in the link."""
     return F.when(contains_any_case("title", query), 3).when(contains_any_case("full_content", query), 2).when(contains_any_case("link", query), 1).otherwise(0)
+
+
+def course_map(courses: DataFrame) -> DataFrame:
+    """id and name of the courses that have a name, by id."""
+    return courses.where("name IS NOT NULL AND name <> ''").orderBy("id").select("id", "name")

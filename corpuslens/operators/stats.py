@@ -118,3 +118,8 @@ def provider_recency(usage: DataFrame, as_of: Column) -> DataFrame:
     last = usage.groupBy("provider").agg(F.max("log_ts").alias("last_used"))
     ago = F.unix_micros(as_of) - F.unix_micros(F.col("last_used").cast("timestamp"))
     return last.withColumn("state", F.when(ago < 3_600_000_000, "active").when(ago < 86_400_000_000, "idle").otherwise("inactive"))
+
+
+def active_groups(groups: DataFrame) -> DataFrame:
+    """Number of active groups, and of articles in them."""
+    return groups.where("status = 'active'").agg(F.count("*").alias("active_groups"), F.coalesce(F.sum(F.size("article_ids")), F.lit(0)).cast("bigint").alias("articles"))

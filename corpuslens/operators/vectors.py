@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.runtime import ship_package
+from corpuslens.runtime import materialise, new_path, ship_package
 
 #: Vectors in a block of the corpus-wide join; a task holds two blocks and their product.
 BLOCK_ROWS = 2000
@@ -57,41 +57,78 @@ def nearest_to(query: DataFrame, candidates: DataFrame, id_col: str = "id", vect
     return scored.withColumn("similarity", dot(F.col("__x"), F.col("__y"))).drop("__x", "__y", "__q")
 
 
-def similarity_join(vectors: DataFrame, threshold: float, top: int | None = None, id_col: str = "id", owner: str | None = None, vector: str = "content_embedding", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _blocks(rows: DataFrame, folder: str, block_rows: int, least: int) -> int:
+    """Write rows (id, owner, unit), dealt by a hash of the id, as a folder of Parquet files for each block; how many there are.
+
+    Blocks have about block_rows rows, or fewer so that there are least blocks (but no smaller than a quarter of that).
+    """
+    n = rows.count()
+    blocks = max(1, -(-n // block_rows), min(least, 4 * n // block_rows))
+    rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(F.col("i")).write.partitionBy("i").parquet(folder)
+    return blocks
+
+
+def _matches(product: np.ndarray, first, second, threshold: float, top: int | None):
+    """base_id, similar_id, similarity of the pairs of two blocks at or above the threshold and of different owners, the top per base."""
+    import pandas as pd
+
+    i, j = np.nonzero((product >= threshold) & (first["owner"].to_numpy()[:, None] != second["owner"].to_numpy()[None, :]))
+    found = pd.DataFrame({"base_id": first["id"].to_numpy()[i], "similar_id": second["id"].to_numpy()[j], "similarity": product[i, j]})
+    if top is not None:
+        found = found.sort_values(["base_id", "similarity", "similar_id"], ascending=[True, False, True]).groupby("base_id").head(top)
+    return found
+
+
+def similarity_join(vectors: DataFrame, threshold: float, top: int | None = None, id_col: str = "id", owner: str | None = None, vector: str = "content_embedding", block_rows: int = BLOCK_ROWS, base: DataFrame | None = None) -> DataFrame:
     """base_id, similar_id, similarity of all ordered pairs of a corpus at or above a threshold, top per base if given.
 
-    Vectors are dealt by a hash of the id to blocks of about block_rows; each pair of blocks meets in one task as a
-    matrix product, of which only what passes is kept (and of a base's matches in the block, only the top: that is exact).
-    owner: pairs with the same value there are left out (and a vector and itself always).
+    Vectors are written once to the shared folder in blocks of about block_rows; the rows that are dealt to tasks are
+    pairs of block numbers. A task reads its two blocks and keeps, of their matrix product, only what passes (and of a
+    base's matches in the block, only the top: that is exact).
+    owner: pairs with the same value there are left out (and a vector and itself always). base: ids (in a column called
+    as id_col) whose matches alone are looked for; only their vectors are then multiplied with all others.
     """
-    ship_package(vectors.sparkSession)
+    spark = vectors.sparkSession
+    ship_package(spark)
     own = F.col(owner) if owner else F.col(id_col)
-    rows = unit(vectors, vector).select(F.col(id_col).alias("id"), own.alias("owner"), "unit")
-    blocks = max(1, -(-rows.count() // block_rows))
-    mine = rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    dealt = mine.withColumn("j", other).select(F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "owner", "unit")
-
-    def product(key, pdf):
-        import pandas as pd
-
-        first, second = pdf[pdf["i"] == key[0]], pdf[pdf["i"] == key[1]]
-        out = []
-        if not len(first) or not len(second):
-            return pd.DataFrame({"base_id": [], "similar_id": [], "similarity": []}).astype({"base_id": str, "similar_id": str})
-        x, y = np.stack(first["unit"].to_numpy()), np.stack(second["unit"].to_numpy())
-        s = x @ y.T
-        ok = (s >= threshold) & (first["owner"].to_numpy()[:, None] != second["owner"].to_numpy()[None, :])
-        for m, a, b in ((ok, first, second), (ok.T, second, first)) if key[0] != key[1] else ((ok, first, second),):
-            value = s if m is ok else s.T
-            i, j = np.nonzero(m)
-            found = pd.DataFrame({"base_id": a["id"].to_numpy()[i], "similar_id": b["id"].to_numpy()[j], "similarity": value[i, j]})
-            if top is not None:
-                found = found.sort_values(["base_id", "similarity", "similar_id"], ascending=[True, False, True]).groupby("base_id").head(top)
-            out.append(found)
-        return pd.concat(out)
-
-    found = dealt.groupBy("p", "q").applyInPandas(product, "base_id string, similar_id string, similarity double")
+    rows = materialise(unit(vectors, vector).select(F.col(id_col).cast("string").alias("id"), own.cast("string").alias("owner"), "unit"), "units")
+    folder, parallel = new_path(spark, "blocks"), spark.sparkContext.defaultParallelism
+    others = firsts = folder + "/all"
+    n = m = _blocks(rows, others, block_rows, -(-parallel // 2))
+    if base is not None:
+        firsts = folder + "/base"
+        n = _blocks(materialise(rows.join(base.select(F.col(id_col).cast("string").alias("id")).distinct(), "id", "left_semi"), "base"), firsts, block_rows, 1)
+    pairs = spark.range(0, n * m, 1, min(n * m, 16 * parallel)).select(F.floor(F.col("id") / m).alias("p"), (F.col("id") % m).alias("q"))
+
+    both_ways = base is None
+
+    def run(batches):
+        from pyarrow import fs, parquet
+
+        held: dict[str, object] = {}
+
+        def block(at: str, k: int):
+            name = f"{at}/i={k}"
+            if name not in held:
+                while len(held) > 1:
+                    del held[next(iter(held))]
+                system, path = fs.FileSystem.from_uri(name)
+                there = system.get_file_info(path).type != fs.FileType.NotFound
+                held[name] = parquet.read_table(path, filesystem=system, partitioning=None).to_pandas() if there else ()
+            held[name] = held.pop(name)  # the one met last
+            return held[name]
+
+        for pdf in batches:
+            for p, q in zip(pdf["p"].tolist(), pdf["q"].tolist(), strict=True):
+                first, second = block(firsts, p), block(others, q)
+                if len(first) and len(second):
+                    product = np.stack(first["unit"].to_numpy()) @ np.stack(second["unit"].to_numpy()).T
+                    yield _matches(product, first, second, threshold, top)
+                    if both_ways and p != q:
+                        yield _matches(product.T, second, first, threshold, top)
+
+    pairs = pairs.where("p <= q") if both_ways else pairs
+    found = pairs.mapInPandas(run, "base_id string, similar_id string, similarity double")
     return top_per(found, top) if top is not None else found
 
 
@@ -119,10 +156,12 @@ def embed(df: DataFrame, text: str, to: str = "content_embedding", model=None, d
     """
     if model is not None:
         return df.withColumn(to, model(F.col(text)))
-    words = F.filter(F.split(F.lower(F.col(text)), r"(?U)\s+"), lambda w: w != "")
-    cells = F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(dims)).cast("int"))
-    counts = F.aggregate(cells, F.array_repeat(F.lit(0.0), dims), lambda acc, c: F.transform(acc, lambda v, i: F.when(i == c, v + 1.0).otherwise(v)))
-    return df.withColumn("__v", counts).withColumn("__n", norm(F.col("__v"))).withColumn(to, F.when(F.col("__n") > 0, F.transform("__v", lambda v: v / F.col("__n")))).drop("__v", "__n")
+    from pyspark.ml.feature import HashingTF
+    from pyspark.ml.functions import vector_to_array
+
+    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\s+"), lambda w: w != "")
+    counted = HashingTF(numFeatures=dims, inputCol="__w", outputCol="__v").transform(df.withColumn("__w", words)).withColumn("__v", vector_to_array("__v"))
+    return counted.withColumn("__n", norm(F.col("__v"))).withColumn(to, F.when(F.col("__n") > 0, F.transform("__v", lambda v: v / F.col("__n")))).drop("__w", "__v", "__n")
 
 
 def merge_neighbours(first: DataFrame, fallback: DataFrame, n: int, base: str = "base_id", other: str = "similar_id", score: str = "similarity") -> DataFrame:

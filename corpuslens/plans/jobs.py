@@ -7,15 +7,16 @@ from pyspark.sql import functions as F
 
 from corpuslens.operators import articles as cms
 from corpuslens.operators import engagement, merge, recommend, scoring, search, stats, vectors
+from corpuslens.runtime import materialise
 
 
 def chunk_matches(chunks: DataFrame, base_ids: list[str] | None = None, threshold: float = 0.5, top_chunks: int = 10) -> DataFrame:
     """Best matches of each base chunk (of all articles, or of base_ids) among the chunks of other articles."""
-    found = vectors.similarity_join(chunks, threshold, None if base_ids else top_chunks, "chunk_id", "article_id")
+    base = chunks.where(F.col("article_id").isin(base_ids)) if base_ids else None
+    found = vectors.similarity_join(chunks, threshold, top_chunks, "chunk_id", "article_id", base=base)
     c = chunks.select("chunk_id", "article_id", "chunk_index", "chunk_title")
     side = lambda s: c.select(*[F.col(x).alias(f"{s}_{y}") for x, y in (("chunk_id", "id"), ("article_id", "article"), ("chunk_index", "index"), ("chunk_title", "title"))])
     both = found.drop("rank").join(side("base"), "base_id").join(side("similar"), "similar_id").withColumnsRenamed({"base_id": "base_chunk_id", "similar_id": "similar_chunk_id"})
-    both = both.where(F.col("base_article").isin(base_ids)) if base_ids else both
     return scoring.ranked_matches(both, top_chunks)
 
 
@@ -57,10 +58,18 @@ def neighbour_analysis(articles: DataFrame, base_id: str, high: float = 0.8, n:
     return stats.neighbour_stats(found), found.where(F.col("similarity") >= high).orderBy(F.desc("similarity"), "id").limit(n), stats.similarity_by_course(found)
 
 
+def neighbour_blocks(articles: DataFrame, base_id: str, high: float = 0.8, n: int = 20) -> DataFrame:
+    """neighbour_analysis() as three rows (type, data): JSON of the statistics, of the most similar articles and of the courses."""
+    names = ("stats", "high_similarity", "course_similarities")
+    blocks = [rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns)))).alias("data")).select(F.lit(name).alias("type"), "data") for name, rows in zip(names, neighbour_analysis(articles, base_id, high, n), strict=True)]
+    return blocks[0].unionByName(blocks[1]).unionByName(blocks[2])
+
+
 def build_similarity_cache(articles: DataFrame, as_of: Column, ttl_days: int = 7, n: int = 20, threshold: float = 0.0, min_pageviews: int = 100, seeds: int | None = 20) -> DataFrame:
     """Cache rows of the n nearest articles of each popular one."""
     base = search.seeds(articles, min_pageviews, seeds) if seeds is not None else articles.where((F.col("pageviews") >= min_pageviews) & vectors.has_vector(F.col("content_embedding")))
-    near = vectors.similarity_join(articles, threshold, n, "id").join(base.select(F.col("id").alias("base_id"), F.col("pageviews").alias("base_views"), F.col("title").alias("base_title")), "base_id")
+    base = materialise(base, "seeds")
+    near = vectors.similarity_join(articles, threshold, n, "id", base=base).join(base.select(F.col("id").alias("base_id"), F.col("pageviews").alias("base_views"), F.col("title").alias("base_title")), "base_id")
     near = near.join(articles.select(F.col("id").alias("similar_id"), F.col("pageviews").alias("similar_views"), F.col("title").alias("similar_title")), "similar_id")
     from corpuslens.functions.text import pair_sentence
 
@@ -96,8 +105,8 @@ def sync_metrics(events: DataFrame, courses: DataFrame, articles: DataFrame, hos
 
 
 def sync_cms(course_docs: DataFrame, article_docs: DataFrame, courses: DataFrame, articles: DataFrame, as_of: Column) -> tuple[DataFrame, DataFrame]:
-    """New course and article tables after CMS documents are merged in. Texts of articles are written, too."""
-    rows = cms.assembled(article_docs).withColumn("last_synced", as_of)
+    """New course and article tables after CMS documents are merged in. Texts of articles are written, too, within the limits of their fields."""
+    rows = cms.limited(cms.assembled(article_docs)).withColumn("last_synced", as_of)
     new = engagement.course_totals(cms.course_rows(course_docs).drop("total_articles", "total_pageviews"), rows).withColumn("last_synced", as_of)
     return merge.merge(courses, merge.unique(new, "id"), "id", merge.COURSE_RULES), merge.merge(articles, merge.unique(rows, "id"), "id", merge.ARTICLE_RULES)
 

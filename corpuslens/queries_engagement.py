@@ -43,16 +43,22 @@ def s05(t: Tables):
     return src.parameter_query(docs.sparkSession, "SELECT doc_id FROM {docs} WHERE lang = :lang AND n_chars >= :least", {"lang": "de", "least": 500}, docs=docs)
 
 
-@query("s08_table_facts", "SELECT count(*) AS rows FROM documents")
+@query("s08_table_facts", "SELECT count(*) AS rows, 5 AS columns, true AS has_bytes, true AS in_order FROM documents")
 def s08(t: Tables):
-    return src.table_facts(t("documents")).select("rows")
+    return src.table_facts(t("documents")).select("rows", "columns", (F.col("bytes") > 0).alias("has_bytes"), (F.col("created") <= F.col("modified")).alias("in_order"))
 
 
-@query("s09_bounded_text", "SELECT doc_id, CASE WHEN length(text) > 500 THEN left(text, 500) || '...[truncated]' ELSE text END AS text FROM documents")
+def limit(n: int) -> str:
+    return f"CASE WHEN length(text || text || text) > {n} THEN left(text || text || text, {n}) || '...[truncated]' ELSE text || text || text END"
+
+
+@query("s09_bounded_text", f"SELECT doc_id, {limit(50_000)} AS full_content, {limit(10_000)} AS qanda_content, {limit(5_000)} AS description FROM documents")
 def s09(t: Tables):
-    from corpuslens.functions.text import bounded
+    from corpuslens.operators.articles import limited
 
-    return t("documents").select("doc_id", bounded(F.col("text"), 500).alias("text"))
+    # three times the text, so that all limits are met
+    text = F.concat("text", "text", "text")
+    return limited(t("documents").select("doc_id", *[text.alias(c) for c in ("full_content", "qanda_content", "description")]))
 
 
 @query("p01_event_parameter", "SELECT event_id, page_location AS page, engagement_time_msec AS msec FROM v_events")
@@ -339,6 +345,12 @@ def a27(t: Tables):
     return stats.proposals_by_status(t("v_proposals"))
 
 
+@query("a27_active_groups", "SELECT count(*) AS active_groups, CAST(sum(len(article_ids)) AS BIGINT) AS articles FROM v_proposals WHERE status = 'approved'")
+def a27_groups(t: Tables):
+    groups = t("v_proposals").withColumn("status", F.when(F.col("status") == "approved", "active").otherwise(F.col("status")))
+    return stats.active_groups(groups)
+
+
 @query("a28_run_by_field", f"SELECT content_type AS field_type, count(*) AS n, count(*) FILTER ({HAS}) AS successes FROM v_articles GROUP BY 1")
 def a28(t: Tables):
     from corpuslens.operators.vectors import has_vector

@@ -68,9 +68,10 @@ def v06(t: Tables):
     return t("v_cache").select("base_article_id", "similar_article_id", vectors.confidence(F.col("similarity_score")).alias("confidence"))
 
 
-@query("v07_embed")
+@query("v07_embed", "SELECT id, text IS NULL OR trim(text, chr(10) || ' ') = '' AS none, CASE WHEN NOT (text IS NULL OR trim(text, chr(10) || ' ') = '') THEN 1.0::DOUBLE END AS length FROM (SELECT id, CASE WHEN CAST(id AS INTEGER) % 7 <> 0 THEN full_content END AS text FROM v_articles)")
 def v07(t: Tables):
-    return vectors.embed(t("v_articles").select("id", "title"), "title", dims=32).select("id", F.round(vectors.norm(F.col("content_embedding")), 6).alias("length"))
+    rows = t("v_articles").select("id", F.when(F.col("id").cast("int") % 7 != 0, F.col("full_content")).alias("text"))
+    return vectors.embed(rows, "text", dims=32).select("id", F.col("content_embedding").isNull().alias("none"), F.round(vectors.norm(F.col("content_embedding")), 6).alias("length"))
 
 
 @query("j05_query_vector", f"SELECT id, {SIM} FROM ({NEAR})")
@@ -217,6 +218,17 @@ def r05(t: Tables):
     return similar(t, None).select("base_article", "similar_article", F.round("score", 6).alias("score"))
 
 
+def fixed3(x: str) -> str:
+    return f"printf('%.3f', {x} + 1e-9)"
+
+
+@query("r05_breakdown", f"""WITH {SCORED.replace("AS sv, least(", f"AS sv, {WR} AS wr, {BONUS} AS bonus, {META} AS meta, least(")} SELECT base_article, similar_article, {fixed3('avg_similarity * 0.60')} AS base_score, {fixed3('wr * 0.25')} AS weighted_ratio_score,
+    {fixed3('bonus')} AS run_bonus, {fixed3('least(meta * 0.5, 0.05)')} AS metadata_bonus, {fixed3('wr')} AS weighted_ratio FROM z""")
+def r05_breakdown(t: Tables):
+    parts = scoring.breakdown(*map(F.col, ("avg_similarity", "weighted_ratio", "run_bonus", "metadata_bonus")))
+    return similar(t, None).select("base_article", "similar_article", parts.alias("parts")).select("base_article", "similar_article", "parts.*")
+
+
 @query("z01_similar_articles", f"""WITH {SCORED}, k AS (SELECT *, {ladder('score', 'matching_ratio', 'same')} AS rule FROM z)
     SELECT base_article, similar_article, round(score, 6) AS score, split_part(rule, ' ', 1) AS recommendation_type, CAST(split_part(rule, ' ', 2) AS INTEGER) AS priority, round(score * 0.95 + 0.05, 6) AS confidence_score,
            CAST(row_number() OVER (PARTITION BY base_article ORDER BY CAST(split_part(rule, ' ', 2) AS INTEGER) DESC, score DESC, similar_article) AS INTEGER) AS rank
@@ -306,12 +318,12 @@ def t29(t: Tables):
     return shifted(t).select(F.col("base_article").alias("id"), F.array_join(recommend.keyword_overlap(F.col("base.search_keywords"), F.col("similar.search_keywords")), ",").alias("common"))
 
 
-POINTS = f"CAST(least(floor(score * 100 + CASE WHEN bv + sv > 1000 THEN 10 ELSE 0 END + CASE WHEN bv + sv > 5000 THEN 10 ELSE 0 END + CASE WHEN ({PCT}) > 20 THEN 15 ELSE 0 END + 0.5), 100) AS BIGINT)"
+POINTS = f"CAST(least(floor(score * 100 + CASE WHEN bv + sv > 1000 THEN 10 ELSE 0 END + CASE WHEN bv + sv > 5000 THEN 10 ELSE 0 END + CASE WHEN (bv % 130 + sv % 130) / 2 > 60 THEN 5 ELSE 0 END + CASE WHEN ({PCT}) > 20 THEN 15 ELSE 0 END + 0.5), 100) AS BIGINT)"
 
 
 def pointed(t: Tables):
     tr = recommend.traffic(F.col("bv"), F.col("sv"), F.col("score"))
-    return grid(t).withColumns(tr).withColumn("points", recommend.integration_score(F.col("score"), F.col("bv"), F.col("sv"), F.lit(None).cast("double"), F.lit(None).cast("double"), F.col("increase_percentage")))
+    return grid(t).withColumns(tr).withColumn("points", recommend.integration_score(F.col("score"), F.col("bv"), F.col("sv"), (F.col("bv") % 130).cast("double"), (F.col("sv") % 130).cast("double"), F.col("increase_percentage")))
 
 
 @query("r18_integration_score", f"SELECT pair, {POINTS} AS points FROM {TRAFFIC}")
@@ -329,6 +341,13 @@ def r20(t: Tables):
     return recommend.unified(grid(t)).select("pair", F.size(recommend.risks(F.col("recommendation_type"), F.col("bv"), F.col("bv"), F.col("sv"))).cast("bigint").alias("n_risks"))
 
 
+@query("r20_steps", f"""SELECT pair, n_steps, timeline FROM (SELECT pair, split_part({ladder('score', 'ratio', 'same')}, ' ', 1) AS action FROM {GRID})
+    JOIN (VALUES ('MERGE_CONTENT', 7, '2-4週間'), ('REDIRECT_301', 5, '1-2週間'), ('CROSS_LINK', 5, '1週間'), ('REVIEW', 4, '未定'), ('MONITOR', 4, '継続的')) s(action, n_steps, timeline) USING (action)""")
+def r20_steps(t: Tables):
+    rows = recommend.unified(grid(t))
+    return rows.join(F.broadcast(recommend.actions(rows.sparkSession).select("recommendation_type", "steps", "timeline")), "recommendation_type").select("pair", F.size("steps").alias("n_steps"), "timeline")
+
+
 REPORT = f"""WITH known AS (SELECT base_article_id, similar_article_id, max(similarity_score) AS s FROM v_cache WHERE expires_at >= {TS} - INTERVAL 20 DAYS GROUP BY 1, 2),
  p AS (SELECT x.id AS base_article, y.id AS similar_article, coalesce(s, 0.5) AS similarity, x.pageviews AS bv, y.pageviews AS sv, x.koza_id = y.koza_id AS same FROM v_articles x JOIN v_articles y ON CAST(y.id AS INTEGER) = CAST(x.id AS INTEGER) + 3 LEFT JOIN known ON base_article_id = x.id AND similar_article_id = y.id)
  SELECT base_article, similar_article, similarity, split_part({ladder('similarity', '0.5', 'same')}, ' ', 1) AS recommendation_type, CAST(floor((coalesce(bv, 0) + coalesce(sv, 0)) * (1 + similarity * 0.3) + 0.5) AS BIGINT) AS predicted_pv FROM p"""
@@ -390,6 +409,17 @@ def z05(t: Tables):
     return jobs.neighbour_analysis(t("v_articles"), "5")[2].withColumns(r6("avg", "max"))
 
 
+@query("z05_high_list", f"SELECT id, {SIM} FROM ({NEAR}) WHERE similarity >= 0.2 ORDER BY similarity DESC, id LIMIT 20")
+def z05_high(t: Tables):
+    return jobs.neighbour_analysis(t("v_articles"), "5", 0.2)[1].select("id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("z05_neighbour_stats", f"SELECT count(*) AS n, round(avg(similarity), 6) AS avg, round(min(similarity), 6) AS min, round(max(similarity), 6) AS max FROM ({NEAR})")
+def z05_stats(t: Tables):
+    found = jobs.neighbour_analysis(t("v_articles"), "5")[0]
+    return found.select("n", *[F.round(c, 6).alias(c) for c in ("avg", "min", "max")])
+
+
 @query("u03_merged_neighbours", """WITH f AS (SELECT base_article_id AS base_id, similar_article_id AS similar_id, similarity_score AS similarity FROM v_cache WHERE similarity_score >= 0.5),
     g AS (SELECT base_article_id AS base_id, similar_article_id AS similar_id, similarity_score AS similarity FROM v_cache),
     e AS (SELECT g.* FROM g LEFT JOIN (SELECT base_id, count(*) AS c FROM f GROUP BY 1) USING (base_id) WHERE coalesce(c, 0) < 2.5 AND (base_id, similar_id) NOT IN (SELECT (base_id, similar_id) FROM f)),
@@ -424,4 +454,4 @@ def g03(t: Tables):
 
 @query("g04_group_summary")
 def g04(t: Tables):
-    return grouping.summary(grouping.one_hop(links(t)), t("v_articles")).select("group", F.array_join("members", ",").alias("members"), "n", "courses", F.round("mean_similarity", 6).alias("mean_similarity"), "strategy", "priority")
+    return grouping.summary(grouping.one_hop(links(t)), t("v_articles")).select("group", F.array_join("members", ",").alias("members"), "n", "courses", F.round("mean_similarity", 6).alias("mean_similarity"), "strategy", F.array_join("benefits", ",").alias("benefits"), "priority")

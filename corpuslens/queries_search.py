@@ -98,6 +98,11 @@ def p18(t: Tables):
     return t("v_articles").select("id", F.substring("full_content", 1, 200).alias("excerpt"))
 
 
+@query("p18_search_excerpt", f"SELECT id, left(full_content, 300) AS excerpt {A}")
+def p18_search(t: Tables):
+    return t("v_articles").select("id", F.substring("full_content", 1, 300).alias("excerpt"))
+
+
 @query("p19_display_views", "SELECT o_orderkey, CASE WHEN v >= 1000000 THEN printf('%.1f', v / 1000000) || 'M' WHEN v >= 1000 THEN printf('%.1f', v / 1000) || 'K' ELSE CAST(v AS VARCHAR) END AS views FROM (SELECT o_orderkey, CAST(o_orderkey * 640 + 16 AS BIGINT) AS v FROM orders)")
 def p19(t: Tables):
     return t("orders").select("o_orderkey", tx.display_views((F.col("o_orderkey") * 640 + 16).cast("bigint")).alias("views"))
@@ -155,11 +160,11 @@ def o05(t: Tables):
     return ranked(t("v_articles"), [F.when(search.contains_any_case("title", "en"), 0).otherwise(1).asc(), F.desc_nulls_last("pageviews"), F.col("id").asc()])
 
 
-@query("o10_valid_cache", "SELECT base_article_id, similar_article_id, similarity_score FROM v_cache WHERE base_article_id = '3' AND similarity_score >= 0.1 AND expires_at >= TIMESTAMP '2023-01-01 00:00:00' ORDER BY similarity_score DESC, similar_article_id LIMIT 3")
+@query("o10_valid_cache", "SELECT base_article_id, similar_article_id, similarity_score FROM v_cache WHERE CAST(base_article_id AS INTEGER) % 50 = 3 AND similarity_score >= 0.1 AND expires_at >= TIMESTAMP '2024-01-05 00:00:00' ORDER BY similarity_score DESC, similar_article_id LIMIT 3")
 def o10(t: Tables):
     from corpuslens.operators.merge import unexpired
 
-    rows = unexpired(t("v_cache"), F.lit("2023-01-01 00:00:00").cast("timestamp")).where("base_article_id = '3' AND similarity_score >= 0.1")
+    rows = unexpired(t("v_cache"), F.lit("2024-01-05 00:00:00").cast("timestamp")).where("CAST(base_article_id AS INT) % 50 = 3 AND similarity_score >= 0.1")
     return rows.orderBy(F.desc("similarity_score"), "similar_article_id").limit(3).select("base_article_id", "similar_article_id", "similarity_score")
 
 
@@ -178,6 +183,26 @@ def o12(t: Tables):
     return t("v_courses").orderBy("name", "id").limit(200).select("id", "name")
 
 
+COUNTED = "SELECT c.id, c.name, count(a.id) AS total_articles FROM v_courses c LEFT JOIN v_articles a ON a.koza_id = c.id GROUP BY 1, 2"
+
+
+def counted(t: Tables):
+    n = t("v_articles").groupBy("koza_id").agg(F.count("*").alias("n"))
+    return t("v_courses").join(n.withColumnRenamed("koza_id", "id"), "id", "left").select("id", "name", F.coalesce("n", F.lit(0)).cast("bigint").alias("total_articles"))
+
+
+@query("o12_courses_by_articles", f"SELECT id, name, total_articles, row_number() OVER (ORDER BY total_articles DESC, id) AS place FROM ({COUNTED})")
+def o12_by_articles(t: Tables):
+    order = [F.desc("total_articles"), F.col("id").asc()]
+    # courses are few: one row for each name of a source
+    return counted(t).orderBy(*order).withColumn("place", F.row_number().over(Window.orderBy(*order)).cast("bigint"))
+
+
+@query("o12_course_map", "SELECT id, name FROM v_courses WHERE name IS NOT NULL AND name <> '' AND id <> 'src2' ORDER BY id")
+def o12_map(t: Tables):
+    return search.course_map(t("v_courses").withColumn("name", F.when(F.col("id") != "src2", F.col("name")).otherwise("")))
+
+
 @query("o13_proposal_list", "SELECT proposal_id, status FROM v_proposals WHERE status = 'pending' ORDER BY created_at DESC, proposal_id LIMIT 20 OFFSET 20")
 def o13(t: Tables):
     return search.page(t("v_proposals").where("status = 'pending'"), [F.desc("created_at"), F.col("proposal_id").asc()], 2, 20).select("proposal_id", "status")
@@ -221,11 +246,14 @@ def j13(t: Tables):
     return listed(t("v_articles").join(t("v_cache").where("similarity_score > 0.95").select(F.col("base_article_id").alias("id")), "id", "left_semi"))
 
 
-@query("u02_typed_blocks")
+@query("u02_typed_blocks", """WITH n AS (SELECT b.id, b.title, b.koza_id, list_cosine_similarity(CAST(a.content_embedding AS DOUBLE[]), CAST(b.content_embedding AS DOUBLE[])) AS s FROM v_articles a JOIN v_articles b ON a.id = '5' AND b.id <> '5' WHERE b.content_embedding IS NOT NULL)
+    SELECT 'stats' AS type, 1 AS n, CAST(NULL AS VARCHAR) AS first UNION ALL SELECT 'high_similarity', (SELECT count(*) FROM n WHERE s >= 0.2), (SELECT min(id) FROM n WHERE s >= 0.2) UNION ALL SELECT 'course_similarities', (SELECT count(DISTINCT koza_id) FROM n), (SELECT min(koza_id) FROM n)""")
 def u02(t: Tables):
-    a = t("v_articles")
-    block = lambda kind, rows: rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns)))).alias("data")).select(F.lit(kind).alias("type"), "data")
-    return block("courses", a.groupBy("koza_id").agg(F.count("*").alias("n"))).unionByName(block("languages", a.groupBy("content_type").agg(F.count("*").alias("n"))))
+    from corpuslens.plans.jobs import neighbour_blocks
+
+    blocks = neighbour_blocks(t("v_articles"), "5", 0.2, 1000)
+    items = F.from_json("data", "array<struct<id:string,koza_id:string>>")
+    return blocks.select("type", F.size(items).cast("bigint").alias("n"), F.coalesce(items[0]["id"], items[0]["koza_id"]).alias("first"))
 
 
 KW = "list_filter(a.search_keywords, lambda k: {}list_contains(b.search_keywords, k))"

@@ -60,17 +60,19 @@ def t12(t: Tables):
 
 
 HITS = {f: " + ".join(f"CAST(contains(x, '{k}') AS INTEGER)" for k in ks) for f, ks in tx.FIELD_KEYWORDS.items()}
-PLANTED = "CASE doc_id % 4 WHEN 0 THEN '簿記と税務の決算' WHEN 1 THEN '保険と年金、社会保険' WHEN 2 THEN text ELSE 'システムの設計 税金' END"
+#: A sentence before the whole text of three of four documents.
+PLANTED = "(CASE doc_id % 4 WHEN 0 THEN '簿記と税務の決算' || chr(10) WHEN 1 THEN '保険と年金、社会保険' || chr(10) WHEN 2 THEN '' ELSE 'システムの設計 税金' || chr(10) END || coalesce(text, ''))"
+#: A course for each document: a known one, one of the list, or one that has neither
+COURSE = "CASE WHEN doc_id % 5 = 0 THEN source ELSE CAST(doc_id % 50 AS VARCHAR) END"
 
 
 def planted():
     n = F.col("doc_id") % 4
-    return F.when(n == 0, "簿記と税務の決算").when(n == 1, "保険と年金、社会保険").when(n == 2, F.col("text")).otherwise("システムの設計 税金")
+    return F.concat(F.when(n == 0, "簿記と税務の決算\n").when(n == 1, "保険と年金、社会保険\n").when(n == 2, "").otherwise("システムの設計 税金\n"), F.coalesce("text", F.lit("")))
 
 
-def planted_before():
-    """The planted sentence, where there is one, before the whole text."""
-    return F.when(F.col("doc_id") % 4 == 2, F.col("text")).otherwise(F.concat(planted(), F.lit("\n"), F.coalesce("text", F.lit(""))))
+def course():
+    return F.when(F.col("doc_id") % 5 == 0, F.col("source")).otherwise((F.col("doc_id") % 50).cast("string"))
 
 
 @query("t13_subject_field", f"""WITH d AS (SELECT doc_id, lower({PLANTED} || ' ') AS x, CASE WHEN doc_id % 9 = 0 THEN 'takken' ELSE 'c' END AS slug FROM documents), s AS (SELECT doc_id, slug, {', '.join(f'{h} AS {f}' for f, h in HITS.items())} FROM d),
@@ -82,12 +84,13 @@ def t13(t: Tables):
 
 @query("t14_structured")
 def t14(t: Tables):
-    return docs(t).select("doc_id", tx.structured(F.concat(F.lit("簿記とは？\n・一つ\n1.二つ\n重要：三つ\n"), planted_before())).alias("text"))
+    return docs(t).select("doc_id", tx.structured(F.concat(F.lit("簿記とは？\n・一つ\n1.二つ\n重要：三つ\n"), planted())).alias("text"))
 
 
 @query("t15_structured_by_course")
 def t15(t: Tables):
-    return docs(t).select("doc_id", tx.keyword_marks(tx.structured(planted_before()), tx.FIELD_KEYWORDS["real_estate"]).alias("text"))
+    text = F.concat(F.lit("宅建業法第35条の2とは？\n・宅建業法と供託\n1.民法90条\n重要：年金と税関\nまとめ：証券\n"), planted())
+    return docs(t).select("doc_id", course().alias("course"), tx.law_structured(text).alias("text")).select("doc_id", tx.course_marks(F.col("text"), F.col("course")).alias("text"))
 
 
 @query("t16_questions")
@@ -106,14 +109,24 @@ def t17(t: Tables):
     return docs(t).select("doc_id", tx.enhanced_terms(planted(), F.lit("finance")).alias("text"))
 
 
-@query("t18_law_term_marks", f"SELECT doc_id, {replaced(PLANTED, tx.FIELD_KEYWORDS['legal'])} AS text FROM documents")
+# the expected lists, written out
+LAW = "宅建業法 宅地建物取引士 重要事項説明 営業保証金 供託所 宅建業者 媒介契約 売買契約 賃貸借契約 重要事項 契約書面 37条書面 35条書面 免許 登録 更新 監督処分 指示処分 業務停止 免許取消 罰則 行政書士 社会保険労務士 ファイナンシャルプランナー 簿記 マンション管理士 管理業務主任者 司法書士 通関士".split()
+NAMES = """(VALUES ('1', '行政書士'), ('2', '社会保険労務士'), ('3', 'FP（ファイナンシャルプランナー）'), ('4', '宅建士（宅地建物取引士）'), ('5', 'マンション管理士・管理業務主任者'), ('6', '簿記2級・3級'), ('26', 'IT（ITパスポート）'),
+    ('27', '通関士'), ('28', '旅行業務取扱管理者'), ('39', '年金アドバイザー3級'), ('40', '危険物取扱者乙種4類'), ('45', '司法書士'), ('46', '基本情報技術者'), ('47', '証券外務員')) l(course, listed)"""
+LAW_TEXT = "('免許と登録、通関士 行政書士 src3 重要事項説明 ' || coalesce(text, ''))"
+
+
+@query("t18_law_term_marks", f"""SELECT doc_id, CASE WHEN c.name IS NULL AND listed IS NULL THEN x ELSE replace(x, coalesce(c.name, listed), '【' || coalesce(c.name, listed) || '】') END AS text
+    FROM (SELECT doc_id, {COURSE} AS course, {replaced(LAW_TEXT, LAW)} AS x FROM documents) LEFT JOIN (SELECT source AS course, source AS name FROM documents WHERE source <> 'src1' GROUP BY 1) c USING (course) LEFT JOIN {NAMES} USING (course)""")
 def t18(t: Tables):
-    return docs(t).select("doc_id", tx.keyword_marks(planted(), tx.FIELD_KEYWORDS["legal"]).alias("text"))
+    names = t("v_courses").where("id <> 'src1'").select(F.col("id").alias("course"), F.col("slug").alias("known"))
+    rows = docs(t).withColumn("course", course()).join(names, "course", "left").withColumn("name", tx.course_name(F.col("course"), F.col("known")))
+    return rows.select("doc_id", tx.law_terms(F.concat(F.lit("免許と登録、通関士 行政書士 src3 重要事項説明 "), F.coalesce("text", F.lit(""))), F.col("course"), F.col("name")).alias("text"))
 
 
-@query("t19_labelled", "SELECT doc_id, 'タイトル: ' || lang || chr(10) || chr(10) || '講座: ' || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '分野: 法律' ELSE '' END || CASE WHEN trim(left(text, 20), ' ') <> '' THEN chr(10) || chr(10) || '内容: ' || trim(left(text, 20), ' ') ELSE '' END AS text FROM documents")
+@query("t19_labelled", "SELECT doc_id, 'タイトル: ' || lang || chr(10) || chr(10) || '講座: ' || source || CASE WHEN doc_id % 2 = 0 THEN chr(10) || chr(10) || '分野: 法律' ELSE '' END || CASE WHEN trim(text, ' ') <> '' THEN chr(10) || chr(10) || '内容: ' || trim(text, ' ') ELSE '' END AS text FROM documents")
 def t19(t: Tables):
-    return docs(t).select("doc_id", tx.labelled(F.col("lang"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, "legal").otherwise("general"), F.left("text", F.lit(20)), F.lit("")).alias("text"))
+    return docs(t).select("doc_id", tx.labelled(F.col("lang"), F.col("source"), F.when(F.col("doc_id") % 2 == 0, "legal").otherwise("general"), F.col("text"), F.lit("")).alias("text"))
 
 
 NORMAL = "text || ' http://a.b/c x@y.zz ！！ ☆'"
@@ -148,10 +161,10 @@ def a29(t: Tables):
     return docs(t).select("doc_id", *[s[c].alias(c) for c in ("original_length", "processed_length", "has_questions")])
 
 
-@query("t24_course_names", "SELECT a.id, coalesce(c.name, '講座' || a.koza_id) AS name FROM v_articles a LEFT JOIN v_courses c ON c.id = a.koza_id AND c.id <> 'src1'")
+@query("t24_course_names", f"SELECT doc_id, coalesce(c.name, listed, '講座' || course) AS name FROM (SELECT doc_id, {COURSE} AS course FROM documents) LEFT JOIN v_courses c ON c.id = course AND c.id <> 'src1' LEFT JOIN {NAMES} USING (course)")
 def t24(t: Tables):
-    names = t("v_courses").where("id <> 'src1'").select(F.col("id").alias("koza_id"), "name")
-    return t("v_articles").join(names, "koza_id", "left").select("id", F.coalesce("name", F.concat(F.lit("講座"), "koza_id")).alias("name"))
+    names = t("v_courses").where("id <> 'src1'").select(F.col("id").alias("course"), "name")
+    return docs(t).withColumn("course", course()).join(names, "course", "left").select("doc_id", tx.course_name(F.col("course"), F.col("name")).alias("name"))
 
 
 @query("t25_sentence_cut", "SELECT doc_id, CASE WHEN length(p) <= 300 THEN p WHEN contains(left(p, 300), '.') AND 300 - instr(reverse(left(p, 300)), '.') + 1 > 240 THEN left(p, 300 - instr(reverse(left(p, 300)), '.') + 1) || '...' ELSE left(p, 300) || '...' END AS text FROM (SELECT doc_id, trim(regexp_replace(text, '<[^>]*>', '', 'g')) AS p FROM documents)")
@@ -188,6 +201,19 @@ def t33(t: Tables):
     return t("v_cache").select("base_article_id", "similar_article_id", tx.pair_sentence(F.col("base_article_id"), F.col("similar_article_id"), F.col("similarity_score"), F.lit("MONITOR")).alias("text"))
 
 
+PROMPT = """'Base article' || chr(10) || '- title: ' || coalesce(x.title, '') || chr(10) || '- course: ' || coalesce(x.koza_id, 'N/A') || chr(10) || '- views a month: ' || format('{:,}', coalesce(x.pageviews, 0) * 1000) || chr(10)
+    || 'Similar article' || chr(10) || '- title: ' || coalesce(y.title, '') || chr(10) || '- course: ' || coalesce(y.koza_id, 'N/A') || chr(10) || '- views a month: ' || format('{:,}', coalesce(y.pageviews, 0) * 1000) || chr(10)
+    || '- similarity: ' || printf('%.3f', similarity_score) || chr(10) || 'Action: MONITOR' || chr(10) || 'Say in at most 150 characters why it helps, what it does for search results, and what to watch out for.'"""
+
+
+@query("t33_cache_prompts", f"SELECT base_article_id, similar_article_id, {PROMPT} AS prompt FROM v_cache JOIN v_articles x ON x.id = base_article_id JOIN v_articles y ON y.id = similar_article_id")
+def t33_prompts(t: Tables):
+    side = lambda s: t("v_articles").select(F.col("id").alias(f"{s}_article_id"), F.col("title").alias(f"{s}_title"), F.col("koza_id").alias(f"{s}_course"), (F.coalesce("pageviews", F.lit(0)) * 1000).alias(f"{s}_views"))
+    rows = t("v_cache").join(side("base"), "base_article_id").join(side("similar"), "similar_article_id")
+    prompt = tx.cache_prompt(*[F.col(f"{s}_{c}") for s in ("base", "similar") for c in ("title", "course", "views")], F.col("similarity_score"), F.lit("MONITOR"))
+    return rows.select("base_article_id", "similar_article_id", prompt.alias("prompt"))
+
+
 # chunking: over pages, and over lines of documents as sections
 
 

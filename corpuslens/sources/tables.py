@@ -50,4 +50,8 @@ def write_clustered(df: DataFrame, path: str, day: str, cluster: list[str]) -> N
 
 
 def table_facts(df: DataFrame) -> DataFrame:
-    return df.agg(F.count("*").alias("rows")).withColumns({"columns": F.lit(len(df.columns)), "schema": F.lit(df.schema.simpleString())})
+    """Rows, columns and schema of a table in files; bytes, and when the first and the last of its files were written."""
+    files = df.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    size = files.agg(F.coalesce(F.sum("file_size"), F.lit(0)).alias("bytes"), F.min("file_modification_time").alias("created"), F.max("file_modification_time").alias("modified"))
+    # one row each
+    return df.agg(F.count("*").alias("rows")).withColumns({"columns": F.lit(len(df.columns)), "schema": F.lit(df.schema.simpleString()), "__one": F.lit(1)}).join(size.withColumn("__one", F.lit(1)), "__one").drop("__one")
