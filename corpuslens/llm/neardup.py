@@ -30,12 +30,13 @@ from corpuslens.runtime import materialise
 BRANCH = (2, 2, 1, 1)
 #: What a further descent adds, and how many there are before blocks are compared.
 DEEPER, DESCENTS = (2, 2), 2
-SMALL, BLOCK, WIDE = 24, 1000, 8
+SMALL, BLOCK, WIDE = 24, 500, 16
 RECALL = 0.999999
-#: At most so many ids (of 8 bytes) go to every task.
-BROADCAST_IDS = 1_000_000
-#: Bytes of a sketch; pairs whose estimate is MARGIN (five standard deviations) below the similarity are left out.
-BINS, MARGIN = 256, 0.125
+#: Nodes with more than one HOT-th of the members are joined apart; there are fewer than HOT of them.
+HOT = 1000
+#: Bytes of a sketch; pairs whose estimate is MARGIN (five standard deviations) below the similarity are left out, if both
+#: sets have more than FEW shingles: of smaller ones too few ranges are filled.
+BINS, MARGIN, FEW = 256, 0.125, 64
 
 
 def shared_picks(similarity: float, picks: int) -> list[float]:
@@ -56,8 +57,8 @@ def shared_picks(similarity: float, picks: int) -> list[float]:
     return out
 
 
-def trees_for(similarity: float, recall: float = RECALL, branch: tuple[int, ...] = BRANCH) -> int:
-    """Trees after which a pair of this similarity has met in a last node with probability recall."""
+def trees_for(similarity: float, recall: float = RECALL, branch: tuple[int, ...] = BRANCH + DESCENTS * DEEPER) -> int:
+    """Trees after which a pair of this similarity has met in a last node with probability recall, also where all descents are made."""
     miss = 0.0
     for picks in reversed(branch):
         miss = sum(p * miss**k for k, p in enumerate(shared_picks(similarity, picks)))
@@ -68,6 +69,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[np.ndar
     """Hashes of the distinct shingles of k words, sorted within each text, and the offsets of the texts in them.
 
     Words are runs of other than white space (ASCII), A-Z taken as a-z; a text of fewer words has them all as one shingle.
+    Words and shingles are told apart by hashes of 64 bits.
     """
     n = len(offsets) - 1
     starts, ends, doc = ta.words(data, offsets, ta.NOT_SPACE)
@@ -164,7 +166,7 @@ def _fingerprints(docs: DataFrame, k: int, trees: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
-    """id, items (sorted 64-bit hashes) of the documents with these ids."""
+    """id, items (sorted 64-bit hashes) of the documents with these ids. Texts are shuffled once, whatever the number of ids."""
 
     def make(batch: pa.RecordBatch) -> list:
         out = []
@@ -174,9 +176,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
             out += [bytes(raw[8 * a : 8 * b]) for a, b in zip(at, at[1:], strict=False)]
         return [out]
 
-    ids = materialise(ids, "ids")
-    # texts are shuffled only if there are too many ids to send to every task
-    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    wanted = docs.select(F.col("doc_id").alias("id"), "text").join(materialise(ids, "ids").hint("merge"), "id", "left_semi")
     return materialise(with_columns(wanted, "items binary", make).drop("text"), "sets")
 
 
@@ -192,19 +192,18 @@ def similar(a: bytes, b: bytes, percent: int) -> bool:
 
 def _near(edges: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose sketches don't rule them out."""
-    both = edges.join(drawn.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b").join(drawn.select(F.col("id").alias("a"), F.col("sketch").alias("x")), "a").select("a", "b", "x", "y")
+    ends = [drawn.select(F.col("id").alias(e), F.col("sketch").alias(f"sketch_{e}"), F.col("n").alias(f"n_{e}")) for e in "ab"]
+    both = edges.join(ends[1], "b").join(ends[0], "a").select("a", "b", "sketch_a", "sketch_b", F.least("n_a", "n_b").alias("n"))
 
     def make(batch: pa.RecordBatch) -> list:
         x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(-1, BINS) for i in (2, 3))
-        return [(estimates(x, y) >= percent / 100 - MARGIN).tolist()]
+        return [((estimates(x, y) >= percent / 100 - MARGIN) | (batch.column(4).to_numpy() <= FEW)).tolist()]
 
-    return with_columns(both, "near boolean", make).where("near").select("a", "b")
+    return materialise(with_columns(both, "near boolean", make).where("near").select("a", "b"), "near")
 
 
-def _confirmed(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _confirmed(edges: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs a, b whose full sets are similar."""
-    edges = materialise(edges, "candidates")
-    sets = _sets(docs, edges.select(F.explode(F.array("a", "b")).alias("id")).distinct(), k)
     both = edges.join(sets.select(F.col("id").alias("b"), F.col("items").alias("y")), "b").join(sets.select(F.col("id").alias("a"), F.col("items").alias("x")), "a").select("a", "b", "x", "y")
 
     def make(batch: pa.RecordBatch) -> list:
@@ -213,10 +212,22 @@ def _confirmed(edges: DataFrame, docs: DataFrame, k: int, percent: int) -> DataF
     return materialise(with_columns(both, "linked boolean", make).where("linked").select("a", "b"), "links")
 
 
+def _met(members: DataFrame, stats: DataFrame) -> DataFrame:
+    """members with what stats (node, c: its members, and more) says of their node, if anything.
+
+    Nodes with more than one HOT-th of all members are so few that they are sent to every task: no task gathers one.
+    """
+    stats = materialise(stats, "stats")
+    large = F.col("c") > (stats.agg(F.sum("c")).first()[0] or 0) / HOT
+    hot = F.broadcast(stats.where(large))
+    cold = members.join(hot.select("node"), "node", "left_anti").join(stats.where(~large), "node")
+    return members.join(hot, "node").unionByName(cold)
+
+
 def _candidates(nodes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """From node, id, n, comp: pairs to compare, and the members of nodes of more than SMALL."""
     stats = nodes.groupBy("node").agg(F.count("*").alias("c"), F.min("id").alias("pivot"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("c > 1 AND lo <> hi").drop("lo", "hi")
-    met = materialise(nodes.join(stats, "node"), "nodes")
+    met = materialise(_met(nodes, stats), "nodes")
     small = met.where(F.col("c") <= SMALL).groupBy("node").agg(F.collect_list(F.struct("id", "n", "comp")).alias("all"))
     pairs = small.select(F.explode("all").alias("p"), "all").select("p", F.explode("all").alias("q")).where("p.id < q.id AND p.comp <> q.comp")
     pairs = pairs.where(100 * F.least("p.n", "q.n") >= percent * F.greatest("p.n", "q.n")).select(F.col("p.id").alias("a"), F.col("q.id").alias("b"))
@@ -230,14 +241,14 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members of the nodes that hold several components."""
-    several = members.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("node")
-    return materialise(members.join(several, "node", "left_semi"), "open")
+    """Members of the nodes that hold several components, with the number of blocks of their node."""
+    members = materialise(members, "labelled")
+    stats = members.groupBy("node").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
+    return materialise(_met(members, stats).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("bigint")).drop("c"), "open")
 
 
-def _descend(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+def _descend(members: DataFrame, sets: DataFrame) -> DataFrame:
     """Members of open nodes, in the nodes some levels on."""
-    sets = _sets(docs, members.select("id").distinct(), k)
 
     def make(batch: pa.RecordBatch) -> list:
         out = []
@@ -252,12 +263,7 @@ def _descend(members: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return materialise(below.select(F.explode("below").alias("node"), "id", "n", "comp"), "below")
 
 
-def _sizes(members: DataFrame) -> DataFrame:
-    """Members with the number of blocks of their node."""
-    return members.join(members.groupBy("node").agg(F.ceil(F.count("*") / BLOCK).cast("bigint").alias("blocks")), "node")
-
-
-def _across(members: DataFrame, drawn: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+def _across(members: DataFrame, drawn: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between members of a node that are of different components, block by block.
 
     A first pass over sketches and sizes lists each member's possible partners; a pair is left to the first of the nodes
@@ -265,7 +271,7 @@ def _across(members: DataFrame, drawn: DataFrame, docs: DataFrame, k: int, perce
     """
     # a document is in a few nodes of each tree
     own = members.groupBy("id").agg(F.collect_set("node").alias("keys"))
-    mine = members.withColumn("i", F.pmod(F.xxhash64("id"), "blocks")).join(own, "id").join(drawn, "id")
+    mine = members.withColumn("i", F.pmod(F.xxhash64("id"), "blocks")).join(own, "id").join(drawn.drop("n"), "id")
     dealt = mine.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
     dealt = dealt.select("node", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "n", "comp", "sketch", "keys")
 
@@ -285,7 +291,7 @@ def _across(members: DataFrame, drawn: DataFrame, docs: DataFrame, k: int, perce
                 some &= block[x] != block[s]
             at = s + 1 + np.flatnonzero(some)
             if len(at):
-                at = at[estimates(drawn[s], drawn[at]) >= percent / 100 - MARGIN]
+                at = at[(estimates(drawn[s], drawn[at]) >= percent / 100 - MARGIN) | (np.minimum(n[at], n[s]) <= FEW)]
             if len(at):
                 shared = np.isin(keys[at], keys[s])
                 at = at[np.where(shared, keys[at], 2**63 - 1).min(1) >= key[0]] if shared.any() else at
@@ -295,7 +301,6 @@ def _across(members: DataFrame, drawn: DataFrame, docs: DataFrame, k: int, perce
         return pd.DataFrame({"node": key[0], "p": key[1], "q": key[2], "id": ids[wanted], "comp": comp[wanted], "partners": pd.Series([partners[s] for s in np.flatnonzero(wanted)], dtype=object)})
 
     listed = materialise(dealt.groupBy("node", "p", "q").applyInPandas(meet, "node bigint, p bigint, q bigint, id bigint, comp bigint, partners array<bigint>"), "partners")
-    sets = _sets(docs, listed.select("id").distinct(), k)
 
     def compare(pdf):
         import pandas as pd
@@ -319,40 +324,71 @@ def _across(members: DataFrame, drawn: DataFrame, docs: DataFrame, k: int, perce
     return materialise(listed.join(sets, "id").groupBy("node", "p", "q").applyInPandas(compare, "a bigint, b bigint"), "across")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
-    """Row of docs -> doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (it is the document's own).
-
-    docs: doc_id (integer), text; other columns are ignored. Two documents are linked if 100 * intersection >= percent *
-    union of their sets of distinct shingles of so many words. Null texts and texts without words have an empty set and
-    are linked with nothing; a text of fewer words is one shingle. A null doc_id is linked with nothing and kept, its
-    component null. Rows that repeat a doc_id count as one vertex. An empty table gives no row.
-    """
+def _linked(docs: DataFrame, known: DataFrame | None, words: int, percent: int, recall: float) -> DataFrame:
+    """Row of docs (doc_id, none repeated but null, and text) -> doc_id, n_shingles, component; known: links a, b that are there anyway."""
     base = materialise(_fingerprints(docs, words, trees_for(percent / 100, recall)), "fingerprints")
     same = base.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("rep"))
     mapped = base.join(same, ["n_shingles", "d1", "d2"], "left").select("doc_id", "n_shingles", "rep", *[F.when(F.col("doc_id") == F.col("rep"), F.col(c)).alias(c) for c in ("keys", "sketch")])
     mapped = materialise(mapped, "classes")
     chosen = mapped.where("keys IS NOT NULL")
-    drawn = chosen.select(F.col("rep").alias("id"), "sketch").dropDuplicates(["id"])
+    drawn = chosen.select(F.col("rep").alias("id"), "sketch", F.col("n_shingles").alias("n"))
     nodes = chosen.select(F.explode(F.array_distinct("keys")).alias("node"), F.col("rep").alias("id"), F.col("n_shingles").alias("n")).withColumn("comp", F.col("id"))
-    links = None
+    links = sets = None
     for level in range(DESCENTS + 1):
         pairs, big = _candidates(nodes, percent)
-        found = _confirmed(_near(pairs, drawn, percent), docs, words, percent)
+        near = _near(pairs, drawn, percent)
+        if sets is None:
+            # further levels have members of these nodes only
+            sets = _sets(docs, near.select(F.explode(F.array("a", "b")).alias("id")).union(big.select("id")).distinct(), words)
+        found = _confirmed(near, sets, percent)
         links = found if links is None else links.union(found)
         if big.isEmpty():
             break
-        rest = materialise(_sizes(_open(_labelled(big, links))), "rest")
+        rest = _open(_labelled(big, links))
         if rest.isEmpty():
             break
         narrow = rest if level == DESCENTS else rest.where(F.col("blocks") <= WIDE)
-        links = links.union(_across(narrow, drawn, docs, words, percent))
+        links = links.union(_across(narrow, drawn, sets, percent))
         wide = rest.where(F.col("blocks") > WIDE)
         if level == DESCENTS or wide.isEmpty():
             break
-        nodes = _descend(_labelled(wide.drop("comp", "blocks"), links), docs, words)
-    comps = connected_components(links).select(F.col("id").alias("rep"), "component")
-    out = mapped.drop("keys", "sketch").join(comps, "rep", "left").withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+        nodes = _descend(_labelled(wide.drop("comp", "blocks"), links), sets)
+    joined = links if known is None else links.union(_between(known, mapped))
+    comps = connected_components(joined).select(F.col("id").alias("at"), "component")
+    out = mapped.drop("keys", "sketch").withColumn("at", F.coalesce("rep", "doc_id")).join(comps, "at", "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "at")).alias("component"))
+
+
+def _between(known: DataFrame, mapped: DataFrame) -> DataFrame:
+    """Links of documents as links of those that stand for their sets (of themselves, if they have no shingle)."""
+    stands = mapped.select("doc_id", F.coalesce("rep", "doc_id").alias("rep"))
+    for end in "ab":
+        known = known.join(stands.withColumnRenamed("doc_id", end), end).drop(end).withColumnRenamed("rep", end)
+    return known.select("a", "b")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:
+    """Row of docs -> doc_id, n_shingles, component_id (smallest doc_id reachable over links), kept (it is the document's own).
+
+    docs: doc_id (integer), text; other columns are ignored. Two documents are linked if 100 * intersection >= percent *
+    union of their sets of distinct shingles of so many words. Null texts and texts without words have an empty set and
+    are linked with nothing; a text of fewer words is one shingle. A null doc_id is linked with nothing and kept, its
+    component null. Rows that repeat a doc_id count as one vertex that has the links of all their texts; each is
+    reported with the size of its own set. An empty table gives no row.
+    """
+    docs = docs.select("doc_id", "text")
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        out = _linked(docs, None, words, percent, recall)
+    else:
+        # each row is a document of its own, linked with the first of its doc_id
+        rows = materialise(docs.select(F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id()).alias("row"), "doc_id", "text"), "rows")
+        names = rows.where("row IS NOT NULL").select("row", "doc_id")
+        first = names.groupBy("doc_id").agg(F.min("row").alias("a"))
+        known = materialise(names.join(first, "doc_id").where("row <> a").select("a", F.col("row").alias("b")), "repeated")
+        found = materialise(_linked(rows.select(F.col("row").alias("doc_id"), "text"), known, words, percent, recall).withColumnRenamed("doc_id", "row").join(names, "row", "left"), "linked")
+        least = found.where("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+        out = found.join(least, "component", "left").select("doc_id", "n_shingles", F.col("least").alias("component"))
+    return out.select("doc_id", "n_shingles", F.col("component").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, words: int = 5, percent: int = 80, recall: float = RECALL) -> DataFrame:

@@ -26,18 +26,15 @@ def mix(x: np.ndarray) -> np.ndarray:
 #: Of each byte, a random value; letters A-Z have those of a-z.
 BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 BYTE[65:91] = BYTE[97:123]
-_BASE = np.uint64(0x9E3779B97F4A7C55)
-_POWERS = np.ones(1, np.uint64)
+_WEIGHTS = np.zeros(0, np.uint64)
 
 
-def powers(n: int) -> np.ndarray:
-    """_BASE ** k modulo 2 ** 64 for k below n."""
-    global _POWERS
-    if len(_POWERS) < n:
-        grown = np.full(max(n, 2 * len(_POWERS), 256), _BASE, np.uint64)
-        grown[0] = 1
-        _POWERS = np.multiply.accumulate(grown)
-    return _POWERS
+def weights(n: int) -> np.ndarray:
+    """Random odd weights of the first n places in a word. They are no powers of one number: words of a regular build would have equal sums."""
+    global _WEIGHTS
+    if len(_WEIGHTS) < n:
+        _WEIGHTS = mix(np.arange(1, max(n, 2 * len(_WEIGHTS), 256) + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
+    return _WEIGHTS
 
 
 def pieces(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -100,7 +97,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefixes
     at[starts] = starts
     at = np.arange(n) - np.maximum.accumulate(at)
     lengths = ends - starts
-    weight = powers(int(at.max()) + 1)[at]
+    weight = weights(int(at.max()) + 1)[at]
     weight *= BYTE[data[:n]]
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(weight, out=total[1:])
