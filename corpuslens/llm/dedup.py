@@ -8,6 +8,7 @@ the full normalised texts are compared; rows whose bytes differ in spite of equa
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ STATE = {
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
 }
 WHITE = " \t\n\x0b\x0c\r"
+#: Groups with more than one HOT-th of the rows are dealt to SALTS tasks when bytes are compared.
+HOT, SALTS = 1000, 64
 
 
 def normalised(text: str = "text") -> Column:
@@ -28,19 +31,30 @@ def normalised(text: str = "text") -> Column:
     return F.translate(F.coalesce(F.col(text), F.lit("")), WHITE, "")
 
 
+def locator(docs: DataFrame) -> Column:
+    """Where a row of a table in files is: the file, and its number there if the format tells it; empty for other rows."""
+    for place in (F.concat_ws("#", "_metadata.file_path", "_metadata.row_index"), F.col("_metadata.file_path")):
+        try:
+            docs.select(place)
+            return place
+        except AnalysisException:
+            continue
+    return F.lit("")
+
+
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id, n_points (code points of the text), n_bytes and sha256 of the normalised text, locator (the file that a row came from, if any)."""
+    """doc_id, n_points (code points of the text), n_bytes and sha256 of the normalised text, locator."""
     plain = normalised().cast("binary")
-    return docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n_points"), F.octet_length(plain).cast("bigint").alias("n_bytes"), F.sha2(plain, 256).alias("sha256"), F.input_file_name().alias("locator"))
+    return docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n_points"), F.octet_length(plain).cast("bigint").alias("n_bytes"), F.sha2(plain, 256).alias("sha256"), locator(docs).alias("locator"))
 
 
-def keep_state(stream: DataFrame) -> DataFrame:
-    """From a stream (or table) of digests, by sha256 and n_bytes: group_size and keep (n_points, minus_id, locator), the row that stays.
+def keep_state(stream: DataFrame, *keys: str) -> DataFrame:
+    """From a stream (or table) of digests, by keys (sha256 and n_bytes): group_size and keep (n_points, minus_id, locator), the row that stays.
 
     It is the row with the most code points, then the smallest doc_id; rows without doc_id come last.
     """
     best = F.struct("n_points", F.coalesce(-F.col("doc_id"), F.lit(-(2**63)).cast("bigint")).alias("minus_id"), "locator")
-    return stream.groupBy("sha256", "n_bytes").agg(F.count("*").alias("group_size"), F.max(best).alias("keep"))
+    return stream.groupBy(*(keys or ("sha256", "n_bytes"))).agg(F.count("*").alias("group_size"), F.max(best).alias("keep"))
 
 
 def run_stream(spark: SparkSession, folder: str, schema, files_per_batch: int = 10_000) -> DataFrame:
@@ -84,34 +98,48 @@ def exact_duplicates(docs: DataFrame, files_per_batch: int = 10_000) -> DataFram
     rows = spark.read.schema(found.schema).parquet(folder)
     if rows.isEmpty():
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), F.col("sha256").alias("text_sha256"), "locator")
-    groups = run_stream(spark, folder, found.schema, files_per_batch)
-    no_id = F.lit(-(2**63)).cast("bigint")
-    keep = groups.select("sha256", "n_bytes", "group_size", F.when(F.col("keep.minus_id") != no_id, -F.col("keep.minus_id")).alias("keep_id"), F.col("keep.locator").alias("kept_at"))
-    out = materialise(rows.join(keep, ["sha256", "n_bytes"]).select("doc_id", "n_points", "n_bytes", "sha256", "keep_id", "group_size", "kept_at"), "groups")
-    differ = _differing(docs, out)
+    groups = materialise(run_stream(spark, folder, found.schema, files_per_batch), "groups")
+    out = rows.drop("locator").join(_kept(groups), ["sha256", "n_bytes"])
+    differ = _differing(docs, groups)
     if not differ.isEmpty():
-        out = _by_bytes(docs, out, differ)
+        out = out.join(differ, "sha256", "left_anti").unionByName(_by_bytes(docs, differ))
     return out.select("doc_id", "keep_id", "group_size", F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull()).alias("kept"), F.col("sha256").alias("text_sha256"), F.col("kept_at").alias("locator"))
 
 
-def _differing(docs: DataFrame, out: DataFrame) -> DataFrame:
-    """sha256 of groups in which the full normalised text of a hit is not that of the row that stays."""
-    hits = out.where("group_size > 1 AND keep_id IS NOT NULL AND doc_id <> keep_id").select("doc_id", "keep_id", "sha256")
-    wanted = materialise(hits.select(F.explode(F.array("doc_id", "keep_id")).alias("doc_id")).distinct(), "hits")
-    texts = materialise(docs.select("doc_id", normalised().alias("plain")).join(wanted, "doc_id", "left_semi"), "texts")
-    both = hits.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("keep_id"), F.col("plain").alias("kept_plain")), "keep_id")
-    return materialise(both.where("plain <> kept_plain").select("sha256").distinct(), "differ")
+def _kept(groups: DataFrame) -> DataFrame:
+    """The groups with keep_id and kept_at in place of keep."""
+    no_id = F.lit(-(2**63)).cast("bigint")
+    return groups.select(*[c for c in groups.columns if c != "keep"], F.when(F.col("keep.minus_id") != no_id, -F.col("keep.minus_id")).alias("keep_id"), F.col("keep.locator").alias("kept_at"))
+
+
+def _differing(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """sha256 of the groups of several rows whose full normalised texts aren't all the same bytes.
 
+    They are if the least and the greatest are equal. Both are kept for each digest where the texts are read, so of a
+    text with very many copies one goes on from each task.
+    """
+    several = groups.where("group_size > 1 AND n_bytes > 0").select("sha256", "group_size")
+    large = F.col("group_size") > (groups.agg(F.sum("group_size")).first()[0] or 0) / HOT
+    # fewer than HOT rows; their texts are dealt to SALTS tasks each
+    hot = F.broadcast(several.where(large).select("sha256", F.lit(True).alias("hot")))
+    dealt = several.select("sha256", F.explode(F.when(large, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    plain = normalised().cast("binary")
+    texts = docs.select("doc_id", F.sha2(plain, 256).alias("sha256"), plain.alias("plain")).join(hot, "sha256", "left")
+    texts = texts.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).otherwise(0).cast("int")).join(dealt, ["sha256", "salt"], "left_semi")
+    return materialise(texts.groupBy("sha256").agg(F.min("plain").alias("least"), F.max("plain").alias("most")).where("least <> most").select("sha256"), "differ")
 
-def _by_bytes(docs: DataFrame, out: DataFrame, differ: DataFrame) -> DataFrame:
-    """Groups of these digests anew, by the bytes themselves."""
-    inside = out.join(differ, "sha256", "left_semi").join(docs.select("doc_id", normalised().alias("plain")), "doc_id")
-    groups = inside.groupBy("plain").agg(F.count("*").alias("group_size"), F.max(F.struct("n_points", (-F.col("doc_id")).alias("minus_id"))).alias("keep"))
-    anew = inside.drop("keep_id", "group_size").join(groups, "plain").select("doc_id", "n_points", "n_bytes", "sha256", (-F.col("keep.minus_id")).alias("keep_id"), "group_size", "kept_at")
-    return materialise(out.join(differ, "sha256", "left_anti").unionByName(anew), "regrouped")
+
+def _by_bytes(docs: DataFrame, differ: DataFrame) -> DataFrame:
+    """The rows with these digests, grouped by the bytes themselves."""
+    plain = normalised().cast("binary")
+    found = docs.select("doc_id", F.coalesce(F.char_length("text"), F.lit(0)).cast("bigint").alias("n_points"), F.octet_length(plain).cast("bigint").alias("n_bytes"), F.sha2(plain, 256).alias("sha256"), locator(docs).alias("locator"), plain.alias("plain"))
+    inside = materialise(found.join(differ, "sha256", "left_semi"), "inside")
+    return inside.drop("locator").join(_kept(keep_state(inside, "plain")), "plain").drop("plain")
 
 
 def deduplicate(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with their own columns. Rows without doc_id stay."""
-    dropped = exact_duplicates(docs).where("NOT kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    """The rows of docs that stay, with their own columns. Rows that have the doc_id and the text (but for white space) of one that stays do, too."""
+    dropped = exact_duplicates(docs).where("NOT kept").select("doc_id", F.col("text_sha256").alias("__sha256")).distinct()
+    keyed = docs.withColumn("__sha256", F.sha2(normalised().cast("binary"), 256))
+    same = keyed["doc_id"].eqNullSafe(dropped["doc_id"]) & (keyed["__sha256"] == dropped["__sha256"])
+    return keyed.join(dropped, same, "left_anti").select(*docs.columns)
