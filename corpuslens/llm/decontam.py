@@ -2,24 +2,30 @@
 
 Each task turns the documents it reads, about SHARD_WORDS words at a time, into one sequence of word numbers and
 sorts the suffixes of that sequence (prefix doubling up to DEPTH words, so suffixes are ordered by their first DEPTH
-words). Every suffix of every benchmark item is then looked up by binary search, all at once; occurrences on one
-diagonal are joined into the longest verbatim matches with their places. The documents are never shuffled.
+words). Every suffix of every benchmark item that is long enough to begin a window (shorter ones can't match one) is then
+looked up by binary search, all at once; occurrences on one diagonal are joined into the longest verbatim matches with
+their places. The documents are never shuffled. Words are told apart by hashes of 64 bits.
 
-The benchmark is sent to the tasks in blocks of at most BLOCK_BYTES of text (or one item); for more than one block the
-documents pass several times and what was found is carried along.
+The benchmark is sent to the tasks in blocks of about BLOCK_BYTES of text (or one item). The documents pass once: each
+suffix array is searched for all blocks, one after the other.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import textarrays as ta
-from corpuslens.runtime import materialise, ship_package
+from corpuslens.llm.arrowmap import in_tasks
+from corpuslens.runtime import new_path, ship_package
 
 SHARD_WORDS = 400_000
 DEPTH = 16
@@ -89,8 +95,8 @@ class Shard:
 class Tests:
     """Benchmark items as word hashes, and their windows grouped by width."""
 
-    def __init__(self, items: list[tuple[str, str | None]], n: int):
-        self.ids = [str(i) for i, _ in items]
+    def __init__(self, items: list[tuple[str | None, str | None]], n: int):
+        self.ids = [i for i, _ in items]
         _, _, data, offsets = next(ta.pieces(pa.array([t for _, t in items], pa.large_string()), 1 << 40), (0, 0, np.zeros(0, np.uint8), np.zeros(1, np.int64)))
         starts, ends, item = ta.words(data, offsets, ta.ALNUM)
         self.hashes = ta.word_hashes(data, starts, ends)
@@ -120,29 +126,24 @@ class Tests:
         return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _search(shard_words: list, tests: Tests, n_rows: int) -> tuple[list, list, list]:
+def _search(shard_words: list, blocks: list[Callable[[], Tests]], n_rows: int) -> tuple[list, list, list]:
     """Of each document: words, covered spans, longest matches."""
     hashes = np.concatenate([x[0] for x in shard_words])
     doc = np.concatenate([x[1] for x in shard_words])
     n_words = np.bincount(doc, minlength=n_rows)
     base = np.concatenate([[0], np.cumsum(n_words)])
     shard = Shard(hashes, doc, n_rows)
-    place, test, width = tests.occurrences(shard)
     spans, matches = [[] for _ in range(n_rows)], [[] for _ in range(n_rows)]
-    if len(place):
+    cover = np.zeros(len(hashes) + 1, np.int64)
+    for load in blocks:
+        tests = load()
+        place, test, width = tests.occurrences(shard)
+        if not len(place):
+            continue
         word = np.searchsorted(shard.place, place)
         of = doc[word]
-        cover = np.zeros(len(hashes) + 1, np.int64)
         np.add.at(cover, word, 1)
         np.add.at(cover, word + width, -1)
-        hit = np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]])
-        edge = np.zeros(len(hashes) + 1, bool)
-        edge[base[1:-1]] = True  # a span ends with its document
-        begin = np.flatnonzero(hit[1:] & (~hit[:-1] | edge))[:]
-        end = np.flatnonzero(hit[:-1] & (~hit[1:] | edge))
-        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
-            d = int(doc[a])
-            spans[d].append({"first": a - int(base[d]), "last": b - 1 - int(base[d])})
         item = np.searchsorted(tests.first, test, "right") - 1
         order = np.lexsort((word, word - test, item))
         word, test, item, width, of = word[order], test[order], item[order], width[order], of[order]
@@ -152,14 +153,22 @@ def _search(shard_words: list, tests: Tests, n_rows: int) -> tuple[list, list, l
         for h, t in zip(head.tolist(), tail.tolist(), strict=True):
             d, i = int(of[h]), int(item[h])
             matches[d].append({"item_id": tests.ids[i], "doc_word": int(word[h] - base[d]), "item_word": int(test[h] - tests.first[i]), "n_words": int(word[t] - word[h] + width[t])})
+    hit = np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]])
+    if hit.any():
+        edge = np.zeros(len(hashes) + 1, bool)
+        edge[base[1:-1]] = True  # a span ends with its document
+        begin = np.flatnonzero(hit[1:] & (~hit[:-1] | edge))
+        end = np.flatnonzero(hit[:-1] & (~hit[1:] | edge))
+        for a, b in zip(begin.tolist(), end.tolist(), strict=True):
+            d = int(doc[a])
+            spans[d].append({"first": a - int(base[d]), "last": b - 1 - int(base[d])})
     return n_words.tolist(), spans, matches
 
 
-def _scan(batches: Iterator[pa.RecordBatch], tests, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    tests = tests.value
+def _scan(batches: Iterator[pa.RecordBatch], blocks: list[Callable[[], Tests]], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for first, end, held in _shards(batch.column("__text")):
-            n_words, spans, matches = _search(held, tests, end - first)
+            n_words, spans, matches = _search(held, blocks, end - first)
             rest = batch.slice(first, end - first)
             yield pa.RecordBatch.from_arrays([*(rest.column(i) for i in range(len(schema) - 3)), pa.array(n_words, pa.int64()), pa.array(spans, schema.field("__spans").type), pa.array(matches, schema.field("__matches").type)], schema=schema)
 
@@ -187,49 +196,54 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, n: int = 13, keep: tuple
     """
     if not 1 <= n <= DEPTH:
         raise ValueError(f"n must be 1 to {DEPTH}")
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     spark = docs.sparkSession
     ship_package(spark)
     out = docs.select(F.col("doc_id"), *(F.col(c) for c in keep if c != "doc_id"), F.col("text").alias("__text"))
-    size = benchmark.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // block_bytes))
-    columns = [c for c in out.columns if c != "__text"]
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields if f.name != "__text")
-    result = None
-    for b in range(blocks):
-        part = benchmark.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b) if blocks > 1 else benchmark
-        tests = spark.sparkContext.broadcast(Tests([(r[0], r[1]) for r in part.select(F.col("item_id").cast("string"), "text").collect()], n))
-        source = out if result is None else result
-        carried = [*columns, *(["__spans0", "__matches0"] if result is not None else [])] + (["__text"] if blocks > 1 else [])
-        ddl = kinds + (f", __spans0 {SPANS}, __matches0 {MATCH}" if result is not None else "") + (", __text string" if blocks > 1 else "") + f", __n bigint, __spans {SPANS}, __matches {MATCH}"
-        schema = spark.createDataFrame([], ddl).schema
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        arrow = to_arrow_schema(schema)
-        found = source.select(*carried, *([] if blocks > 1 else ["__text"])).mapInArrow(lambda it, t=tests, a=arrow: _scan(it, t, a), schema)
-        if blocks == 1:
-            return found.select(*columns, F.col("__n").alias("n_words"), F.col("__spans").alias("spans"), F.col("__matches").alias("matches"))
-        if result is not None:
-            found = found.withColumn("__spans", F.concat("__spans0", "__spans")).withColumn("__matches", F.concat("__matches0", "__matches"))
-        result = materialise(found.select(*columns, F.col("__spans").alias("__spans0"), F.col("__matches").alias("__matches0"), "__text", "__n"), "decontam")
-        tests.destroy()
-    return result.select(*columns, F.col("__n").alias("n_words"), merged(F.col("__spans0")).alias("spans"), F.col("__matches0").alias("matches"))
-
-
-def merged(spans):
-    """Sorted spans with overlapping and touching ones joined."""
-    kind = SPANS
-    return F.aggregate(
-        F.array_sort(spans), F.array().cast(kind),
-        lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["last"] >= s["first"] - 1),
-            F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], s["last"]).alias("last"))))).otherwise(F.concat(done, F.array(s))),
-    )
+    schema = type(out.schema)([*out.schema.fields[:-1], *spark.createDataFrame([], f"__n bigint, __spans {SPANS}, __matches {MATCH}").schema.fields])
+    arrow, blocks = to_arrow_schema(schema), _blocks(spark, benchmark, n, block_bytes)
+    found = out.mapInArrow(in_tasks(lambda it: _scan(it, blocks, arrow)), schema)
+    return found.select(*out.columns[:-1], F.col("__n").alias("n_words"), F.col("__spans").alias("spans"), F.col("__matches").alias("matches"))
+
+
+def _blocks(spark: SparkSession, benchmark: DataFrame, n: int, block_bytes: int) -> list[Callable[[], Tests]]:
+    """What loads each block of the benchmark in a task: one block is broadcast, several are files that Spark sends to every executor and of which a task holds one at a time."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
+    size = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    count = max(1, -(-size // block_bytes))
+    if count == 1:
+        held = spark.sparkContext.broadcast(Tests([tuple(r) for r in rows.collect()], n))
+        return [lambda: held.value]
+    folder, names = new_path(spark, "tests"), []
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
+    for b in range(count):
+        part = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(count)) == b)
+        names.append(f"tests-{uuid.uuid4().hex}.pickle")
+        with system.open_output_stream(f"{path}/{names[-1]}") as f:
+            f.write(pickle.dumps(Tests([tuple(r) for r in part.collect()], n)))
+        spark.sparkContext.addFile(f"{folder}/{names[-1]}")
+    return [lambda name=name: _read(name) for name in names]
+
+
+def _read(name: str) -> Tests:
+    with open(SparkFiles.get(name), "rb") as f:
+        return pickle.load(f)
+
+
+#: What contamination() adds to doc_id and kept columns.
+ADDED = ("n_words", "n_hit", "items", "matches", "contaminated")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, keep: tuple[str, ...] = ()) -> DataFrame:
     """Row of docs -> doc_id, kept columns, n_words, n_hit, items (sorted ids), matches, contaminated.
 
-    Contaminated: some word is hit and at least a twentieth of the words are.
+    Contaminated: some word is hit and at least a twentieth of the words are. Items without id count as one, after all
+    others. Kept columns must not be called like the new ones.
     """
+    if taken := [c for c in keep if c.lower() in (*ADDED, "spans")]:
+        raise ValueError(f"columns {taken} can't be kept under these names")
     found = find_matches(docs, benchmark, n, keep)
     hit = F.aggregate("spans", F.lit(0).cast("bigint"), lambda t, s: t + s["last"] - s["first"] + 1)
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
@@ -237,7 +251,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 13, keep: tupl
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13) -> DataFrame:
-    """The rows of docs that are not contaminated, with their own columns."""
-    names = docs.columns
-    flagged = contamination(docs, benchmark, n, keep=tuple(c for c in names if c != "doc_id"))
-    return flagged.where(~F.col("contaminated")).select(*names)
+    """The rows of docs that are not contaminated, with their own columns, whatever their names."""
+    others = {c: f"__own{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    held = docs.select("doc_id", "text", *[F.col(f"`{c}`").alias(k) for c, k in others.items()])
+    flagged = contamination(held, benchmark, n, keep=("text", *others.values()))
+    return flagged.where(~F.col("contaminated")).select(*[F.col(others.get(c, c)).alias(c) for c in docs.columns])
