@@ -63,7 +63,7 @@ def find_spans(docs: DataFrame) -> DataFrame:
 
 
 def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """The weak spans that a complementary part completes and no base span overlaps.
+    """The weak spans that a complementary part completes and no base span overlaps, with those parts (kind, start, end) in links.
 
     Both sides of the join are dealt out by text and by the buckets of scope places that they reach, so a bucket holds
     few spans whatever the length of the text.
@@ -72,24 +72,29 @@ def linked(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     role = _by_kind(lambda k: F.lit(ROLE[k]))
     reach = lambda a, b: F.sequence(F.floor(a / scope), F.floor(b / scope))
     weak = spans.where(~F.col("kind").isin(*BASE)).withColumn("bucket", F.explode(reach(F.greatest(F.col("start") - scope, F.lit(0)), F.col("end") + scope)))
-    other = spans.select(*[F.col(k) for k in keys], F.col("start").alias("start2"), F.col("end").alias("end2"), role.alias("role2"), F.col("kind").isin(*BASE).alias("base2")).withColumn("bucket", F.explode(reach(F.col("start2"), F.col("end2"))))
+    other = spans.select(*[F.col(k) for k in keys], F.col("start").alias("start2"), F.col("end").alias("end2"), role.alias("role2"), F.col("kind").alias("kind2"), F.col("kind").isin(*BASE).alias("base2")).withColumn("bucket", F.explode(reach(F.col("start2"), F.col("end2"))))
     near = weak.join(other.withColumnRenamed("doc_id", "doc_id2").withColumnRenamed("copy", "copy2").withColumnRenamed("bucket", "bucket2"), F.col("doc_id").eqNullSafe(F.col("doc_id2")) & F.col("copy").eqNullSafe(F.col("copy2")) & (F.col("bucket") == F.col("bucket2")))
     gap = F.greatest("start", "start2") - F.least("end", "end2")
     completes = reduce(lambda a, b: a | b, [(F.col("kind") == k) & F.col("role2").isin(*roles) for k, roles in COMPLETES.items()])
-    judged = near.groupBy(*keys, "kind", "start", "end").agg(F.max((gap >= 0) & (gap <= scope) & completes).alias("linked"), F.max(F.col("base2") & (gap < 0)).alias("covered"))
-    return judged.where("linked AND NOT covered").select(*keys, "kind", "start", "end")
+    part = F.when((gap >= 0) & (gap <= scope) & completes, F.struct(F.col("kind2").alias("kind"), F.col("start2").alias("start"), F.col("end2").alias("end")))
+    # no more than what fits into the scope on either side of a span
+    judged = near.groupBy(*keys, "kind", "start", "end").agg(F.array_sort(F.collect_set(part)).alias("links"), F.max(F.col("base2") & (gap < 0)).alias("covered"))
+    return judged.where((F.size("links") > 0) & ~F.col("covered")).select(*keys, "kind", "start", "end", "links")
 
 
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
-    """Row of docs (doc_id, text) -> doc_id, spans: array of (start, rank, kind, end) by start, then kind in the order of PATTERNS.
+    """Row of docs (doc_id, text) -> doc_id, spans: array of (start, rank, kind, end, links) by start, then kind in the order of PATTERNS.
+
+    links: the parts (kind, start, end) that complete a weak span; none for base spans.
 
     Null and empty texts have no spans, repeated rows have the same ones each, other columns are ignored, an empty table
     gives no row.
     """
     spans = materialise(find_spans(docs), "spans")
-    kept = spans.where(F.col("kind").isin(*BASE)).unionByName(linked(spans, scope))
+    weak = linked(spans, scope)
+    kept = spans.where(F.col("kind").isin(*BASE)).withColumn("links", F.array().cast(weak.schema["links"].dataType)).unionByName(weak)
     rank = _by_kind(lambda k: F.lit(list(PATTERNS).index(k)))
-    by_doc = kept.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end"))).alias("spans"))
+    by_doc = kept.groupBy("doc_id", "copy").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "kind", "end", "links"))).alias("spans"))
     by_doc = by_doc.select(F.col("doc_id").alias("doc_id2"), F.col("copy").alias("copy2"), "spans")
     rows = docs.select("doc_id", F.xxhash64("text").alias("copy"))
     out = rows.join(by_doc, F.col("doc_id").eqNullSafe(F.col("doc_id2")) & F.col("copy").eqNullSafe(F.col("copy2")), "left")
