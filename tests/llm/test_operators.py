@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +71,40 @@ def test_language_mixtures(spark, none):
     assert {r.lang_pred for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_mixtures_by_plain_loops():
+    """Expectation-maximisation and the choice among nested sets, word by word."""
+    import math
+
+    def plain(words, share):
+        for _ in range(langid.ROUNDS):
+            new = [0.0] * len(share)
+            for w in words:
+                joint = [s * math.exp(x) for s, x in zip(share, w)]
+                new = [n + j / sum(joint) for n, j in zip(new, joint)]
+            share = [n / len(words) for n in new]
+        return share, sum(math.log(sum(s * math.exp(x) for s, x in zip(share, w))) for w in words)
+
+    rng = np.random.default_rng(3)
+    for seed in range(20):
+        sizes = rng.integers(1, 40, 3)
+        likelihood = -5 * rng.random((sizes.sum(), 4)) * rng.choice([0.2, 1.0], 4)
+        first = np.cumsum(sizes) - sizes
+        shares, value = langid.mixtures(likelihood, first, np.full((3, 4), 0.25))
+        chosen = langid.select(likelihood, first)
+        for d, (a, n) in enumerate(zip(first, sizes)):
+            words = likelihood[a : a + n].tolist()
+            want, reached = plain(words, [0.25] * 4)
+            assert np.allclose(shares[d], want) and math.isclose(value[d], reached)
+            order = np.argsort(-np.array(want), kind="stable")
+            alone = likelihood[a : a + n].sum(0)
+            options = [(alone.max(), np.eye(4)[alone.argmax()])]
+            for k in (2, 3, 4):
+                start = [max(want[i], 1e-6) if i in order[:k] else 0.0 for i in range(4)]
+                share, reached = plain(words, [x / sum(start) for x in start])
+                options.append((reached - (k - 1) * langid.PENALTY * math.log(n + 1), share))
+            assert np.allclose(chosen[d], max(options, key=lambda x: x[0])[1], atol=1e-6)
+
+
 # 2
 
 
@@ -155,6 +190,23 @@ def test_toxic_documents(spark, odd, none):
     assert right >= 195
     one = got[400]
     assert any(s.first_word <= 60 and s.last_word >= 62 for s in one.toxic_segments)
+    table = model.dense()
+    for r in [*got.values()][:40]:  # score and segments anew, word by word
+        s = []
+        for word in rows[r.doc_id][1].split():
+            (_, _, cells, _), = toxicity.tokens(pa.array([word]))
+            s.append(float(max(table[c] if c >= 0 else -toxicity.DRIFT for c in cells[:, 0])))
+        segments = brute_segments(s)
+        least = np.log(model.size * len(s))
+        variates = {(a, b): model.rate * v - least for a, b, v in segments}
+        significant = [x for x in sorted(variates) if 1 - np.exp(-np.exp(-variates[x])) < toxicity.SIGNIFICANT]
+        assert [(x.first_word, x.last_word + 1) for x in r.toxic_segments] == significant
+        if variates:
+            best = max(variates.values())
+            evidence = best + sum(max(variates[x], 0) for x in significant if variates[x] != best)
+            assert r.toxic_score == pytest.approx(1 / (1 + np.exp(-(model.base + model.slope * np.log1p(max(evidence, 0))))), abs=1e-6)
+        else:
+            assert r.toxic_score == 0
     scored = toxicity.score(odd, model).collect()
     assert len(scored) == odd.count() and all(0 <= r.toxic_score <= 1 for r in scored) and scored[0].score == 1.0
     assert toxicity.score(none, model).count() == 0 and toxicity.reject(odd, model).columns == odd.columns
@@ -213,10 +265,51 @@ def test_near_duplicates(spark, wide, monkeypatch):
         assert sorted([(r.doc_id, r.component_id, r.kept) for r in twice], key=str) == [(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)]
 
 
+def test_rows_of_a_document_are_one_vertex(spark):
+    for rows in ([(1, "p q r"), (1, "u v w"), (2, "u v w x")], [(1, "u v w"), (1, "p q r"), (2, "u v w x")]):
+        got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, 60).collect())
+        assert got == [(1, 2, 1, True), (1, 2, 1, True), (2, 3, 1, False)]
+    rows = [(5, "a b c"), (5, ""), (3, "a b c"), (7, "a b c"), (7, "k l m"), (9, "k l m"), (None, "k l m"), (8, None)]
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2).collect()}
+    assert got == {(5, 3), (3, 3), (7, 3), (9, 3), (None, None), (8, 8)}
+
+
+def test_regular_words_differ():
+    """Words over two letters whose polynomial hashes modulo 2 ** 64 are equal for every base."""
+    import pyarrow as pa
+
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    (_, _, data, offsets), = textarrays.pieces(pa.array([one, one.translate(str.maketrans("ab", "ba"))]))
+    h = textarrays.word_hashes(data, *textarrays.words(data, offsets, textarrays.NOT_SPACE)[:2])
+    assert h[0] != h[1]
+
+
+def test_recall_at_the_threshold():
+    """Pairs at a similarity of exactly 0.8 that share a node of the first levels; sets of few shingles pass whatever their sketches say."""
+    rng = np.random.default_rng(0)
+    for half, other in ((4, 1), (80, 20), (400, 100)):
+        pairs = 400
+        both = rng.integers(0, 2**63, (pairs, half), dtype=np.uint64)
+        sides = [np.sort(np.concatenate([both, rng.integers(0, 2**63, (pairs, k), dtype=np.uint64)], 1), 1) for k in (other, 0)]
+        shared = np.zeros(pairs, bool)
+        met = []
+        for x in sides:
+            at = np.arange(pairs + 1) * x.shape[1]
+            nodes = []
+            for root in neardup.roots(neardup.trees_for(0.8)):
+                nodes += neardup.walk(x.reshape(-1), at, [np.full(pairs, root)], [np.ones(pairs, bool)], neardup.BRANCH)[0]
+            met.append(np.stack(nodes, 1))
+        shared = np.array([len(np.intersect1d(a, b)) > 0 for a, b in zip(*met)])
+        assert shared.all()
+        if min(half, half + other) > neardup.FEW:
+            drawn = [neardup.sketches(x.reshape(-1), np.arange(pairs + 1) * x.shape[1]) for x in sides]
+            assert (neardup.estimates(*drawn) >= 0.8 - neardup.MARGIN).all()
+
+
 def test_trees_reach_recall():
     one = neardup.shared_picks(0.8, 2)
     assert abs(sum(one) - 1) < 1e-9 and abs(sum(k * p for k, p in enumerate(one)) - 1.6) < 0.1
-    assert neardup.shared_picks(0.8, 1) == pytest.approx([0.2, 0.8]) and 6 <= neardup.trees_for(0.8) <= 14
+    assert neardup.shared_picks(0.8, 1) == pytest.approx([0.2, 0.8]) and 6 <= neardup.trees_for(0.8) <= 14 and neardup.trees_for(0.8) >= neardup.trees_for(0.8, branch=neardup.BRANCH)
 
 
 # 5
@@ -232,9 +325,41 @@ def test_wavelet_matrix():
             assert wm.count(t) == (x == t).sum() and wm.occurrences(t) == np.flatnonzero(x == t).tolist() and wm.rank(t, n // 2) == (x[: n // 2] == t).sum()
     data = wavelet.pack([None, 4], [1, 2], np.array([5, 6, 7]))
     assert wavelet.unpack(data)[0] == [None, 4]
-    for bad in (data[:-1], data[:30] + b"x" + data[31:]):
+    for bad in (data[:-1], data[:30] + b"x" + data[31:], data[:-9] + bytes([data[-9] ^ 1]) + data[-8:], b""):
         with pytest.raises(ValueError):
-            wavelet.unpack(bad)
+            wavelet.unpack(bad)[2].all()
+
+
+def test_parts_of_a_shard_are_read(monkeypatch):
+    monkeypatch.setattr(wavelet, "BLOCK", 1 << 10)
+    x = np.random.default_rng(1).integers(0, 900, 40_000)
+    data, read = wavelet.pack([1], [len(x)], x), []
+
+    def part(at, n):
+        read.append(n)
+        return data[at : at + n]
+
+    wm = wavelet.Shard(part, len(data)).matrix
+    head = sum(read)
+    assert wm.access([0, 17_000, 39_999]).tolist() == x[[0, 17_000, 39_999]].tolist()
+    assert sum(read) - head < len(data) / 8
+    assert wm.count(7) == (x == 7).sum() and wm.occurrences(7) == np.flatnonzero(x == 7).tolist() and (wm.all() == x).all()
+    assert wm.rank(7, 40_000) == wm.count(7) and wm.rank(7, 0) == 0
+
+
+def test_tokens_are_found_in_files(spark, odd):
+    from corpuslens.runtime import new_path
+
+    path, folder = public_tokenizers.path("word_bpe_49k.json"), new_path(spark, "tokens")
+    shards = wavelet.write_shards(odd, folder, path, 2, True, 3000)
+    assert shards.count() > 2
+    ids = {r.doc_id: np.frombuffer(r.ids, "<u4") for r in wavelet.read_shards(spark, folder, shards).collect()}
+    cat = wavelet.encoder(path).whole(["cat"])[0]
+    token = int(np.frombuffer(cat, "<u4")[0])
+    got = wavelet.find_tokens(spark, folder, shards, [token, 49_000, 2], positions=True).collect()
+    want = lambda t: sum(int((ids[r.doc_id] == t).sum()) for r in odd.collect())
+    assert {t: sum(r.n for r in got if r.token == t) for t in (token, 49_000, 2)} == {t: want(t) for t in (token, 49_000, 2)}
+    assert all(r.n == len(r.places) for r in got)
 
 
 @pytest.mark.parametrize("apart", [True, False])
@@ -253,11 +378,14 @@ def test_shards_round_trip(spark, odd, none, apart):
 
 
 def test_words_encode_apart():
+    from tokenizers import Tokenizer
+
     path, rng = public_tokenizers.path("word_bpe_49k.json"), random.Random(0)
-    w = wavelet.WordEncoder(path)
-    pieces = ["a", "B", "'s", ",", ".", "..", " ", "\n", "é", "É", "_", "!", "3", ".5", "́", "Straße", "word,", " "]
-    texts = ["".join(rng.choices(pieces, k=rng.randrange(0, 40))) for _ in range(400)]
-    assert w.encode(texts) == w.whole(texts)
+    t, w = Tokenizer.from_file(path), wavelet.WordEncoder(path)
+    pieces = ["a", "B", "'s", ",", ".", "..", " ", "\n", "\t", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", "é", "É", "e\u0301", "_", "!", "3", ".5", "\u0301", "Straße", "word,", "\u3000", "\u0130", "ı", "Ω", "ς", "Σ", "й", "и\u0306", "漢", "ª", "½", "\u212a", "가", "\ufb01", "\u037e", "<|endoftext|>"]
+    texts = ["BELED\u0130YES\u0130, x", "Z.\u0130. geldi", "a\x1c,b", "a\x1f.b", "x <|endoftext|> y", *("".join(rng.choices(pieces, k=rng.randrange(0, 40))) for _ in range(3000))]
+    assert w.encode(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert w.words("Am Tag, été.") == ["Am", "Tag", ",", "été", "."] and w.words("BELED\u0130, x") == ["BELED\u0130,", "x"]
 
 
 def test_added_tokens_encode_as_in_the_library():
@@ -288,9 +416,24 @@ def test_bpe_is_tiktoken(spark, odd):
         assert bytes(r.decoded) == (r.text or "").encode() and len(r.ids) == 4 * len(enc.encode_ordinary(r.text or ""))
     with pytest.raises(ValueError):
         bpe.encode(odd, PATH, PATTERN)
+    with pytest.raises(ValueError):
+        bpe.round_trip(odd.drop("ids").withColumn("Decoded", F.lit(1)), PATH, PATTERN)
     assert bpe.round_trip(df.limit(0), PATH, PATTERN).count() == 0
 
 
+@pytest.mark.parametrize("wide", [1, 3, 10**9])
+def test_buckets_of_any_size(wide, monkeypatch):
+    """Merges by array operations and place by place give the same ids, with a small cache and slices too."""
+    monkeypatch.setattr(bpe, "WIDE", wide)
+    monkeypatch.setattr(bpe, "SLICE", 300)
+    monkeypatch.setattr(bpe, "MANY", 7)
+    rng, enc, v = random.Random(wide), tiktoken_encoding(), bpe.Vocabulary(PATH, PATTERN)
+    v.kept = bpe.Recent(20_000)
+    texts = ["".join(rng.choices(["an", "on", "th", "the", "ing", " ", "A", "é", "aa"], k=rng.randrange(0, 200))) for _ in range(200)] + ["an" * 2000]
+    assert [np.frombuffer(x, "<u4").tolist() for x in v.encode(texts)] == [enc.encode_ordinary(t) for t in texts]
+    assert v.kept.size <= 20_000 + 300 * (200 + 6)
+
+
 def test_counts_follow_edits(spark, odd, none):
     rng, enc, c = random.Random(0), tiktoken_encoding(), token_counts.counter(PATH, PATTERN)
     pieces = ["a", "b", " ", "  ", "\n", "'", "s", "re", "ll", "1", "23", ".", "é", "word ", "the "]
@@ -349,6 +492,17 @@ def test_contamination(spark, odd, none):
     assert decontam.decontaminate(odd, test, 4).columns == odd.columns
 
 
+def test_items_without_id_and_clashing_columns(spark):
+    test = spark.createDataFrame([(None, "a b c"), ("None", "d e f")], "item_id string, text string")
+    docs = spark.createDataFrame([(1, "a b c d e f", 5, "x"), (2, "a b c", 6, "y"), (3, "z", 7, None)], "doc_id bigint, text string, n_hit int, n_words string")
+    got = {r.doc_id: list(r["items"]) for r in decontam.contamination(docs, test, 3).collect()}
+    assert got == {1: ["None", None], 2: [None], 3: []}
+    left = decontam.decontaminate(docs.withColumns({"items": F.lit(1), "spans": F.lit(2), "contaminated": F.lit(True), "matches": F.lit("m"), "a.b": F.lit(3)}), test, 3).collect()
+    assert [tuple(r) for r in left] == [(3, "z", 7, None, 1, 2, True, "m", 3)]
+    with pytest.raises(ValueError):
+        decontam.contamination(docs, test, 3, keep=("n_hit",))
+
+
 def test_suffix_array():
     rng = np.random.default_rng(0)
     for n in (1, 5, 200):
@@ -364,9 +518,12 @@ def test_secrets(spark, odd, none):
     key = "aB3" + "xY9" * 12
     texts = ["password = hunter22, Token:'abc'", "AKIA" + "A" * 16 + " x " + "f" * 24 + " AKIAB", f"AKIA{'B' * 16} {key}", key, f"see https://a.b/c then {key}", f"username: bob {'z' * 900} {key}", "😀 secret=abcdef😀", f"https://a.b/{key}", "password=secret=tokens"]
     docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "doc_id bigint, text string").withColumn("kind", F.lit("clash"))
-    got = {}
+    got, links = {}, {}
     for r in secrets.scan(docs).collect():
         got[r.doc_id] = [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.spans]
+        links[r.doc_id] = [[(x.kind, texts[r.doc_id][x.start : x.end]) for x in s.links] for s in r.spans]
+    assert links[1] == [[], []] and links[2] == [[], [("access", "AKIA" + "B" * 16)]]
+    assert links[4] == [[("secret", key)], [("endpoint", "https://a.b/c")]]
     assert got[0] == [("assign", "password = hunter22")]
     assert got[1] == [("access", "AKIA" + "A" * 16), ("hex", "f" * 24)]
     assert got[2] == [("access", "AKIA" + "B" * 16), ("secret", key)]
@@ -386,7 +543,7 @@ def test_base_spans_by_brute_force(spark):
             for m in re.finditer(secrets.PATTERNS[kind], texts[r.doc_id], re.ASCII):
                 if len(m[2]) >= 6 if kind == "assign" else len(m[0]) >= (20 if kind == "access" else 24):
                     want.append((m.start(), rank, kind, m.end()))
-        assert [tuple(s) for s in r.spans if s.kind in secrets.BASE] == sorted(want)
+        assert [tuple(s)[:4] for s in r.spans if s.kind in secrets.BASE] == sorted(want)
 
 
 # 10
@@ -410,11 +567,26 @@ def test_exact_duplicates(spark, none):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, _, _, k, _ in want if k}
 
 
-def test_differing_bytes_are_parted(spark):
-    docs = spark.createDataFrame([(1, "aa"), (2, "bb"), (3, "b b"), (4, "c")], "doc_id bigint, text string")
-    same = F.lit("0" * 64)
-    out = docs.select("doc_id", F.char_length("text").cast("bigint").alias("n_points"), F.lit(2).cast("bigint").alias("n_bytes"), F.when(F.col("doc_id") < 4, same).otherwise("1").alias("sha256"), F.when(F.col("doc_id") < 4, 3).otherwise(4).cast("bigint").alias("keep_id"), F.lit(3).cast("bigint").alias("group_size"), F.lit("").alias("kept_at"))
-    differ = dedup._differing(docs, out)
-    assert [r.sha256 for r in differ.collect()] == ["0" * 64]
-    got = {r.doc_id: (r.keep_id, r.group_size) for r in dedup._by_bytes(docs, out, differ).collect()}
-    assert got == {1: (1, 1), 2: (3, 2), 3: (3, 2), 4: (4, 3)}
+def test_repeated_ids_stay_apart(spark):
+    """Rows that share a doc_id but not the text belong to groups of their own, also without doc_id."""
+    rows = [(1, "ab"), (2, "ab"), (1, "zz"), (3, "zz"), (0, "ab "), (None, "q"), (None, "q"), (None, "ab")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted(((r.doc_id, r.keep_id, r.group_size, r.kept) for r in dedup.exact_duplicates(df).collect()), key=str)
+    assert got == sorted([(1, 0, 4, False), (2, 0, 4, False), (1, 1, 2, True), (3, 1, 2, False), (0, 0, 4, True), (None, None, 2, True), (None, None, 2, True), (None, 0, 4, False)], key=str)
+    assert sorted(((r.doc_id, r.text) for r in dedup.deduplicate(df).collect()), key=str) == sorted([(0, "ab "), (1, "zz"), (None, "q"), (None, "q")], key=str)
+
+
+def test_differing_bytes_are_parted(spark, monkeypatch):
+    """With a digest under which all texts of a length are equal, the bytes decide."""
+    monkeypatch.setattr(dedup.F, "sha2", lambda c, n: F.lpad(F.octet_length(c).cast("string"), 64, "0"))
+    rows = [(1, "aa"), (2, "bb"), (3, "b b"), (4, "c"), (1, "dd"), (5, "dd"), (6, None), (7, " ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sorted((r.doc_id, r.keep_id, r.group_size) for r in dedup.exact_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 2), (2, 3, 2), (3, 3, 2), (4, 4, 1), (5, 1, 2), (6, 7, 2), (7, 7, 2)]
+
+
+def test_locators(spark, tmp_path):
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame([(1, "a"), (2, "a "), (3, "b")], "doc_id bigint, text string").coalesce(1).write.parquet(path)
+    got = {r.doc_id: r.locator.rpartition("#") for r in dedup.exact_duplicates(spark.read.parquet(path)).collect()}
+    assert [got[i][2] for i in (1, 2, 3)] == ["1", "1", "2"] and all(x[0].startswith("file:") for x in got.values())
