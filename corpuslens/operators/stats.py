@@ -65,11 +65,13 @@ def chunk_stats(chunks: DataFrame, text: str) -> DataFrame:
 
 
 def neighbour_stats(found: DataFrame) -> DataFrame:
-    return found.agg(F.count("*").alias("n"), F.avg("similarity").alias("avg"), F.stddev_samp("similarity").alias("stddev"), F.min("similarity").alias("min"), F.max("similarity").alias("max"))
+    """Of each base, statistics of its similarities."""
+    return found.groupBy("base_id").agg(F.count("*").alias("n"), F.avg("similarity").alias("avg"), F.stddev_samp("similarity").alias("stddev"), F.min("similarity").alias("min"), F.max("similarity").alias("max"))
 
 
 def similarity_by_course(found: DataFrame) -> DataFrame:
-    return found.groupBy("koza_id").agg(F.count("*").alias("n"), F.avg("similarity").alias("avg"), F.max("similarity").alias("max"))
+    """Of each base, statistics by course."""
+    return found.groupBy("base_id", "koza_id").agg(F.count("*").alias("n"), F.avg("similarity").alias("avg"), F.max("similarity").alias("max"))
 
 
 def cache_stats(cache: DataFrame, as_of: Column) -> DataFrame:

@@ -49,12 +49,10 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame, a: str, b: str, id_col
     return pairs.join(left, a).join(right, b).withColumn("similarity", dot(F.col("__x"), F.col("__y"))).drop("__x", "__y")
 
 
-def nearest_to(query: DataFrame, candidates: DataFrame, id_col: str = "id", vector: str = "content_embedding") -> DataFrame:
-    """candidates with the similarity to the one row of query (which itself is left out)."""
-    one = unit(query.select(id_col, vector), vector).limit(1).select(F.col(id_col).alias("__q"), F.col("unit").alias("__x"))
-    # one row
-    scored = unit(candidates, vector, "__y").crossJoin(F.broadcast(one)).where(F.col(id_col) != F.col("__q"))
-    return scored.withColumn("similarity", dot(F.col("__x"), F.col("__y"))).drop("__x", "__y", "__q")
+def nearest_to(query: DataFrame, candidates: DataFrame, id_col: str = "id", vector: str = "content_embedding", threshold: float = -2.0, top: int | None = None) -> DataFrame:
+    """candidates with base_id and their similarity to each row of query (itself left out), above a threshold, the top of each if given."""
+    found = similarity_join(candidates, threshold, top, id_col, None, vector, base=query).select("base_id", F.col("similar_id").alias(id_col), "similarity")
+    return candidates.join(found, id_col)
 
 
 def _blocks(rows: DataFrame, folder: str, block_rows: int, least: int) -> int:
@@ -85,19 +83,19 @@ def similarity_join(vectors: DataFrame, threshold: float, top: int | None = None
     Vectors are written once to the shared folder in blocks of about block_rows; the rows that are dealt to tasks are
     pairs of block numbers. A task reads its two blocks and keeps, of their matrix product, only what passes (and of a
     base's matches in the block, only the top: that is exact).
-    owner: pairs with the same value there are left out (and a vector and itself always). base: ids (in a column called
-    as id_col) whose matches alone are looked for; only their vectors are then multiplied with all others.
+    owner: pairs with the same value there are left out (and a vector and itself always). base: rows like those of
+    vectors (some of them, or others) whose matches alone are looked for; only they are then multiplied with all.
     """
     spark = vectors.sparkSession
     ship_package(spark)
     own = F.col(owner) if owner else F.col(id_col)
-    rows = materialise(unit(vectors, vector).select(F.col(id_col).cast("string").alias("id"), own.cast("string").alias("owner"), "unit"), "units")
+    units = lambda df: materialise(unit(df, vector).select(F.col(id_col).cast("string").alias("id"), own.cast("string").alias("owner"), "unit"), "units")
     folder, parallel = new_path(spark, "blocks"), spark.sparkContext.defaultParallelism
     others = firsts = folder + "/all"
-    n = m = _blocks(rows, others, block_rows, -(-parallel // 2))
+    n = m = _blocks(units(vectors), others, block_rows, -(-parallel // 2))
     if base is not None:
         firsts = folder + "/base"
-        n = _blocks(materialise(rows.join(base.select(F.col(id_col).cast("string").alias("id")).distinct(), "id", "left_semi"), "base"), firsts, block_rows, 1)
+        n = _blocks(units(base), firsts, block_rows, 1)
     pairs = spark.range(0, n * m, 1, min(n * m, 16 * parallel)).select(F.floor(F.col("id") / m).alias("p"), (F.col("id") % m).alias("q"))
 
     both_ways = base is None

@@ -42,26 +42,28 @@ def similar_articles(chunks: DataFrame, articles: DataFrame, base_ids: list[str]
     return ranked if limit is None else ranked.where(F.col("rank") <= limit)
 
 
-def nearest_articles(articles: DataFrame, base_id: str, threshold: float = 0.7, n: int = 5, same_course: bool = False, min_pageviews: int | None = None, limit_first: bool = False) -> DataFrame:
-    """Nearest articles of one. limit_first cuts to n before the threshold is applied."""
-    base = articles.where(F.col("id") == base_id)
+def nearest_articles(articles: DataFrame, base: DataFrame, threshold: float = 0.7, n: int = 5, same_course: bool = False, min_pageviews: int | None = None, limit_first: bool = False) -> DataFrame:
+    """The n nearest articles of each row of base (articles), with base_id and rank. limit_first cuts to n before the threshold is applied."""
     rows = articles.where(F.col("pageviews") >= min_pageviews) if min_pageviews is not None else articles
-    rows = rows.join(F.broadcast(base.select("koza_id").limit(1)), "koza_id", "left_semi") if same_course else rows
-    found = vectors.nearest_to(base, rows)
-    order = [F.desc("similarity"), F.col("id")]
-    return found.orderBy(*order).limit(n).where(F.col("similarity") >= threshold) if limit_first else found.where(F.col("similarity") >= threshold).orderBy(*order).limit(n)
+    if not same_course:
+        found = vectors.nearest_to(base, rows, threshold=-2.0 if limit_first else threshold, top=n)
+    else:
+        found = vectors.nearest_to(base, rows, threshold=-2.0 if limit_first else threshold)
+        found = found.join(base.select(F.col("id").alias("base_id"), F.col("koza_id").alias("__course")), "base_id").where(F.col("koza_id") == F.col("__course")).drop("__course")
+    return vectors.top_per(found, n, tie="id").where(F.col("similarity") >= threshold)
 
 
-def neighbour_analysis(articles: DataFrame, base_id: str, high: float = 0.8, n: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Statistics of all similarities of an article, its most similar ones, and statistics by course."""
-    found = vectors.nearest_to(articles.where(F.col("id") == base_id), articles).select("id", "title", "koza_id", "similarity")
-    return stats.neighbour_stats(found), found.where(F.col("similarity") >= high).orderBy(F.desc("similarity"), "id").limit(n), stats.similarity_by_course(found)
+def neighbour_analysis(articles: DataFrame, base: DataFrame, high: float = 0.8, n: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """For each row of base (articles): statistics of all its similarities, its most similar articles, and statistics by course."""
+    found = materialise(vectors.nearest_to(base, articles).select("base_id", "id", "title", "koza_id", "similarity"), "neighbours")
+    return stats.neighbour_stats(found), vectors.top_per(found.where(F.col("similarity") >= high), n, tie="id"), stats.similarity_by_course(found)
 
 
-def neighbour_blocks(articles: DataFrame, base_id: str, high: float = 0.8, n: int = 20) -> DataFrame:
-    """neighbour_analysis() as three rows (type, data): JSON of the statistics, of the most similar articles and of the courses."""
+def neighbour_blocks(articles: DataFrame, base: DataFrame, high: float = 0.8, n: int = 20) -> DataFrame:
+    """neighbour_analysis() as three rows (base_id, type, data) a base: JSON of the statistics, of the most similar articles and of the courses."""
     names = ("stats", "high_similarity", "course_similarities")
-    blocks = [rows.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*rows.columns)))).alias("data")).select(F.lit(name).alias("type"), "data") for name, rows in zip(names, neighbour_analysis(articles, base_id, high, n), strict=True)]
+    block = lambda rows: rows.groupBy("base_id").agg(F.to_json(F.sort_array(F.collect_list(F.struct(*[c for c in rows.columns if c != "base_id"])))).alias("data"))
+    blocks = [block(rows).select("base_id", F.lit(name).alias("type"), "data") for name, rows in zip(names, neighbour_analysis(articles, base, high, n), strict=True)]
     return blocks[0].unionByName(blocks[1]).unionByName(blocks[2])
 
 

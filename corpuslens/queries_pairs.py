@@ -26,13 +26,19 @@ def pairs(t: Tables):
     return scoring.article_pairs(of_chunks(t), totals, 10)
 
 
-NEAR = f"SELECT b.id, b.koza_id, {COS} AS similarity FROM v_articles a JOIN v_articles b ON a.id = '5' AND b.id <> '5' WHERE b.content_embedding IS NOT NULL"
+#: Every article whose id is divisible by 50, against all.
+NEAR = f"SELECT a.id AS base_id, b.id, b.koza_id, {COS} AS similarity FROM v_articles a JOIN v_articles b ON a.id <> b.id WHERE CAST(a.id AS INTEGER) % 50 = 0 AND a.content_embedding IS NOT NULL AND b.content_embedding IS NOT NULL"
+BEST = "row_number() OVER (PARTITION BY base_id ORDER BY similarity DESC, id)"
 SIM = "round(similarity, 6) AS similarity"
 
 
+def bases(articles):
+    return articles.where("CAST(id AS INT) % 50 = 0")
+
+
 def near(t: Tables):
     a = t("v_articles")
-    return vectors.nearest_to(a.where("id = '5'"), a)
+    return vectors.nearest_to(bases(a), a)
 
 
 @query("v01_cosine", f"SELECT a.chunk_id AS a, b.chunk_id AS b, round({COS}, 6) AS similarity FROM v_chunks a JOIN v_chunks b ON b.article_id = a.article_id AND b.chunk_index = a.chunk_index + 1")
@@ -42,15 +48,15 @@ def v01(t: Tables):
     return c.join(n, ["article_id", "chunk_index"]).select(F.col("chunk_id").alias("a"), "b", F.round(vectors.cosine(F.col("content_embedding"), F.col("y")), 6).alias("similarity"))
 
 
-@query("v02_cosine_distance", f"SELECT id, round(1 - similarity, 6) AS distance FROM ({NEAR})")
+@query("v02_cosine_distance", f"SELECT base_id, id, round(1 - similarity, 6) AS distance FROM ({NEAR})")
 def v02(t: Tables):
-    return near(t).select("id", F.round(1 - F.col("similarity"), 6).alias("distance"))
+    return near(t).select("base_id", "id", F.round(1 - F.col("similarity"), 6).alias("distance"))
 
 
-@query("v03_zero_vectors", f"SELECT id, round(similarity, 6) AS similarity FROM ({NEAR}) WHERE CAST(id AS INTEGER) % 2 = 1")
+@query("v03_zero_vectors", f"SELECT base_id, id, round(similarity, 6) AS similarity FROM ({NEAR}) WHERE CAST(id AS INTEGER) % 3 <> 1 AND CAST(base_id AS INTEGER) % 3 <> 1")
 def v03(t: Tables):
-    a = t("v_articles").withColumn("content_embedding", F.when(F.col("id").cast("int") % 2 == 0, F.transform("content_embedding", lambda v: v * 0)).otherwise(F.col("content_embedding")))
-    return vectors.nearest_to(a.where("id = '5'"), a).select("id", F.round("similarity", 6).alias("similarity"))
+    a = t("v_articles").withColumn("content_embedding", F.when(F.col("id").cast("int") % 3 == 1, F.transform("content_embedding", lambda v: v * 0)).otherwise(F.col("content_embedding")))
+    return vectors.nearest_to(bases(a), a).select("base_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("v04_similarity_join", f"SELECT a.id AS base_id, b.id AS similar_id, round({COS}, 6) AS similarity FROM v_articles a JOIN v_articles b ON a.id <> b.id WHERE a.content_embedding IS NOT NULL AND b.content_embedding IS NOT NULL AND {COS} >= 0.3")
@@ -74,9 +80,9 @@ def v07(t: Tables):
     return vectors.embed(rows, "text", dims=32).select("id", F.col("content_embedding").isNull().alias("none"), F.round(vectors.norm(F.col("content_embedding")), 6).alias("length"))
 
 
-@query("j05_query_vector", f"SELECT id, {SIM} FROM ({NEAR})")
+@query("j05_query_vector", f"SELECT base_id, id, {SIM} FROM ({NEAR})")
 def j05(t: Tables):
-    return near(t).select("id", F.round("similarity", 6).alias("similarity"))
+    return near(t).select("base_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @query("j06_chunk_matches", f"SELECT a.chunk_id AS base_id, b.chunk_id AS similar_id, round({COS}, 6) AS similarity FROM v_chunks a JOIN v_chunks b ON a.article_id <> b.article_id WHERE {COS} >= 0.2")
@@ -116,12 +122,12 @@ def w04(t: Tables):
     return vectors.similarity_join(t("v_articles"), 0.0, 5).drop("rank").withColumns(r6("similarity"))
 
 
-@query("a16_neighbour_stats", f"SELECT count(*) AS n, round(avg(similarity), 6) AS avg, round(stddev_samp(similarity), 6) AS stddev, round(min(similarity), 6) AS min, round(max(similarity), 6) AS max FROM ({NEAR})")
+@query("a16_neighbour_stats", f"SELECT base_id, count(*) AS n, round(avg(similarity), 6) AS avg, round(stddev_samp(similarity), 6) AS stddev, round(min(similarity), 6) AS min, round(max(similarity), 6) AS max FROM ({NEAR}) GROUP BY 1")
 def a16(t: Tables):
     return stats.neighbour_stats(near(t)).withColumns(r6("avg", "stddev", "min", "max"))
 
 
-@query("a17_similarity_by_course", f"SELECT koza_id, count(*) AS n, round(avg(similarity), 6) AS avg, round(max(similarity), 6) AS max FROM ({NEAR}) GROUP BY 1")
+@query("a17_similarity_by_course", f"SELECT base_id, koza_id, count(*) AS n, round(avg(similarity), 6) AS avg, round(max(similarity), 6) AS max FROM ({NEAR}) GROUP BY 1, 2")
 def a17(t: Tables):
     return stats.similarity_by_course(near(t)).withColumns(r6("avg", "max"))
 
@@ -374,27 +380,35 @@ def r22(t: Tables):
     return report(t).agg(F.count("*").alias("pairs"), F.count("error").alias("errors"))
 
 
-@query("o07_nearest_in_course", f"SELECT id, {SIM} FROM (SELECT b.id, {COS} AS similarity FROM v_articles a JOIN v_articles b ON a.id = '5' AND b.id <> '5' AND b.koza_id = a.koza_id WHERE b.content_embedding IS NOT NULL AND b.pageviews >= 0 ORDER BY {COS} DESC, b.id LIMIT 10) WHERE similarity >= 0.0")
+def nearest(found):
+    return found.select("base_id", "id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("o07_nearest_in_course", f"""WITH n AS (SELECT a.id AS base_id, b.id, {COS} AS similarity FROM v_articles a JOIN v_articles b ON a.id <> b.id AND b.koza_id = a.koza_id WHERE CAST(a.id AS INTEGER) % 50 = 0 AND a.content_embedding IS NOT NULL AND b.content_embedding IS NOT NULL AND b.pageviews >= 0)
+    SELECT base_id, id, {SIM} FROM (SELECT * FROM n QUALIFY {BEST} <= 10) WHERE similarity >= 0.0""")
 def o07(t: Tables):
-    return jobs.nearest_articles(t("v_articles"), "5", 0.0, 10, same_course=True, min_pageviews=0, limit_first=True).select("id", F.round("similarity", 6).alias("similarity"))
+    a = t("v_articles")
+    return nearest(jobs.nearest_articles(a, bases(a), 0.0, 10, same_course=True, min_pageviews=0, limit_first=True))
 
 
-@query("o08_nearest_published", f"SELECT id, {SIM} FROM ({NEAR} AND b.content_type = 'en') WHERE similarity >= 0.1 ORDER BY similarity DESC, id LIMIT 5")
+@query("o08_nearest_published", f"SELECT base_id, id, {SIM} FROM (SELECT * FROM ({NEAR} AND b.content_type = 'en') WHERE similarity >= 0.1 QUALIFY {BEST} <= 5)")
 def o08(t: Tables):
     from corpuslens.operators.search import published
 
-    a = t("v_articles").withColumn("status", F.when((F.col("content_type") == "en") | (F.col("id") == "5"), "published").otherwise("draft"))
-    return jobs.nearest_articles(published(a), "5", 0.1, 5).select("id", F.round("similarity", 6).alias("similarity"))
+    a = t("v_articles").withColumn("status", F.when(F.col("content_type") == "en", "published").otherwise("draft"))
+    return nearest(jobs.nearest_articles(published(a), bases(a), 0.1, 5))
 
 
-@query("o09_nearest_ten", f"SELECT id, {SIM} FROM ({NEAR}) ORDER BY similarity DESC, id LIMIT 10")
+@query("o09_nearest_ten", f"SELECT base_id, id, {SIM} FROM (SELECT * FROM ({NEAR}) QUALIFY {BEST} <= 10)")
 def o09(t: Tables):
-    return jobs.nearest_articles(t("v_articles"), "5", -1.0, 10).select("id", F.round("similarity", 6).alias("similarity"))
+    a = t("v_articles")
+    return nearest(jobs.nearest_articles(a, bases(a), -1.1, 10))
 
 
-@query("z02_nearest_articles", f"SELECT id, {SIM} FROM ({NEAR}) WHERE similarity >= 0.2 ORDER BY similarity DESC, id LIMIT 5")
+@query("z02_nearest_articles", f"SELECT base_id, id, {SIM} FROM (SELECT * FROM ({NEAR}) WHERE similarity >= 0.2 QUALIFY {BEST} <= 5)")
 def z02(t: Tables):
-    return jobs.nearest_articles(t("v_articles"), "5", 0.2, 5).select("id", F.round("similarity", 6).alias("similarity"))
+    a = t("v_articles")
+    return nearest(jobs.nearest_articles(a, bases(a), 0.2, 5))
 
 
 @query("z03_similarity_cache", f"""WITH s AS (SELECT id FROM v_articles WHERE pageviews >= 10 AND content_embedding IS NOT NULL ORDER BY pageviews DESC, id LIMIT 20),
@@ -404,20 +418,24 @@ def z03(t: Tables):
     return jobs.build_similarity_cache(t("v_articles"), as_of(), min_pageviews=10).select("base_article_id", "similar_article_id", F.round("similarity_score", 6).alias("similarity_score"), "traffic_impact_prediction")
 
 
-@query("z05_neighbour_analysis", f"SELECT koza_id, count(*) AS n, round(avg(similarity), 6) AS avg, round(max(similarity), 6) AS max FROM ({NEAR}) GROUP BY 1")
+def analysis(t: Tables):
+    a = t("v_articles")
+    return jobs.neighbour_analysis(a, bases(a), 0.2)
+
+
+@query("z05_neighbour_analysis", f"SELECT base_id, koza_id, count(*) AS n, round(avg(similarity), 6) AS avg, round(max(similarity), 6) AS max FROM ({NEAR}) GROUP BY 1, 2")
 def z05(t: Tables):
-    return jobs.neighbour_analysis(t("v_articles"), "5")[2].withColumns(r6("avg", "max"))
+    return analysis(t)[2].withColumns(r6("avg", "max"))
 
 
-@query("z05_high_list", f"SELECT id, {SIM} FROM ({NEAR}) WHERE similarity >= 0.2 ORDER BY similarity DESC, id LIMIT 20")
+@query("z05_high_list", f"SELECT base_id, id, {SIM} FROM (SELECT * FROM ({NEAR}) WHERE similarity >= 0.2 QUALIFY {BEST} <= 20)")
 def z05_high(t: Tables):
-    return jobs.neighbour_analysis(t("v_articles"), "5", 0.2)[1].select("id", F.round("similarity", 6).alias("similarity"))
+    return nearest(analysis(t)[1])
 
 
-@query("z05_neighbour_stats", f"SELECT count(*) AS n, round(avg(similarity), 6) AS avg, round(min(similarity), 6) AS min, round(max(similarity), 6) AS max FROM ({NEAR})")
+@query("z05_neighbour_stats", f"SELECT base_id, count(*) AS n, round(avg(similarity), 6) AS avg, round(min(similarity), 6) AS min, round(max(similarity), 6) AS max FROM ({NEAR}) GROUP BY 1")
 def z05_stats(t: Tables):
-    found = jobs.neighbour_analysis(t("v_articles"), "5")[0]
-    return found.select("n", *[F.round(c, 6).alias(c) for c in ("avg", "min", "max")])
+    return analysis(t)[0].select("base_id", "n", *[F.round(c, 6).alias(c) for c in ("avg", "min", "max")])
 
 
 @query("u03_merged_neighbours", """WITH f AS (SELECT base_article_id AS base_id, similar_article_id AS similar_id, similarity_score AS similarity FROM v_cache WHERE similarity_score >= 0.5),

@@ -43,7 +43,7 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Rows go to Python workers in batches of so many bytes, unless the session says otherwise: texts can be very long.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
