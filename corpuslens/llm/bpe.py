@@ -24,7 +24,7 @@ from corpuslens.llm.arrowmap import Recent, with_columns, without
 
 #: Bytes that a worker spends on the pre-tokens that it has met, characters (or bytes of ids) in a slice, and pre-tokens
 #: of a longer text that are taken at once.
-KEPT, SLICE, MANY = 64 << 20, 1 << 20, 200_000
+KEPT, SLICE, MANY = 48 << 20, 1 << 20, 200_000
 #: Places from which on a bucket is merged by array operations.
 WIDE = 24
 

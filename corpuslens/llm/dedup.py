@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from corpuslens.runtime import materialise, new_path
 
 #: Settings of the stream while it starts: state in RocksDB, of which changes are uploaded; no space is set aside for it
-#: on disk, since there is a store for each partition.
+#: on disk, since there is a store for each partition, and those of an executor share a bounded memory.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
 }
 WHITE = " \t\n\x0b\x0c\r"
 #: Groups with more than one HOT-th of the rows are dealt to SALTS tasks when bytes are compared.
