@@ -82,12 +82,38 @@ def t13(t: Tables):
     return docs(t).select("doc_id", tx.field_of(F.lit(None).cast("string"), slug, planted(), F.lit(None).cast("string")).alias("field"))
 
 
-@query("t14_structured")
+def replaced(text: str, words: list[str]) -> str:
+    for w in words:
+        text = f"replace({text}, '{w}', '【{w}】')"
+    return text
+
+
+def steps(text: str, *patterns: tuple[str, str]) -> str:
+    for p, to in patterns:
+        text = f"regexp_replace({text}, '{p}', '{to}', 'g')"
+    return text
+
+
+DEFINED = (r"(?m)(?:^|\n)([^\n]{1,50}とは[？?]?)\s*(?:\n|$)", "\n【\\1】\n")
+LISTS = ((r"(?m)(?:^|\n)・([^\n]+)", "\n- \\1"), (r"(?m)(?:^|\n)(\d+)\.([^\n]+)", "\n\\1. \\2"))
+MARKED = steps(f"('簿記とは？\n・一つ\n1.二つ\n重要：三つ\n' || {PLANTED})", DEFINED, (r"([^\s]+(?:法|規則|規定|基準|要件|条例))", r"《\1》"), (r"([第]?\d+条[の]?\d*(?:第\d+項)?)", r"《\1》"), *LISTS, (r"(?m)(?:^|\n)(ポイント|重要|注意|要点|まとめ)[：:]([^\n]+)", "\n★\\1: \\2"))
+
+
+@query("t14_structured", f"SELECT doc_id, {MARKED} AS text FROM documents")
 def t14(t: Tables):
     return docs(t).select("doc_id", tx.structured(F.concat(F.lit("簿記とは？\n・一つ\n1.二つ\n重要：三つ\n"), planted())).alias("text"))
 
 
-@query("t15_structured_by_course")
+LAW_MARKED = steps(f"('宅建業法第35条の2とは？\n・宅建業法と供託\n1.民法90条\n重要：年金と税関\nまとめ：証券\n' || {PLANTED})", DEFINED, (r"([^\s]+法[第]?\d+条[の]?\d*(?:第\d+項)?)", r"《\1》"), *LISTS, (r"(?m)(?:^|\n)(ポイント|重要|注意)[：:]([^\n]+)", "\n★\\1: \\2"))
+# the expected keywords of each course, written out
+OF_COURSES = {
+    "1": "行政書士法 許認可 官公署 代理 代行", "2": "労働基準法 社会保険 労災 雇用保険 年金", "3": "ライフプランニング リスク管理 金融資産 タックスプランニング 不動産 相続", "4": "宅建業法 都市計画法 建築基準法 重要事項説明 媒介契約",
+    "5": "マンション管理適正化法 区分所有法 管理組合 修繕積立金", "6": "仕訳 貸借対照表 損益計算書 減価償却 棚卸資産", "26": "ITパスポート 情報セキュリティ システム開発 データベース", "27": "関税法 通関業法 輸出入 税関",
+    "45": "司法書士法 不動産登記 商業登記 供託", "46": "アルゴリズム データ構造 プログラミング システム設計", "47": "金融商品取引法 証券 投資信託 デリバティブ",
+}
+
+
+@query("t15_structured_by_course", f"SELECT doc_id, CASE course {' '.join(f"WHEN '{k}' THEN {replaced('x', ws.split())}" for k, ws in OF_COURSES.items())} ELSE x END AS text FROM (SELECT doc_id, {COURSE} AS course, {LAW_MARKED} AS x FROM documents)")
 def t15(t: Tables):
     text = F.concat(F.lit("宅建業法第35条の2とは？\n・宅建業法と供託\n1.民法90条\n重要：年金と税関\nまとめ：証券\n"), planted())
     return docs(t).select("doc_id", course().alias("course"), tx.law_structured(text).alias("text")).select("doc_id", tx.course_marks(F.col("text"), F.col("course")).alias("text"))
@@ -98,12 +124,6 @@ def t16(t: Tables):
     return docs(t).select("doc_id", tx.structured_qa(F.concat(F.lit("Q: a"), F.col("source"), F.lit("\nA: b\nQ：c\nA：d "), F.col("text"))).alias("text"))
 
 
-def replaced(text: str, words: list[str]) -> str:
-    for w in words:
-        text = f"replace({text}, '{w}', '【{w}】')"
-    return text
-
-
 @query("t17_term_marks", f"SELECT doc_id, {replaced(replaced(PLANTED, tx.FIELD_KEYWORDS['finance']), tx.TERMS)} AS text FROM documents")
 def t17(t: Tables):
     return docs(t).select("doc_id", tx.enhanced_terms(planted(), F.lit("finance")).alias("text"))
@@ -189,7 +209,13 @@ def t31(t: Tables):
     return t("v_chunks").select("chunk_id", tx.chunk_text(F.col("article_id"), F.col("chunk_title"), F.col("chunk_id")).alias("text"))
 
 
-@query("t32_pair_prompts")
+def sentences(c: str) -> str:
+    head = "left(p, 1500)"
+    return f"(SELECT CASE WHEN length(p) <= 1500 THEN p WHEN contains({head}, '。') AND 1500 - instr(reverse({head}), '。') + 1 > 1200 THEN left(p, 1500 - instr(reverse({head}), '。') + 1) || '...' ELSE {head} || '...' END FROM (SELECT trim(regexp_replace(coalesce({c}, ''), '<[^>]*>', '', 'g')) AS p))"
+
+
+@query("t32_pair_prompts", f"""SELECT x.id, 'Article A: ' || x.title || chr(10) || {sentences('x.full_content')} || chr(10) || chr(10) || 'Article B: ' || y.title || chr(10) || {sentences('y.full_content')} || chr(10) || chr(10) || 'Where do the two overlap, and what should be done?' AS prompt
+    FROM v_articles x JOIN v_articles y ON CAST(y.id AS INTEGER) = CAST(x.id AS INTEGER) + 1""")
 def t32(t: Tables):
     a = t("v_articles").select("id", "title", "full_content")
     b = a.select((F.col("id").cast("int") - 1).cast("string").alias("id"), F.col("title").alias("t2"), F.col("full_content").alias("c2"))
@@ -291,15 +317,15 @@ def landed(t: Tables, kind: str):
     return spark, path
 
 
-@query("s01_course_documents")
+@query("s01_course_documents", "SELECT DISTINCT source AS slug, source AS name, '' AS description FROM documents")
 def s01(t: Tables):
     from corpuslens.sources import tables as src
 
     spark, path = landed(t, "courses")
-    return src.read_documents(spark, path, src.COURSE).select("id", "attributes.slug", "attributes.name")
+    return src.read_documents(spark, path, src.COURSE).select("attributes.slug", "attributes.name", "attributes.description")
 
 
-@query("s02_article_documents")
+@query("s02_article_documents", """SELECT doc_id AS id, 't' || doc_id AS POST_TITLE, CAST(len(string_split(coalesce(text, ''), chr(10) || chr(10))) AS INTEGER) AS sections FROM documents""")
 def s02(t: Tables):
     from corpuslens.sources import tables as src
 
