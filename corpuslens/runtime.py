@@ -32,7 +32,20 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing else uses."""
-    return f"{shared_dir(spark)}/corpuslens/{uuid.uuid4().hex}/{name}"
+    return f"{_made(spark)}/{uuid.uuid4().hex}/{name}"
+
+
+def _made(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/corpuslens/{spark.sparkContext.applicationId}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Remove what the jobs of this application have left in the shared folder. Results that aren't written elsewhere yet are lost."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(_made(spark))
+    if system.get_file_info(path).type == fs.FileType.Directory:
+        system.delete_dir(path)
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:

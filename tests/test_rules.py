@@ -265,3 +265,17 @@ def test_a_cluster_must_name_its_shared_folder():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: d), sparkContext=SimpleNamespace(master="spark://a:7077", applicationId="x"))
     with pytest.raises(ValueError):
         shared_dir(session)
+
+
+def test_what_jobs_leave_can_be_removed(spark, tmp_path):
+    import os
+    from types import SimpleNamespace
+
+    from corpuslens import runtime
+
+    of = lambda app: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d=None: f"file://{tmp_path}"), sparkContext=SimpleNamespace(master="local", applicationId=app))
+    for app in ("one", "two"):
+        os.makedirs(runtime.new_path(of(app), "x").removeprefix("file://"))
+    runtime.clear(of("one"))
+    assert os.listdir(f"{tmp_path}/corpuslens") == ["two"]
+    runtime.clear(of("one"))
