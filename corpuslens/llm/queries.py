@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.llm import bpe, decontam, dedup, langid, neardup, secrets, token_counts, toxicity, warc, wavelet
+from corpuslens.llm import bpe, codes, decontam, dedup, langid, neardup, resample, secrets, token_counts, toxicity, vectordup, warc, wavelet
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -183,3 +183,56 @@ def op7_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("edits", token_counts.replacements("text", "[0-9]{4,}", "<number>"))
     built = token_counts.build(docs, path, pattern).withColumn("n_before", F.col("n_tokens"))
     return token_counts.edit(built, path, pattern).select("doc_id", "n_before", F.size("edits").cast("bigint").alias("n_edits"), F.col("n_tokens").alias("n_after"), "n_encoded")
+
+
+@query
+def op11_vector_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectordup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+ORACLE_SQL["op11_vector_neardup"] = """
+WITH RECURSIVE v AS (
+    SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0),
+l AS (SELECT a.vec_id AS p, b.vec_id AS q FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.9),
+reach(id, r) AS (SELECT p, p FROM l UNION SELECT reach.id, l.q FROM reach JOIN l ON l.p = reach.r),
+c AS (SELECT id, min(r) AS m FROM reach GROUP BY id),
+n AS (SELECT p, count(*) AS n FROM l GROUP BY p)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(c.m, e.vec_id) AS component_id, coalesce(c.m, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.p = e.vec_id LEFT JOIN c ON c.id = e.vec_id
+"""
+
+
+@query
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), percent=25, least_words=20, seed=7)
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def _rounds_sql(rounds: int) -> str:
+    """Codebooks b0, b1, ... and the parts' nearest entries a0, a1, ... (key: squared distance * 256 + entry)."""
+    out = ["b0 AS MATERIALIZED (SELECT part, rank - 1 AS entry, pos, x FROM p WHERE rank <= 256)"]
+    for k in range(rounds + 1):
+        out.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, part, min(d * 256 + entry) AS key FROM (
+            SELECT p.vec_id, p.part, b.entry, CAST(sum((p.x - b.x) * (p.x - b.x)) AS BIGINT) AS d FROM p JOIN b{k} b ON b.part = p.part AND b.pos = p.pos GROUP BY ALL) GROUP BY ALL)""")
+        if k < rounds:
+            out.append(f"""m{k} AS (SELECT part, key % 256 AS entry, pos, CAST(floor(sum(x) / count(*)) AS BIGINT) AS x FROM a{k} JOIN p USING (vec_id, part) GROUP BY ALL),
+            b{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, b.pos, coalesce(m.x, b.x) AS x FROM b{k} b LEFT JOIN m{k} m ON m.part = b.part AND m.entry = b.entry AND m.pos = b.pos)""")
+    return ",\n".join(out)
+
+
+ORACLE_SQL["op13_vector_codes"] = f"""
+WITH k AS (SELECT vec_id, label, embedding AS e, row_number() OVER (ORDER BY vec_id) AS rank FROM embeddings
+           WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0),
+i AS (SELECT vec_id, rank, len(e) // 4 AS width, unnest(range(len(e))) AS j, unnest(e) AS y FROM k),
+p AS MATERIALIZED (SELECT vec_id, rank, j // width AS part, j % width AS pos, CAST(floor(1024 * CAST(y AS DOUBLE)) AS BIGINT) AS x FROM i),
+{_rounds_sql(codes.ROUNDS)},
+h AS (SELECT sha256(string_agg(CAST(x AS VARCHAR), ',' ORDER BY part, entry, pos)) AS h FROM b{codes.ROUNDS}),
+c AS (SELECT vec_id, string_agg(format('{{:02x}}', key % 256), '' ORDER BY part) AS code, CAST(sum(key // 256) AS BIGINT) AS error FROM a{codes.ROUNDS} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, h AS codebooks_sha256 FROM k JOIN c USING (vec_id), h
+"""
