@@ -1,4 +1,4 @@
-"""Text cleaning, classification and templates, as column expressions; HTML parsing and NFKC in one Arrow function."""
+"""Text cleaning, classification and templates, as column expressions; HTML parsing, NFKC and lists of terms in Arrow functions."""
 
 from __future__ import annotations
 
@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslens.functions import terms
+
 DROPPED = frozenset({"script", "style", "meta", "link", "nav", "footer"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
 HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
@@ -162,12 +164,9 @@ def field_of(course_name: Column, course_slug: Column, content: Column, title: C
 
 def field_of_lower(name: Column, slug: Column, text: Column) -> Column:
     """field_of() of lower-case texts."""
-    words = F.array(*[F.struct(F.array(*map(F.lit, ks)).alias("words"), F.lit(-i).alias("minus"), F.lit(f).alias("field")) for i, (f, ks) in enumerate(FIELD_KEYWORDS.items())])
     courses = F.array(*[F.struct(F.array(*map(F.lit, ks)).alias("words"), F.lit(f).alias("field")) for f, ks in FIELD_COURSES.items()])
-    hits = lambda x: F.transform(words, lambda w: F.struct(F.size(F.filter(w["words"], lambda k: F.contains(x, k))).alias("n"), w["minus"].alias("minus"), w["field"].alias("field")))
-    best = let(text, lambda x: let(F.array_max(hits(x)), lambda m: F.when(m["n"] > 0, m["field"]).otherwise("general")))
     named = let(F.struct(name.alias("name"), slug.alias("slug")), lambda c: F.filter(courses, lambda w: F.exists(w["words"], lambda k: F.contains(c["name"], k) | F.contains(c["slug"], k))))
-    return F.coalesce(F.get(named, F.lit(0))["field"], best)
+    return F.coalesce(F.get(named, F.lit(0))["field"], terms.most_named(text, FIELD_KEYWORDS, "general"))
 
 
 def _where(text: Column, needle: str, pattern: str, to: str) -> Column:
@@ -204,7 +203,7 @@ def law_structured(text: Column) -> Column:
 
 def course_marks(text: Column, course: Column) -> Column:
     """The keywords of a course put into 【】, one after the other; other courses have none."""
-    return _marked_by(text, course, COURSE_KEYWORDS)
+    return terms.marked_by(text, course, COURSE_KEYWORDS)
 
 
 def course_name(course: Column, known: Column) -> Column:
@@ -219,19 +218,9 @@ def law_terms(text: Column, course: Column, name: Column) -> Column:
     return F.when((F.coalesce(name, F.lit("")) != "") & (name != F.concat(F.lit("講座"), course)), F.replace(out, name, F.concat(F.lit("【"), name, F.lit("】")))).otherwise(out)
 
 
-def _marked(text: Column, words: Column) -> Column:
-    return F.aggregate(words, text, lambda done, w: F.replace(done, w, F.concat(F.lit("【"), w, F.lit("】"))))
-
-
-def _marked_by(text: Column, key: Column, words: dict[str, list[str]]) -> Column:
-    """The words of a key, if it has any, in marks."""
-    known = F.create_map(*[c for k, ws in words.items() for c in (F.lit(k), F.array(*map(F.lit, ws)))])
-    return _marked(text, F.coalesce(F.try_element_at(known, key), F.array().cast("array<string>")))
-
-
 def keyword_marks(text: Column, words: list[str]) -> Column:
     """Each word in turn put into 【】 wherever it stands."""
-    return _marked(text, F.array(*map(F.lit, words)))
+    return terms.marked(text, words)
 
 
 def structured_qa(text: Column) -> Column:
@@ -244,7 +233,7 @@ def structured_qa(text: Column) -> Column:
 
 def enhanced_terms(text: Column, field: Column) -> Column:
     """The field's keywords, then the common terms, in marks; sequential, so terms in both are marked twice."""
-    return keyword_marks(_marked_by(text, field, FIELD_KEYWORDS), TERMS)
+    return terms.marked_by(text, field, FIELD_KEYWORDS, TERMS)
 
 
 def labelled(title: Column, course: Column, field: Column, content: Column, qa: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -115,31 +116,49 @@ def merge_short(parts: DataFrame, least: int = MIN, drop_first: bool = False) ->
     return joined.select("id", F.col("all")[0]["pos"].alias("pos"), F.col("all")[0]["title"].alias("title"), F.concat(F.col("all")[0]["text"], F.array_join(rest, "")).alias("text"))
 
 
-def _packed(pieces, most: int):
-    """Fold of (joiner, text) pieces into parts of at most most characters, joiners not counted."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+#: White space of any script, as (?U)\\s has it.
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
-    def step(acc, x):
-        over = (F.char_length(acc["now"]) + F.char_length(x["text"])) > most
-        done = F.when(over & (acc["now"] != ""), F.concat(acc["done"], F.array(acc["now"]))).otherwise(acc["done"])
-        now = F.when(over | (acc["now"] == ""), x["text"]).otherwise(F.concat(acc["now"], x["joiner"], x["text"]))
-        return F.struct(done.alias("done"), now.alias("now"))
 
-    return F.aggregate(pieces, start, step, lambda a: F.when(a["now"] != "", F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
+def packed(pieces: list[tuple[str, str]], most: int) -> list[str]:
+    """(joiner, text) pieces in parts, each of as many as keep it within most characters; a longer piece is alone.
+
+    A piece is over if the part so far and its text, without its joiner, have more than most characters. Those lengths
+    grow with the piece, so the end of a part that begins anywhere is found by bisection in their running sums.
+    """
+    joiners, texts = np.array([len(j) for j, _ in pieces], np.int64), np.array([len(t) for _, t in pieces], np.int64)
+    upto = np.cumsum(joiners + texts)
+    out, first = [], 0
+    while first < len(pieces):
+        end = max(first + 1, int(np.searchsorted(upto - joiners, most + upto[first] - texts[first], "right")))
+        out.append(pieces[first][1] + "".join(j + t for j, t in pieces[first + 1 : end]))
+        first = end
+    return out
+
+
+def long_parts(text: str, most: int, sentences_only: bool) -> list[str]:
+    """A text by lines (long ones by sentences), or without line breaks by sentences, packed; sentences end with a full stop."""
+    ended = lambda s: s if s.endswith("。") else s + "。"
+    if sentences_only or "\n" not in text:
+        pieces = [("\n", ended(s)) for s in text.split("。") if s.strip(SPACE)]
+    else:
+        pieces = []
+        for line in filter(None, (x.strip(SPACE) for x in text.split("\n"))):
+            pieces += [(" ", ended(s)) for s in line.split("。") if s] if len(line) > most else [("\n", line)]
+    return packed(pieces, most)
 
 
 def split_long(parts: DataFrame, most: int = MAX, sentences_only: bool = False) -> DataFrame:
     """Sections of more than most characters in parts: by lines (long ones by sentences), else by sentences; packed greedily. One over-long sentence stays whole."""
-    blank, full = F.lit(" "), F.lit("。")
-    ended = lambda s: F.when(F.endswith(s, full), s).otherwise(F.concat(s, full))
-    as_sentences = lambda t: F.transform(F.filter(F.split(t, "。"), lambda s: F.regexp_replace(s, r"(?U)\s", "") != ""), lambda s: F.struct(blank.alias("joiner"), ended(s).alias("text")))
-    lines = F.filter(F.transform(F.split("text", "\n"), lambda p: F.regexp_replace(p, r"(?U)^\s+|\s+$", "")), lambda p: p != "")
-    from_lines = F.flatten(F.transform(lines, lambda p: F.when(F.char_length(p) > most, F.transform(F.filter(F.split(p, "。"), lambda s: s != ""), lambda s: F.struct(blank.alias("joiner"), ended(s).alias("text")))).otherwise(F.array(F.struct(F.lit("\n").alias("joiner"), p.alias("text"))))))
-    from_sentences = F.transform(as_sentences(F.col("text")), lambda s: F.struct(F.lit("\n").alias("joiner"), s["text"].alias("text")))
-    pieces = from_sentences if sentences_only else F.when(F.contains("text", F.lit("\n")), from_lines).otherwise(from_sentences)
-    out = parts.withColumn("__p", F.when(F.char_length("text") > most, _packed(pieces, most)))
-    whole = out.where("__p IS NULL").select("id", "pos", F.lit(0).alias("part"), "title", "text")
-    cut = out.where("__p IS NOT NULL").select("id", "pos", F.posexplode("__p").alias("part", "t"), "title")
+    ship_package(parts.sparkSession)
+
+    @F.pandas_udf("array<string>")
+    def cut_up(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: long_parts(t, most, sentences_only))
+
+    long = F.char_length("text") > most
+    whole = parts.where(~F.coalesce(long, F.lit(False))).select("id", "pos", F.lit(0).alias("part"), "title", "text")
+    cut = parts.where(long).select("id", "pos", F.posexplode(cut_up("text")).alias("part", "t"), "title")
     cut = cut.select("id", "pos", "part", F.concat("title", F.lit(" (パート"), F.col("part") + 1, F.lit(")")).alias("title"), F.regexp_replace("t", r"(?U)^\s+|\s+$", "").alias("text"))
     both = whole.unionByName(cut)
     return both.withColumn("chunk_index", F.row_number().over(Window.partitionBy("id").orderBy("pos", "part")) - 1).select("id", "chunk_index", "title", "text")

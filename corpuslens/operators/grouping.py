@@ -17,16 +17,75 @@ def pairs_of(ids: DataFrame, articles: DataFrame, threshold: float = 0.8) -> Dat
     return found.withColumnsRenamed({"base_id": "a", "similar_id": "b"})
 
 
-def one_hop(pairs: DataFrame) -> DataFrame:
+#: Pairs of a component that one task groups by itself; larger ones are grouped in rounds.
+SOLVED = 1_000_000
+
+
+def greedy(pairs: list[tuple[str, str, float]]) -> list[tuple[str, int]]:
+    """(group, number of the pair) of pairs in their order: plain loops over one component's pairs."""
+    touching: dict[str, list[int]] = {}
+    for i, (a, b, _) in enumerate(pairs):
+        touching.setdefault(a, []).append(i)
+        touching.setdefault(b, []).append(i)
+    taken, out = set(), []
+    for a, b, _ in pairs:
+        if a not in taken and b not in taken:
+            for i in sorted({*touching[a], *touching[b]}):
+                out.append((f"{a}-{b}", i))
+                taken.update(pairs[i][:2])
+    return out
+
+
+GROUPED = "group string, a string, b string, similarity double"
+
+
+def _solved(pairs: DataFrame) -> DataFrame:
+    """Groups of pairs (component, a, b, similarity, k) whose components are small: each is in one task, one after the other."""
+    dealt = pairs.repartition("component").sortWithinPartitions("component", "k").select("component", "a", "b", "similarity")
+
+    def run(frames):
+        import pandas as pd
+
+        now, held = None, []
+
+        def solved():
+            return pd.DataFrame([(g, *held[i]) for g, i in greedy(held)], columns=["group", "a", "b", "similarity"])
+
+        for pdf in frames:
+            for component, *pair in pdf.itertuples(index=False, name=None):
+                if component != now:
+                    if held:
+                        yield solved()
+                    now, held = component, []
+                held.append(tuple(pair))
+        if held:
+            yield solved()
+
+    return dealt.mapInPandas(run, GROUPED)
+
+
+def one_hop(pairs: DataFrame, solved: int = SOLVED) -> DataFrame:
     """group (of the seed pair), a, b, similarity: greedy groups around seed pairs.
 
     In order of similarity (ties by ids), a pair whose ends are both free seeds a group; all pairs that touch an end of it
-    join it, and their ends are free no more. Per round all pairs of free ends that come first among those that touch
-    them, or touch a pair that does, are seeds at once, which gives the same groups.
+    join it, and their ends are free no more. Components are independent of one another: those of up to so many pairs are
+    grouped by themselves, in one task each. Of larger ones, per round all pairs of free ends that come first among those
+    that touch them, or touch a pair that does, are seeds at once, which gives the same groups.
     """
     key = F.struct((-F.col("similarity")).alias("m"), F.col("a").alias("x"), F.col("b").alias("y"))
-    everything = left = materialise(pairs.select("a", "b", "similarity", key.alias("k")).distinct(), "pairs")
-    out = None
+    ordered = materialise(pairs.where("a IS NOT NULL AND b IS NOT NULL").select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), F.col("similarity").cast("double").alias("similarity")).withColumn("k", key).distinct(), "pairs")
+    comps = connected_components(ordered)
+    # a pair of an end with itself is a component, too
+    placed = ordered.join(comps.withColumnRenamed("id", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    large = materialise(placed.groupBy("component").agg(F.count("*").alias("c")).where(F.col("c") > solved).select("component"), "large")
+    out = _solved(placed.join(large, "component", "left_anti"))
+    if large.isEmpty():
+        return out
+    return out.unionByName(_in_rounds(materialise(placed.join(large, "component", "left_semi").drop("component"), "rest")))
+
+
+def _in_rounds(everything: DataFrame) -> DataFrame:
+    left, out = everything, None
     while not left.isEmpty():
         ends = left.select(F.explode(F.array("a", "b")).alias("v"), "k")
         near = ends.groupBy("v").agg(F.min("k").alias("n1"))
@@ -42,7 +101,7 @@ def one_hop(pairs: DataFrame) -> DataFrame:
         out = taken if out is None else out.unionByName(taken)
         gone = taken.select(F.explode(F.array("a", "b")).alias("v")).distinct()
         left = materialise(left.join(gone.withColumnRenamed("v", "a"), "a", "left_anti").join(gone.withColumnRenamed("v", "b"), "b", "left_anti").select("a", "b", "similarity", "k"), "left")
-    return out if out is not None else left.select(F.lit("").alias("group"), "a", "b", "similarity")
+    return out
 
 
 def transitive(pairs: DataFrame) -> DataFrame:

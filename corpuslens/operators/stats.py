@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.operators.pruned import merged
 from corpuslens.operators.vectors import has_vector
 
 
@@ -64,14 +65,14 @@ def chunk_stats(chunks: DataFrame, text: str) -> DataFrame:
     return chunks.agg(n.alias("chunks"), F.count_distinct("article_id").alias("articles"), F.avg(size).alias("avg_length"), F.min(size).alias("min_length"), F.max(size).alias("max_length"), v.alias("vectors"), percent(v, n).alias("coverage"), F.avg("chunk_index").alias("avg_chunk_index"), F.try_divide(n, F.count_distinct("article_id")).alias("chunks_per_article"))
 
 
-def neighbour_stats(found: DataFrame) -> DataFrame:
-    """Of each base, statistics of its similarities."""
-    return found.groupBy("base_id").agg(F.count("*").alias("n"), F.avg("similarity").alias("avg"), F.stddev_samp("similarity").alias("stddev"), F.min("similarity").alias("min"), F.max("similarity").alias("max"))
+def neighbour_stats(moments: DataFrame) -> DataFrame:
+    """Of each base, statistics of its similarities, from their moments."""
+    return merged(moments, "base_id")
 
 
-def similarity_by_course(found: DataFrame) -> DataFrame:
+def similarity_by_course(moments: DataFrame) -> DataFrame:
     """Of each base, statistics by course."""
-    return found.groupBy("base_id", "koza_id").agg(F.count("*").alias("n"), F.avg("similarity").alias("avg"), F.max("similarity").alias("max"))
+    return merged(moments, "base_id", "match").select("base_id", F.col("match").alias("koza_id"), "n", "avg", "max")
 
 
 def cache_stats(cache: DataFrame, as_of: Column) -> DataFrame:

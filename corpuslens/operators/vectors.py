@@ -1,4 +1,4 @@
-"""Cosine similarities: of columns, of given pairs, and of whole corpora by blocks."""
+"""Cosine similarities: of columns, of given pairs, and of whole corpora."""
 
 from __future__ import annotations
 
@@ -6,10 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuslens.runtime import materialise, new_path, ship_package
-
-#: Vectors in a block of the corpus-wide join; a task holds two blocks and their product.
-BLOCK_ROWS = 2000
+from corpuslens.operators import lsh, pruned
+from corpuslens.runtime import materialise
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -49,85 +47,40 @@ def pair_similarity(pairs: DataFrame, vectors: DataFrame, a: str, b: str, id_col
     return pairs.join(left, a).join(right, b).withColumn("similarity", dot(F.col("__x"), F.col("__y"))).drop("__x", "__y")
 
 
-def nearest_to(query: DataFrame, candidates: DataFrame, id_col: str = "id", vector: str = "content_embedding", threshold: float = -2.0, top: int | None = None) -> DataFrame:
-    """candidates with base_id and their similarity to each row of query (itself left out), above a threshold, the top of each if given."""
-    found = similarity_join(candidates, threshold, top, id_col, None, vector, base=query).select("base_id", F.col("similar_id").alias(id_col), "similarity")
+def nearest_to(query: DataFrame, candidates: DataFrame, id_col: str = "id", vector: str = "content_embedding", threshold: float = -2.0, top: int | None = None, same: str | None = None) -> DataFrame:
+    """candidates with base_id and their similarity to each row of query (itself left out), above a threshold, the top of each if given; same: of an equal value there."""
+    found = similarity_join(candidates, threshold, top, id_col, None, vector, base=query, same=same).select("base_id", F.col("similar_id").alias(id_col), "similarity")
     return candidates.join(found, id_col)
 
 
-def _blocks(rows: DataFrame, folder: str, block_rows: int, least: int) -> int:
-    """Write rows (id, owner, unit), dealt by a hash of the id, as a folder of Parquet files for each block; how many there are.
-
-    Blocks have about block_rows rows, or fewer so that there are least blocks (but no smaller than a quarter of that).
-    """
-    n = rows.count()
-    blocks = max(1, -(-n // block_rows), min(least, 4 * n // block_rows))
-    rows.withColumn("i", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(F.col("i")).write.partitionBy("i").parquet(folder)
-    return blocks
-
+def _units(df: DataFrame, vector: str, id_col: str, owner: str | None = None, match: str | None = None) -> DataFrame:
+    own = F.col(owner) if owner else F.col(id_col)
+    group = F.col(match).cast("string") if match else F.lit(None).cast("string")
+    return materialise(unit(df, vector).select(F.col(id_col).cast("string").alias("id"), own.cast("string").alias("owner"), group.alias("match"), "unit"), "units")
 
-def _matches(product: np.ndarray, first, second, threshold: float, top: int | None):
-    """base_id, similar_id, similarity of the pairs of two blocks at or above the threshold and of different owners, the top per base."""
-    import pandas as pd
 
-    i, j = np.nonzero((product >= threshold) & (first["owner"].to_numpy()[:, None] != second["owner"].to_numpy()[None, :]))
-    found = pd.DataFrame({"base_id": first["id"].to_numpy()[i], "similar_id": second["id"].to_numpy()[j], "similarity": product[i, j]})
-    if top is not None:
-        found = found.sort_values(["base_id", "similarity", "similar_id"], ascending=[True, False, True]).groupby("base_id").head(top)
-    return found
+def joined(vectors: DataFrame, threshold: float, id_col: str = "id", owner: str | None = None, vector: str = "content_embedding", block_rows: int = pruned.BLOCK_ROWS, base: DataFrame | None = None, match: str | None = None, same: bool = False, halves: bool = False) -> pruned.Join:
+    """The written blocks and the planned work of a join, see similarity_join()."""
+    side = None if base is None else _units(base, vector, id_col, owner, match)
+    return pruned.prepare(_units(vectors, vector, id_col, owner, match), threshold, side, block_rows, same, halves)
 
 
-def similarity_join(vectors: DataFrame, threshold: float, top: int | None = None, id_col: str = "id", owner: str | None = None, vector: str = "content_embedding", block_rows: int = BLOCK_ROWS, base: DataFrame | None = None) -> DataFrame:
+def similarity_join(vectors: DataFrame, threshold: float, top: int | None = None, id_col: str = "id", owner: str | None = None, vector: str = "content_embedding", block_rows: int = pruned.BLOCK_ROWS, base: DataFrame | None = None, same: str | None = None) -> DataFrame:
     """base_id, similar_id, similarity of all ordered pairs of a corpus at or above a threshold, top per base if given.
 
-    Vectors are written once to the shared folder in blocks of about block_rows; the rows that are dealt to tasks are
-    pairs of block numbers. A task reads its two blocks and keeps, of their matrix product, only what passes (and of a
-    base's matches in the block, only the top: that is exact).
+    Vectors are written once to the shared folder in blocks of close ones; pairs of blocks, and rows of blocks, that can't
+    reach the threshold (or, with top, the n-th best that a base has by then) are never multiplied: see pruned.py.
     owner: pairs with the same value there are left out (and a vector and itself always). base: rows like those of
-    vectors (some of them, or others) whose matches alone are looked for; only they are then multiplied with all.
+    vectors (some of them, or others) whose matches alone are looked for; only they are then multiplied with all. same:
+    a column in which both must have the same value, not null; only such matches count towards the top.
     """
-    spark = vectors.sparkSession
-    ship_package(spark)
-    own = F.col(owner) if owner else F.col(id_col)
-    units = lambda df: materialise(unit(df, vector).select(F.col(id_col).cast("string").alias("id"), own.cast("string").alias("owner"), "unit"), "units")
-    folder, parallel = new_path(spark, "blocks"), spark.sparkContext.defaultParallelism
-    others = firsts = folder + "/all"
-    n = m = _blocks(units(vectors), others, block_rows, -(-parallel // 2))
-    if base is not None:
-        firsts = folder + "/base"
-        n = _blocks(units(base), firsts, block_rows, 1)
-    pairs = spark.range(0, n * m, 1, min(n * m, 16 * parallel)).select(F.floor(F.col("id") / m).alias("p"), (F.col("id") % m).alias("q"))
-
-    both_ways = base is None
-
-    def run(batches):
-        from pyarrow import fs, parquet
-
-        held: dict[str, object] = {}
-
-        def block(at: str, k: int):
-            name = f"{at}/i={k}"
-            if name not in held:
-                while len(held) > 1:
-                    del held[next(iter(held))]
-                system, path = fs.FileSystem.from_uri(name)
-                there = system.get_file_info(path).type != fs.FileType.NotFound
-                held[name] = parquet.read_table(path, filesystem=system, partitioning=None).to_pandas() if there else ()
-            held[name] = held.pop(name)  # the one met last
-            return held[name]
-
-        for pdf in batches:
-            for p, q in zip(pdf["p"].tolist(), pdf["q"].tolist(), strict=True):
-                first, second = block(firsts, p), block(others, q)
-                if len(first) and len(second):
-                    product = np.stack(first["unit"].to_numpy()) @ np.stack(second["unit"].to_numpy()).T
-                    yield _matches(product, first, second, threshold, top)
-                    if both_ways and p != q:
-                        yield _matches(product.T, second, first, threshold, top)
-
-    pairs = pairs.where("p <= q") if both_ways else pairs
-    found = pairs.mapInPandas(run, "base_id string, similar_id string, similarity double")
-    return top_per(found, top) if top is not None else found
+    join = joined(vectors, threshold, id_col, owner, vector, block_rows, base, same, same is not None, top is None)
+    return join.pairs() if top is None else top_per(join.best(top), top)
+
+
+def similarity_stats(vectors: DataFrame, by: str, id_col: str = "id", vector: str = "content_embedding", base: DataFrame | None = None) -> DataFrame:
+    """Mergeable moments (pruned.MOMENTS) of each base's similarities with all others, by their value of a column: a row each, made beside the products."""
+    return materialise(joined(vectors, -2.0, id_col, None, vector, base=base, match=by).moments(), "moments")
 
 
 def top_per(found: DataFrame, n: int, base: str = "base_id", score: str = "similarity", tie: str = "similar_id") -> DataFrame:
@@ -135,16 +88,9 @@ def top_per(found: DataFrame, n: int, base: str = "base_id", score: str = "simil
     return found.withColumn("rank", F.row_number().over(Window.partitionBy(base).orderBy(F.desc(score), tie))).where(F.col("rank") <= n)
 
 
-def lsh_candidates(vectors: DataFrame, threshold: float, id_col: str = "id", vector: str = "content_embedding", bucket: float = 0.5, tables: int = 6) -> DataFrame:
-    """Approximate similarity join by random projections; every candidate's similarity is then computed exactly."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    rows = unit(vectors, vector).select(F.col(id_col).alias("id"), "unit").withColumn("features", array_to_vector("unit"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(rows)
-    near = model.approxSimilarityJoin(rows, rows, float(np.sqrt(2 - 2 * threshold)) + 1e-9, "distance").where("datasetA.id < datasetB.id")
-    out = near.select(F.col("datasetA.id").alias("a"), F.col("datasetB.id").alias("b"), dot(F.col("datasetA.unit"), F.col("datasetB.unit")).alias("similarity"))
-    return out.where(F.col("similarity") >= threshold)
+def lsh_candidates(vectors: DataFrame, threshold: float, id_col: str = "id", vector: str = "content_embedding", recall: float = 0.9) -> DataFrame:
+    """Approximate similarity join (pairs a < b) that finds so large a share at least of the pairs at the threshold; similarities are exact. See lsh.py."""
+    return lsh.approximate_join(_units(vectors, vector, id_col), threshold, recall)[0]
 
 
 def embed(df: DataFrame, text: str, to: str = "content_embedding", model=None, dims: int = 256) -> DataFrame:

@@ -45,18 +45,18 @@ def similar_articles(chunks: DataFrame, articles: DataFrame, base_ids: list[str]
 def nearest_articles(articles: DataFrame, base: DataFrame, threshold: float = 0.7, n: int = 5, same_course: bool = False, min_pageviews: int | None = None, limit_first: bool = False) -> DataFrame:
     """The n nearest articles of each row of base (articles), with base_id and rank. limit_first cuts to n before the threshold is applied."""
     rows = articles.where(F.col("pageviews") >= min_pageviews) if min_pageviews is not None else articles
-    if not same_course:
-        found = vectors.nearest_to(base, rows, threshold=-2.0 if limit_first else threshold, top=n)
-    else:
-        found = vectors.nearest_to(base, rows, threshold=-2.0 if limit_first else threshold)
-        found = found.join(base.select(F.col("id").alias("base_id"), F.col("koza_id").alias("__course")), "base_id").where(F.col("koza_id") == F.col("__course")).drop("__course")
+    found = vectors.nearest_to(base, rows, threshold=-2.0 if limit_first else threshold, top=n, same="koza_id" if same_course else None)
     return vectors.top_per(found, n, tie="id").where(F.col("similarity") >= threshold)
 
 
 def neighbour_analysis(articles: DataFrame, base: DataFrame, high: float = 0.8, n: int = 20) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """For each row of base (articles): statistics of all its similarities, its most similar articles, and statistics by course."""
-    found = materialise(vectors.nearest_to(base, articles).select("base_id", "id", "title", "koza_id", "similarity"), "neighbours")
-    return stats.neighbour_stats(found), vectors.top_per(found.where(F.col("similarity") >= high), n, tie="id"), stats.similarity_by_course(found)
+    """For each row of base (articles): statistics of all its similarities, its most similar articles, and statistics by course.
+
+    Statistics are moments that the tasks which multiply the vectors hand on: similarities never become rows.
+    """
+    moments = vectors.similarity_stats(articles, "koza_id", base=base)
+    high_ones = vectors.nearest_to(base, articles, threshold=high, top=n).select("base_id", "id", "title", "koza_id", "similarity")
+    return stats.neighbour_stats(moments), vectors.top_per(high_ones, n, tie="id"), stats.similarity_by_course(moments)
 
 
 def neighbour_blocks(articles: DataFrame, base: DataFrame, high: float = 0.8, n: int = 20) -> DataFrame:

@@ -41,6 +41,11 @@ def near(t: Tables):
     return vectors.nearest_to(bases(a), a)
 
 
+def moments(t: Tables):
+    a = t("v_articles")
+    return vectors.similarity_stats(a, "koza_id", base=bases(a))
+
+
 @query("v01_cosine", f"SELECT a.chunk_id AS a, b.chunk_id AS b, round({COS}, 6) AS similarity FROM v_chunks a JOIN v_chunks b ON b.article_id = a.article_id AND b.chunk_index = a.chunk_index + 1")
 def v01(t: Tables):
     c = t("v_chunks")
@@ -124,12 +129,12 @@ def w04(t: Tables):
 
 @query("a16_neighbour_stats", f"SELECT base_id, count(*) AS n, round(avg(similarity), 6) AS avg, round(stddev_samp(similarity), 6) AS stddev, round(min(similarity), 6) AS min, round(max(similarity), 6) AS max FROM ({NEAR}) GROUP BY 1")
 def a16(t: Tables):
-    return stats.neighbour_stats(near(t)).withColumns(r6("avg", "stddev", "min", "max"))
+    return stats.neighbour_stats(moments(t)).withColumns(r6("avg", "stddev", "min", "max"))
 
 
 @query("a17_similarity_by_course", f"SELECT base_id, koza_id, count(*) AS n, round(avg(similarity), 6) AS avg, round(max(similarity), 6) AS max FROM ({NEAR}) GROUP BY 1, 2")
 def a17(t: Tables):
-    return stats.similarity_by_course(near(t)).withColumns(r6("avg", "max"))
+    return stats.similarity_by_course(moments(t)).withColumns(r6("avg", "max"))
 
 
 @query("a18_article_pairs", f"WITH {PAIRS} SELECT base_article, similar_article, round(avg_similarity, 6) AS avg_similarity, round(max_similarity, 6) AS max_similarity, base_chunks, similar_chunks, len(matches) AS n_matches FROM r")
@@ -433,9 +438,9 @@ def z05_high(t: Tables):
     return nearest(analysis(t)[1])
 
 
-@query("z05_neighbour_stats", f"SELECT base_id, count(*) AS n, round(avg(similarity), 6) AS avg, round(min(similarity), 6) AS min, round(max(similarity), 6) AS max FROM ({NEAR}) GROUP BY 1")
+@query("z05_neighbour_stats", f"SELECT base_id, count(*) AS n, round(avg(similarity), 6) AS avg, round(stddev_samp(similarity), 6) AS stddev, round(min(similarity), 6) AS min, round(max(similarity), 6) AS max FROM ({NEAR}) GROUP BY 1")
 def z05_stats(t: Tables):
-    return analysis(t)[0].select("base_id", "n", *[F.round(c, 6).alias(c) for c in ("avg", "min", "max")])
+    return analysis(t)[0].select("base_id", "n", *[F.round(c, 6).alias(c) for c in ("avg", "stddev", "min", "max")])
 
 
 @query("u03_merged_neighbours", """WITH f AS (SELECT base_article_id AS base_id, similar_article_id AS similar_id, similarity_score AS similarity FROM v_cache WHERE similarity_score >= 0.5),

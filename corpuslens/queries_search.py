@@ -142,6 +142,17 @@ def o03(t: Tables):
     return search.page(t("v_articles"), search.sort_columns("pageviews_desc"), 3, 20).select("id")
 
 
+LAST = "(SELECT CAST(ceil(count(*) / 20) AS BIGINT) FROM v_articles)"
+
+
+@query("o03_last_page", f"SELECT id, title, pageviews {A} QUALIFY row_number() OVER (ORDER BY pageviews DESC NULLS LAST, id) > 20 * ({LAST} - 1)")
+def o03_last(t: Tables):
+    from corpuslens.operators.paging import paged
+
+    pages = paged(t("v_articles").select("id", "title", "pageviews"), search.sort_columns("pageviews_desc"), ranges=8)
+    return pages.page(-(-pages.total // 20), 20)
+
+
 @query("o03_page_info", f"SELECT count(*) AS total, CAST(ceil(count(*) / 20) AS BIGINT) AS pages, 3 < ceil(count(*) / 20) AS has_next, true AS has_prev {A}")
 def o03_info(t: Tables):
     return search.page_info(t("v_articles"), 3, 20)

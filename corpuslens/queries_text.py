@@ -1,7 +1,6 @@
 """Queries of text functions, enrichment, chunking, CMS documents and streams."""
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from corpuslens.functions import text as tx
 from corpuslens.operators import chunking
@@ -383,36 +382,31 @@ def z07(t: Tables):
 # streams, run over what is there
 
 
-def streamed(rows, name: str):
-    """rows as files, and a stream over them: all in one batch, as the files aren't in order of time and a later batch would find its older rows behind the watermark."""
-    spark, path = rows.sparkSession, new_path(rows.sparkSession, name)
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).parquet(path)
-
-
-def collected(stream, keys: list[str]):
-    """Last update of each key."""
+def replayed(rows, name: str, totals, batches: int = 3):
+    """Totals of rows that arrive as files, in no order of time, in about so many batches."""
     from corpuslens.streaming.incremental import run_available
 
-    spark = stream.sparkSession
-    out = new_path(spark, "updates")
-    run_available(stream, new_path(spark, "progress"), lambda b, n: b.write.mode("overwrite").parquet(f"{out}/batch={n}"))
-    rows = spark.read.schema(T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])).parquet(out)
-    return rows.join(rows.groupBy(*keys).agg(F.max("batch").alias("batch")), [*keys, "batch"]).drop("batch")
+    spark, path = rows.sparkSession, new_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(1, -(-files // batches))).parquet(path)
+    kept = totals(new_path(spark, "totals"))
+    run_available(stream, new_path(spark, "progress"), kept.take)
+    return kept.totals(rows)
 
 
-@query("x01_daily_page_metrics", "SELECT CAST(ts AS DATE) AS day, page_location, count(*) FILTER (event_name = 'page_view') AS pageviews FROM v_events GROUP BY 1, 2")
+@query("x01_daily_page_metrics", "SELECT CAST(ts AS DATE) AS day, page_location, count(*) FILTER (event_name = 'page_view') AS pageviews, count(DISTINCT user_pseudo_id || '-' || ga_session_id) AS sessions FROM v_events GROUP BY 1, 2")
 def x01(t: Tables):
     from corpuslens.streaming.incremental import daily_page_metrics
 
     e = t("v_events").select(F.col("ts").cast("timestamp").alias("ts"), "event_name", "page_location", "user_pseudo_id", "ga_session_id")
-    return collected(daily_page_metrics(streamed(e, "events")), ["window", "page_location"]).select(F.to_date("window.start").alias("day"), "page_location", "pageviews")
+    return replayed(e, "events", daily_page_metrics).select(F.to_date("span").alias("day"), "page_location", "pageviews", "sessions")
 
 
 @query("x02_hourly_usage", "SELECT hour(log_ts) AS hour, CAST(log_ts AS DATE) AS day, provider, count(*) AS requests, round(avg(response_time_ms), 6) AS avg_ms, round(sum(cost_estimate), 6) AS cost, count(*) FILTER (success) AS successes FROM v_usage GROUP BY ALL")
 def x02(t: Tables):
     from corpuslens.streaming.incremental import hourly_usage
 
-    u = t("v_usage").withColumn("log_ts", F.col("log_ts").cast("timestamp"))
-    rows = collected(hourly_usage(streamed(u, "usage")), ["window", "provider"])
-    return rows.select(F.hour("window.start").cast("bigint").alias("hour"), F.to_date("window.start").alias("day"), "provider", "requests", "avg_ms", "cost", "successes").withColumns(r6("avg_ms", "cost"))
+    rows = replayed(t("v_usage").withColumn("log_ts", F.col("log_ts").cast("timestamp")), "usage", hourly_usage)
+    rows = rows.withColumn("avg_ms", F.try_divide("total_ms", "timed"))
+    return rows.select(F.hour("span").cast("bigint").alias("hour"), F.to_date("span").alias("day"), "provider", "requests", "avg_ms", "cost", "successes").withColumns(r6("avg_ms", "cost"))

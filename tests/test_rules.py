@@ -153,19 +153,17 @@ def test_quarantine(spark, tmp_path):
     assert rows["2"].full_content == "only" and rows["2"].koza_id == "" and rows["3"].title == ""
 
 
-def test_streams_count_rows_of_all_files(spark, monkeypatch):
-    """Files whose times are in no order; any limit of files a batch is taken as 1, so that few files stand for thousands."""
-    from corpuslens.queries_text import collected, streamed
+def test_streams_count_rows_of_all_files(spark):
+    """Files whose times are in no order, in several batches, as the queries replay them."""
+    from corpuslens.queries_text import replayed
     from corpuslens.streaming.incremental import daily_page_metrics, hourly_usage
 
-    kind = type(spark.readStream)
-    monkeypatch.setattr(kind, "option", lambda self, key, value, f=kind.option: f(self, key, 1 if key == "maxFilesPerTrigger" else value))
     n = 600
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 7919 % n * 4000)
     rows = spark.range(0, n, 1, 6).withColumns({"ts": at, "log_ts": at, "event_name": F.lit("page_view"), "page_location": F.lit("p"), "user_pseudo_id": F.lit("u"), "ga_session_id": F.lit("g"), "provider": F.lit("local"), "response_time_ms": F.col("id"), "cost_estimate": F.lit(1.0), "success": F.lit(True)})
-    days = collected(daily_page_metrics(streamed(rows, "events")), ["window", "page_location"])
-    assert days.agg(F.sum("pageviews")).first()[0] == n
-    hours = collected(hourly_usage(streamed(rows, "usage")), ["window", "provider"])
+    days = replayed(rows, "events", daily_page_metrics)
+    assert tuple(days.agg(F.sum("pageviews"), F.max("sessions"), F.count("*")).first()) == (n, 1, 28)
+    hours = replayed(rows, "usage", hourly_usage)
     assert tuple(hours.agg(F.sum("requests"), F.sum("cost"), F.sum("successes")).first()) == (n, n, n)
 
 
