@@ -67,6 +67,32 @@ def key_map(courses: DataFrame, articles: DataFrame) -> DataFrame:
     return both.groupBy(link_key(F.col("slug"), F.col("link")).alias("path")).agg(F.min("id").alias("id"), F.count("*").alias("candidates"))
 
 
+#: Registers of a session sketch as a power of two; its relative standard error is about 0.83 / sqrt(2 ** SKETCH).
+SKETCH = 12
+
+
+def page_day_sketches(events: DataFrame, host: str, day: str = "event_date", size: int = SKETCH) -> DataFrame:
+    """Per normalised path and day: views, engagement, and sketches of all, organic and engaged sessions, which unite over days and paths without the events."""
+    s = session_id()
+    sketch = lambda c, name: F.hll_sketch_agg(c, size).alias(name)
+    rows = events.withColumn("path", url_path(F.col("page_location"), host)).where("path IS NOT NULL")
+    return rows.groupBy("path", day).agg(
+        F.count_if(F.col("event_name") == "page_view").alias("pageviews"), F.sum(F.coalesce("engagement_time_msec", F.lit(0))).alias("engagement_msec"), sketch(s, "sessions"),
+        sketch(F.when(F.col("traffic_medium") == "organic", s), "organic_sessions"), sketch(F.when(F.coalesce("engagement_time_msec", F.lit(0)) > 0, s), "engaged_sessions"),
+    )
+
+
+def from_sketches(sketches: DataFrame, first: str | None = None, last: str | None = None, day: str = "event_date", keys: tuple[str, ...] = ("path",)) -> DataFrame:
+    """METRICS of the days from first to last (included), from page_day_sketches(); numbers of sessions are estimates. Paths with a view."""
+    rows = sketches
+    if first is not None:
+        rows = rows.where(F.col(day) >= F.lit(first).cast("date"))
+    if last is not None:
+        rows = rows.where(F.col(day) <= F.lit(last).cast("date"))
+    estimate = lambda c: F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c)
+    return rows.groupBy(*keys).agg(F.sum("pageviews").alias("pageviews"), estimate("organic_sessions"), estimate("engaged_sessions"), F.sum("engagement_msec").alias("engagement_msec"), estimate("sessions")).where("pageviews >= 1")
+
+
 METRICS = ("pageviews", "organic_sessions", "engaged_sessions", "engagement_msec", "sessions")
 
 

@@ -416,7 +416,8 @@ def prepare(units: DataFrame, threshold: float, base: DataFrame | None = None, b
     spark = units.sparkSession
     ship_package(spark)
     sizes = units.agg(F.count("*").alias("n"), F.max(F.size("unit")).alias("d")).first()
-    n, width = sizes.n, sizes.d or 1
+    sides = sizes if base is None else base.agg(F.count("*").alias("n"), F.max(F.size("unit")).alias("d")).first()
+    n, width = sizes.n, max(sizes.d or 1, sides.d or 1)
     count = max(1, -(-n // block_rows), min(-(-spark.sparkContext.defaultParallelism // 2), 4 * n // block_rows))
     rows = max(1, -(-n // count))
     if count > 1:
@@ -427,11 +428,7 @@ def prepare(units: DataFrame, threshold: float, base: DataFrame | None = None, b
     second = write_blocks(units, pivots, rows, count)
     first = second
     if base is not None:
-        m = base.count()
-        widest = base.agg(F.max(F.size("unit")).alias("d")).first().d or 1
-        if widest > width:
-            raise ValueError(f"a base has {widest} components, the vectors have {width} at most")
-        first = write_blocks(base, pivots, rows, max(1, -(-m // rows)))
+        first = write_blocks(base, pivots, rows, max(1, -(-sides.n // rows)))
     reach = math.acos(max(-1.0, min(1.0, threshold)))
     both_ways = halves and base is None
     return Join(first, second, _work(first, second, pivots, reach, both_ways), pivots, threshold, both_ways, same)

@@ -99,6 +99,16 @@ def a04_exact(t: Tables):
     return eng.exact_by_path(t("v_events"), SITE)
 
 
+@query("a04_sketched_sessions", f"WITH e AS (SELECT * EXCLUDE (page_location), {PATH} AS page_location FROM v_events) SELECT page_location AS path, count(*) FILTER (event_name = 'page_view') AS pageviews, true AS within FROM e WHERE page_location IS NOT NULL GROUP BY page_location HAVING count(*) FILTER (event_name = 'page_view') >= 1")
+def a04_sketched(t: Tables):
+    """Sessions of all days united from sketches of single days, and whether they are within 5 % and 3 of the exact ones."""
+    e = t("v_events")
+    exact = eng.exact_by_path(e, SITE).select("path", *[F.col(m).alias(f"exact_{m}") for m in eng.METRICS])
+    both = eng.from_sketches(eng.page_day_sketches(e, SITE)).join(exact, "path")
+    near = [F.abs(F.col(m) - F.col(f"exact_{m}")) <= 3 + 0.05 * F.col(f"exact_{m}") for m in ("sessions", "organic_sessions", "engaged_sessions")]
+    return both.select("path", "pageviews", (near[0] & near[1] & near[2] & (F.col("engagement_msec") == F.col("exact_engagement_msec"))).alias("within"))
+
+
 @query("a05_changed_metrics", f"{ALL} SELECT id, pageviews, organic_sessions, engaged_sessions, round(avg_engagement_time, 6) AS avg_engagement_time FROM changed")
 def a05(t: Tables):
     return eng.article_updates(t("v_events"), t("v_courses"), t("v_articles"), SITE).select("id", "pageviews", "organic_sessions", "engaged_sessions", F.round("avg_engagement_time", 6).alias("avg_engagement_time"))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from corpuslens.operators import grouping, recommend, scoring, stats, vectors
 from corpuslens.plans import jobs
 from corpuslens.queries import TS, Tables, as_of, query, r6
+from corpuslens.runtime import materialise
 
 D = "CAST({} AS DOUBLE[])"
 COS = f"list_cosine_similarity({D.format('a.content_embedding')}, {D.format('b.content_embedding')})"
@@ -443,6 +444,21 @@ def z05_stats(t: Tables):
     return analysis(t)[0].select("base_id", "n", *[F.round(c, 6).alias(c) for c in ("avg", "stddev", "min", "max")])
 
 
+@query("z03_refreshed_lists", f"SELECT a.id AS base_id, b.id AS similar_id, round({COS}, 6) AS similarity FROM v_articles a JOIN v_articles b ON a.id <> b.id WHERE a.content_embedding IS NOT NULL AND b.content_embedding IS NOT NULL AND {COS} >= 0.1 QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY {COS} DESC, b.id) <= 5")
+def z03_refreshed(t: Tables):
+    """Lists of an earlier state (some articles not there, some with another vector, some gone since), after a refresh with what differs."""
+    from corpuslens.operators import toplists
+
+    now = t("v_articles").select("id", "content_embedding")
+    n = F.col("id").cast("int")
+    turned = F.when(n % 13 == 7, F.reverse("content_embedding")).otherwise(F.col("content_embedding"))
+    gone = now.where(n % 17 == 3).select(F.concat("id", F.lit("x")).alias("id"), "content_embedding")
+    before = now.where(n % 11 != 5).select("id", turned.alias("content_embedding")).unionByName(gone)
+    lists = materialise(toplists.build(before, 5, 0.1), "lists")
+    changed = now.where((n % 11 == 5) | (n % 13 == 7)).select("id").union(gone.select("id"))
+    return toplists.refresh(lists, now, changed, 5, 0.1).withColumns(r6("similarity"))
+
+
 @query("u03_merged_neighbours", """WITH f AS (SELECT base_article_id AS base_id, similar_article_id AS similar_id, similarity_score AS similarity FROM v_cache WHERE similarity_score >= 0.5),
     g AS (SELECT base_article_id AS base_id, similar_article_id AS similar_id, similarity_score AS similarity FROM v_cache),
     e AS (SELECT g.* FROM g LEFT JOIN (SELECT base_id, count(*) AS c FROM f GROUP BY 1) USING (base_id) WHERE coalesce(c, 0) < 2.5 AND (base_id, similar_id) NOT IN (SELECT (base_id, similar_id) FROM f)),

@@ -21,6 +21,23 @@ def p03(t: Tables):
     return listed(search.article_filter(t("v_articles"), title="The", views=(5, 60), engaged=(1, 0)))
 
 
+def indexed(t: Tables, *fields: str):
+    from corpuslens.operators import textindex
+
+    return textindex.build(t("v_articles").drop("content_embedding"), list(fields), parts=16)
+
+
+@query("p03_indexed_search", f"{LISTED} WHERE contains(lower(title), 'the') AND pageviews >= 5 AND pageviews <= 60 AND engaged_sessions >= 1")
+def p03_indexed(t: Tables):
+    found = indexed(t, "title").search("The", ["title"])
+    return listed(search.article_filter(found, views=(5, 60), engaged=(1, 0)))
+
+
+@query("p06_indexed_search", f"{LISTED} WHERE contains(lower(title), 'e a') OR contains(lower(full_content), 'e a') OR contains(lower(link), 'e a')")
+def p06_indexed(t: Tables):
+    return listed(indexed(t, "title", "full_content", "link").search("e a", ["title", "full_content", "link"]))
+
+
 @query("p04_content_type", f"{LISTED} WHERE content_type = 'fr'")
 def p04(t: Tables):
     return listed(search.article_filter(t("v_articles"), content_type="fr"))
@@ -166,6 +183,12 @@ def o04(t: Tables):
     return ranked(t("v_articles"), [F.desc(search.relevance("en")), F.desc_nulls_last("pageviews"), F.col("id").asc()])
 
 
+@query("o04_indexed_relevance", place("CASE WHEN contains(lower(title), 'the') THEN 3 WHEN contains(lower(full_content), 'the') THEN 2 WHEN contains(lower(link), 'the') THEN 1 ELSE 0 END DESC, pageviews DESC NULLS LAST, id"))
+def o04_indexed(t: Tables):
+    order = [F.desc_nulls_last("pageviews"), F.col("id").asc()]
+    return indexed(t, "title", "full_content", "link").ranked("THE", {"title": 3, "full_content": 2, "link": 1}, order, 50).select("id", "place")
+
+
 @query("o05_title_first", place("CASE WHEN contains(lower(title), 'en') THEN 0 ELSE 1 END, pageviews DESC NULLS LAST, id"))
 def o05(t: Tables):
     return ranked(t("v_articles"), [F.when(search.contains_any_case("title", "en"), 0).otherwise(1).asc(), F.desc_nulls_last("pageviews"), F.col("id").asc()])
