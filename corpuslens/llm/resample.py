@@ -27,6 +27,8 @@ from corpuslens.runtime import materialise, ship_package
 BUCKETS = 10_000
 #: Words of the dictionary at most, and their bytes at most.
 DICTIONARY, WORD_BYTES = 1 << 17, 48
+#: Steps of frequency for each doubling.
+STEPS = 16
 #: Distinct words that a task counts before it hands them on, and bytes that are scanned at once.
 COUNTED, WINDOW = 1 << 18, 1 << 20
 
@@ -168,9 +170,10 @@ def features(column: pa.Array, words: bytes) -> Iterator[tuple[int, np.ndarray,
 
 
 def dictionary(docs: DataFrame, most: int = DICTIONARY) -> bytes:
-    """The most frequent words of the texts, those of at most WORD_BYTES bytes, parted by spaces; ties by the words themselves.
+    """The most frequent words of the texts, those of at most WORD_BYTES bytes, parted by spaces.
 
-    All words are counted, in tasks first; the driver gets no more than most of them, so the string's size is bounded.
+    All words are counted, in tasks first. How often a word must be there follows from the numbers of words in steps of
+    frequency (some hundreds at most), so tasks send no other words than these to the driver, no more than most in all.
     """
     ship_package(docs.sparkSession)
 
@@ -191,7 +194,14 @@ def dictionary(docs: DataFrame, most: int = DICTIONARY) -> bytes:
         yield told()
 
     counted = docs.select("text").mapInArrow(in_tasks(run), "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    return b" ".join(bytes(r.word) for r in counted.orderBy(F.desc("n"), "word").limit(most).collect())
+    counted = materialise(counted.where("n > 1").withColumn("step", F.floor(STEPS * F.log2("n")).cast("int")), "words")
+    room, least = most, None
+    for r in sorted(counted.groupBy("step").agg(F.count("*").alias("c")).collect(), key=lambda r: -r.step):
+        room -= r.c
+        if room < 0:
+            break
+        least = r.step
+    return b"" if least is None else b" ".join(sorted(bytes(r.word) for r in counted.where(F.col("step") >= least).select("word").collect()))
 
 
 def bucket_counts(docs: DataFrame, words: bytes) -> np.ndarray:
