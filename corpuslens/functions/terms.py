@@ -7,7 +7,7 @@ on the places that the automaton finds in the original text, so no text is copie
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -71,6 +71,11 @@ class Finder:
         return "".join(out)
 
 
+def _own(convert) -> Callable[..., Column]:
+    """A function in a projection of its own: were it inlined into expressions around it, it couldn't be run there."""
+    return convert.asNondeterministic()
+
+
 _FINDERS: dict[tuple[str, ...], Finder] = {}
 
 
@@ -90,7 +95,7 @@ def marked(text: Column, words: list[str]) -> Column:
         found = finder(words)
         return texts.map(found.marked, na_action="ignore")
 
-    return convert(text)
+    return _own(convert)(text)
 
 
 def marked_by(text: Column, key: Column, words: Mapping[str, list[str]], more: list[str] = ()) -> Column:
@@ -100,7 +105,7 @@ def marked_by(text: Column, key: Column, words: Mapping[str, list[str]], more: l
     def convert(texts: pd.Series, keys: pd.Series) -> pd.Series:
         return pd.Series([None if t is None else finder([*words.get(k, ()), *more]).marked(t) for t, k in zip(texts, keys, strict=True)], dtype=object)
 
-    return convert(text, key)
+    return _own(convert)(text, key)
 
 
 def most_named(text: Column, words: Mapping[str, list[str]], otherwise: str) -> Column:
@@ -123,4 +128,4 @@ def most_named(text: Column, words: Mapping[str, list[str]], otherwise: str) ->
 
         return texts.map(best)
 
-    return convert(text)
+    return _own(convert)(text)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -98,12 +99,15 @@ def plain_text(markup: str | None, separator: str = " ", drop: frozenset[str] =
     """Text of HTML; with a separator, stripped pieces joined by it."""
     if not markup:
         return ""
-    parser = _Text(drop)
-    parser.feed(markup)
-    parser.close()
-    pieces = [p for p in (x.strip() for x in parser.pieces) if p] if separator else parser.pieces
-    text = html.unescape(separator.join(pieces))
-    return unicodedata.normalize("NFKC", text) if nfkc else text
+    if "<" in markup:
+        parser = _Text(drop)
+        parser.feed(markup)
+        parser.close()
+        pieces = parser.pieces
+    else:
+        pieces = [html.unescape(markup)]
+    text = html.unescape(separator.join(p for p in (x.strip() for x in pieces) if p) if separator else "".join(pieces))
+    return unicodedata.normalize("NFKC", text) if nfkc and not text.isascii() else text
 
 
 def html_text(markup: Column, separator: str = " ", drop: frozenset[str] = DROPPED, nfkc: bool = True) -> Column:
@@ -174,6 +178,12 @@ def _where(text: Column, needle: str, pattern: str, to: str) -> Column:
     return let(text, lambda x: F.when(F.contains(x, F.lit(needle)), F.regexp_replace(x, pattern, to)).otherwise(x))
 
 
+def _where_any(text: Column, needles: list[str], pattern: str, to: str) -> Column:
+    """Replacement by a pattern in texts that contain any of what its matches contain one of."""
+    some = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(n)) for n in needles])
+    return let(text, lambda x: F.when(some(x), F.regexp_replace(x, pattern, to)).otherwise(x))
+
+
 # What opens a definition, a bullet, a numbered line
 DEFINITION, BULLET, NUMBER = r"(?:^|\n)([^\n]{1,50}とは[？?]?)\s*(?:\n|$)", r"(?:^|\n)・([^\n]+)", r"(?:^|\n)(\d+)\.([^\n]+)"
 _FLAGS = "(?mdU)"
@@ -186,7 +196,7 @@ def _definitions(text: Column) -> Column:
 def _lists_and_points(text: Column, words: str) -> Column:
     out = _where(text, "・", _FLAGS + BULLET, "\n- $1")
     out = F.regexp_replace(out, _FLAGS + NUMBER, "\n$1. $2")
-    return F.regexp_replace(out, f"{_FLAGS}(?:^|\n)({words})[：:]([^\n]+)", "\n★$1: $2")
+    return _where_any(out, words.split("|"), f"{_FLAGS}(?:^|\n)({words})[：:]([^\n]+)", "\n★$1: $2")
 
 
 def structured(text: Column) -> Column:
@@ -247,10 +257,11 @@ def labelled(title: Column, course: Column, field: Column, content: Column, qa:
 
 def normalised(text: Column) -> Column:
     """Decoration, repeated signs, URLs and addresses out; blank lines and blanks squeezed."""
-    text = F.regexp_replace(text, r"[◆◇■□●○▲△▼▽★☆※]", "")
-    text = F.regexp_replace(text, r"[！？]{2,}|[。、]{2,}", "")
+    text = let(text, lambda x: F.when(x.rlike("[\u203b\u25a0-\u2606]"), F.regexp_replace(x, "[◆◇■□●○▲△▼▽★☆※]", "")).otherwise(x))
+    text = _where_any(text, list("！？。、"), "[！？]{2,}|[。、]{2,}", "")
     text = _where(text, "://", r"(?U)https?://[^\s]+", "")
-    text = _where(text, "@", r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "")
+    # a match begins where a run of such characters does, or where the match before has ended: no run is tried from each of its places
+    text = _where(text, "@", r"(?:\G|(?<![a-zA-Z0-9._%+-]))[a-zA-Z0-9._%+-]++@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}", "")
     text = F.regexp_replace(text, r"(?U)\n\s*\n\s*\n+", "\n\n")
     return F.regexp_replace(F.regexp_replace(text, r"[ \t]+", " "), "\n ", "\n")
 
