@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuslens.functions import terms
+from corpuslens.functions.markup import texts, tokens
 
 DROPPED = frozenset({"script", "style", "meta", "link", "nav", "footer"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
@@ -95,17 +96,20 @@ class _Text(HTMLParser):
             self.pieces.append(data)
 
 
+def parsed(markup: str, drop: frozenset[str]) -> list[str]:
+    """Pieces of text by the parser, which takes any markup."""
+    parser = _Text(drop)
+    parser.feed(markup)
+    parser.close()
+    return parser.pieces
+
+
 def plain_text(markup: str | None, separator: str = " ", drop: frozenset[str] = DROPPED, nfkc: bool = True) -> str:
     """Text of HTML; with a separator, stripped pieces joined by it."""
     if not markup:
         return ""
-    if "<" in markup:
-        parser = _Text(drop)
-        parser.feed(markup)
-        parser.close()
-        pieces = parser.pieces
-    else:
-        pieces = [html.unescape(markup)]
+    found = tokens(markup)
+    pieces = list(texts(found, drop - VOID)) if found is not None else parsed(markup, drop)
     text = html.unescape(separator.join(p for p in (x.strip() for x in pieces) if p) if separator else "".join(pieces))
     return unicodedata.normalize("NFKC", text) if nfkc and not text.isascii() else text
 

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from corpuslens.functions.markup import BOTH, END, START, TEXT, referenced, tokens
 from corpuslens.functions.text import HEADINGS, VOID, collapse, plain_text
 from corpuslens.runtime import ship_package
 
@@ -17,36 +18,26 @@ MIN, MAX, OVERLAP = 200, 800, 100
 FIRST = "冒頭"
 
 
-class _Sections(HTMLParser):
-    """Markup cut at headings that are direct children of the root."""
+class _Cutter:
+    """Tags and texts in order, cut at headings that are direct children of the root."""
 
     def __init__(self, root: str):
-        super().__init__(convert_charrefs=False)
         self.root, self.open, self.base = root, [], 0 if root == "fragment" else None
         self.found: list[list] = [[FIRST, [], True]]
         self.heading = None
 
-    def _level(self) -> int | None:
-        return None if self.base is None else len(self.open) - self.base
-
-    def handle_starttag(self, tag, attrs):
-        raw = self.get_starttag_text()
-        level = self._level()
-        if level == 0 and tag in HEADINGS:
+    def start(self, tag: str, raw: str) -> None:
+        if self.base is not None and len(self.open) == self.base and tag in HEADINGS:
             self.heading = len(self.open)
             self.found.append(["", [], False])
         if self.base is not None:
-            self._add(raw)
+            self.add(raw)
         if tag not in VOID:
             self.open.append(tag)
             if self.base is None and tag == self.root:
                 self.base = len(self.open)
 
-    def handle_startendtag(self, tag, attrs):
-        if self.base is not None:
-            self._add(self.get_starttag_text())
-
-    def handle_endtag(self, tag):
+    def end(self, tag: str) -> None:
         if tag not in self.open:
             return
         while self.open:
@@ -54,38 +45,70 @@ class _Sections(HTMLParser):
             if self.base is not None and self.base > len(self.open):
                 self.base = -1 if self.root != "fragment" else 0
             if self.base != -1:
-                self._add(f"</{top}>")
+                self.add(f"</{top}>")
             if self.heading is not None and len(self.open) == self.heading:
                 self.heading = None
             if top == tag:
                 break
 
-    def _add(self, raw: str) -> None:
-        if self.base == -1:
+    def add(self, raw: str) -> None:
+        if self.base is None or self.base == -1:
             return
         if self.heading is not None:
             self.found[-1][0] += raw
         else:
             self.found[-1][1].append(raw)
 
+
+class _Sections(HTMLParser):
+    """The parser, which takes any markup, before a cutter."""
+
+    def __init__(self, cutter: _Cutter):
+        super().__init__(convert_charrefs=False)
+        self.cutter = cutter
+
+    def handle_starttag(self, tag, attrs):
+        self.cutter.start(tag, self.get_starttag_text())
+
+    def handle_startendtag(self, tag, attrs):
+        self.cutter.add(self.get_starttag_text())
+
+    def handle_endtag(self, tag):
+        self.cutter.end(tag)
+
     def handle_data(self, data):
-        if self.base is not None:
-            self._add(data)
+        self.cutter.add(data)
 
     def handle_entityref(self, name):
-        self.handle_data(f"&{name};")
+        self.cutter.add(f"&{name};")
 
     def handle_charref(self, name):
-        self.handle_data(f"&#{name};")
+        self.cutter.add(f"&#{name};")
+
+
+def _parts(markup: str, root: str) -> list[list]:
+    """[title, pieces of the body, whether it is what is before the first heading] of each section, as markup."""
+    cutter, found = _Cutter(root), tokens(markup)
+    # a reference without its semicolon is for the parser
+    if found is None or not all(referenced(source) for kind, _, source in found if kind == TEXT):
+        parser = _Sections(cutter)
+        parser.feed(markup)
+        parser.close()
+        return cutter.found
+    for kind, name, source in found:
+        if kind == START:
+            cutter.start(name, f"<{source}>")
+        elif kind == END:
+            cutter.end(name)
+        else:
+            cutter.add(f"<{source}>" if kind == BOTH else source)
+    return cutter.found
 
 
 def sections(markup: str | None, root: str = "fragment") -> list[tuple[str, str]]:
     """(title, text) of the sections of HTML; what is before the first heading counts if it has text."""
-    parser = _Sections(root)
-    parser.feed(markup or "")
-    parser.close()
     out = []
-    for title, body, first in parser.found:
+    for title, body, first in _parts(markup or "", root):
         text = plain_text("".join(body))
         name = FIRST if first else " ".join(plain_text(title, "", frozenset(), False).split())
         if text.strip() or not first:

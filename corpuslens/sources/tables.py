@@ -39,9 +39,15 @@ def parameter_query(spark: SparkSession, text: str, args: dict[str, Any] | list[
     return spark.sql(text, args=args, **tables)
 
 
-def append(df: DataFrame, path: str) -> None:
-    """All rows or none."""
-    df.write.mode("append").parquet(path)
+def append(df: DataFrame, path: str, batch: str | None = None) -> None:
+    """All rows or none. With a batch's name, rows get it as a column, and a batch that is appended again replaces its rows: a failed job can be run once more.
+
+    A table is appended to with names, or without them, from its first rows on.
+    """
+    if batch is None:
+        df.write.mode("append").parquet(path)
+    else:
+        df.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
 
 
 def write_clustered(df: DataFrame, path: str, day: str, cluster: list[str]) -> None:
