@@ -27,6 +27,16 @@ CHANGED = "changed AS (SELECT new.*, old_pageviews FROM new JOIN old USING (id)
 ALL = f"WITH {PM}, {ROLL}, {KEYS}, {NEW}, {OLD}, {CHANGED}"
 
 
+def at(time: str) -> str:
+    """SQL of a time as text."""
+    return f"strftime({time}, '%Y-%m-%d %H:%M:%S')"
+
+
+def written(*columns: str) -> dict:
+    """Times as text."""
+    return {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss") for c in columns}
+
+
 @query("s03_recent_events", f"""SELECT event_id, event_date FROM v_events WHERE event_date IN (SELECT DISTINCT event_date FROM v_events WHERE event_date <= CAST({TS} AS DATE) ORDER BY event_date DESC LIMIT 7)""")
 def s03(t: Tables):
     return eng.recent_days(t("v_events"), "2024-01-31").select("event_id", "event_date")
@@ -228,10 +238,10 @@ def d08(t: Tables):
     return merge.unexpired(t("v_cache"), F.lit("2024-01-15 00:00:00").cast("timestamp")).select("base_article_id", "similar_article_id")
 
 
-@query("d09_normalised_cache", "SELECT base_article_id, similar_article_id, similarity_score, 0.8::DOUBLE AS confidence_score, CAST(0 AS BIGINT) AS traffic_impact_prediction, 'MONITOR' AS recommendation_type, repeat('x', 500) AS explanation_text FROM v_cache")
+@query("d09_normalised_cache", f"SELECT base_article_id, similar_article_id, similarity_score, 0.8::DOUBLE AS confidence_score, CAST(0 AS BIGINT) AS traffic_impact_prediction, 'MONITOR' AS recommendation_type, repeat('x', 500) AS explanation_text, {at('cached_at')} AS cached_at, {at('expires_at')} AS expires_at FROM v_cache")
 def d09(t: Tables):
     rows = t("v_cache").withColumns({"confidence_score": F.lit(None).cast("double"), "traffic_impact_prediction": F.lit(None).cast("bigint"), "recommendation_type": F.lit(None).cast("string"), "explanation_text": F.repeat(F.lit("x"), F.lit(700))})
-    return merge.normalised_cache(rows).drop("cached_at", "expires_at")
+    return merge.normalised_cache(rows).withColumns(written("cached_at", "expires_at"))
 
 
 STATUS = """WITH a AS (SELECT CAST(o_orderkey AS VARCHAR) AS proposal_id, CASE WHEN l_linenumber % 2 = 0 THEN 'approved' ELSE 'rejected' END AS status, l_linenumber AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority = '1-URGENT'),
@@ -264,9 +274,9 @@ def pct(a: str, b: str) -> str:
     return f"CASE WHEN {b} > 0 THEN round({a} / {b} * 100, 2) ELSE 0.0 END"
 
 
-@query("a08_corpus_stats", f"SELECT count(*) AS total, count(*) FILTER ({HAS}) AS with_vector, count(*) FILTER (NOT {HAS}) AS without_vector, count(*) FILTER (length(full_content) > 0) AS with_content, count(*) FILTER (NOT length(full_content) > 0) AS without_content, round(avg(coalesce(pageviews, 0)), 6) AS avg_pageviews, {pct(f'count(*) FILTER ({HAS})', 'count(*)')} AS coverage FROM v_articles")
+@query("a08_corpus_stats", f"SELECT count(*) AS total, count(*) FILTER ({HAS}) AS with_vector, count(*) FILTER (NOT {HAS}) AS without_vector, count(*) FILTER (length(full_content) > 0) AS with_content, count(*) FILTER (NOT length(full_content) > 0) AS without_content, round(avg(coalesce(pageviews, 0)), 6) AS avg_pageviews, {at('max(updated_at)')} AS last_updated, {pct(f'count(*) FILTER ({HAS})', 'count(*)')} AS coverage FROM v_articles")
 def a08(t: Tables):
-    return stats.corpus(t("v_articles")).withColumns(r6("avg_pageviews")).drop("last_updated")
+    return stats.corpus(t("v_articles")).withColumns(r6("avg_pageviews") | written("last_updated"))
 
 
 @query("a09_stats_by_course", f"SELECT koza_id, coalesce(c.name, '講座' || koza_id) AS name, count(*) AS articles, count(*) FILTER ({HAS}) AS vectors, {pct(f'count(*) FILTER ({HAS})', 'count(*)')} AS coverage FROM v_articles a LEFT JOIN v_courses c ON c.id = koza_id AND c.id <> 'src1' GROUP BY 1, 2")
@@ -284,9 +294,9 @@ def a11(t: Tables):
     return stats.course_list(t("v_courses"), t("v_articles")).withColumns(r6("avg_pageviews")).drop("last_updated")
 
 
-@query("a12_one_course", f"SELECT koza_id, count(*) AS articles, round(avg(pageviews), 6) AS avg_pageviews, CAST(sum(pageviews) AS BIGINT) AS pageviews, count(*) FILTER ({HAS}) AS vectors, round(avg(len(list_filter(string_split_regex(full_content, '\\s+'), lambda w: w <> ''))), 6) AS avg_words FROM v_articles GROUP BY 1")
+@query("a12_one_course", f"SELECT koza_id, count(*) AS articles, round(avg(pageviews), 6) AS avg_pageviews, CAST(sum(pageviews) AS BIGINT) AS pageviews, count(*) FILTER ({HAS}) AS vectors, round(avg(len(list_filter(string_split_regex(full_content, '\\s+'), lambda w: w <> ''))), 6) AS avg_words, {at('min(created_at)')} AS first_created, {at('max(created_at)')} AS last_created FROM v_articles GROUP BY 1")
 def a12(t: Tables):
-    return stats.one_course(t("v_articles")).withColumns(r6("avg_pageviews", "avg_words")).drop("first_created", "last_created")
+    return stats.one_course(t("v_articles")).withColumns(r6("avg_pageviews", "avg_words") | written("first_created", "last_created"))
 
 
 @query("a13_views_likes", "SELECT koza_id, count(*) AS articles, CAST(sum(pageviews) AS BIGINT) AS views, CAST(sum(engaged_sessions) AS BIGINT) AS likes FROM v_articles WHERE content_type = 'en' GROUP BY 1")
@@ -310,9 +320,9 @@ def a15(t: Tables):
 MID = "TIMESTAMP '2024-01-15 00:00:00'"
 
 
-@query("a21_cache_stats", f"SELECT count(*) AS entries, count(DISTINCT base_article_id) AS bases, round(avg(similarity_score), 6) AS avg_score, count(*) FILTER (expires_at > {MID}) AS valid, count(*) FILTER (NOT expires_at > {MID}) AS expired FROM v_cache")
+@query("a21_cache_stats", f"SELECT count(*) AS entries, count(DISTINCT base_article_id) AS bases, round(avg(similarity_score), 6) AS avg_score, {at('min(cached_at)')} AS oldest, {at('max(cached_at)')} AS newest, count(*) FILTER (expires_at > {MID}) AS valid, count(*) FILTER (NOT expires_at > {MID}) AS expired FROM v_cache")
 def a21(t: Tables):
-    return stats.cache_stats(t("v_cache"), F.lit("2024-01-15 00:00:00").cast("timestamp")).withColumns(r6("avg_score")).drop("oldest", "newest")
+    return stats.cache_stats(t("v_cache"), F.lit("2024-01-15 00:00:00").cast("timestamp")).withColumns(r6("avg_score") | written("oldest", "newest"))
 
 
 CACHED = "CASE WHEN similarity_score >= 0.8 THEN 'MERGE_CONTENT' WHEN similarity_score >= 0.6 THEN 'REDIRECT_301' WHEN similarity_score >= 0.4 THEN 'CROSS_LINK' ELSE 'MONITOR' END"

@@ -348,9 +348,11 @@ def r19(t: Tables):
     return pointed(t).select("pair", recommend.pair_priority(F.col("points"), F.col("score"), F.col("predicted_pv")).cast("bigint").alias("priority"))
 
 
-@query("r20_risks", f"SELECT pair, CAST(greatest(CASE action WHEN 'MERGE_CONTENT' THEN CASE WHEN bv > 5000 THEN 2 ELSE 1 END WHEN 'REDIRECT_301' THEN 2 ELSE 0 END + CASE WHEN bv > 1000 OR sv > 1000 THEN 1 ELSE 0 END, 1) AS BIGINT) AS n_risks FROM (SELECT *, split_part({ladder('score', 'ratio', 'same')}, ' ', 1) AS action FROM {GRID})")
+@query("r20_risks", f"""SELECT pair, coalesce(nullif(concat_ws(' / ', CASE WHEN action = 'MERGE_CONTENT' AND bv > 5000 THEN '高トラフィック記事の統合によるSEOリスク' END, CASE WHEN action = 'MERGE_CONTENT' THEN '統合作業中の一時的な順位下落の可能性' END,
+    CASE WHEN action = 'REDIRECT_301' THEN 'リダイレクト実装時の技術的リスク / 短期的なトラフィック減少の可能性' END, CASE WHEN bv > 1000 OR sv > 1000 THEN 'オーガニック検索への影響' END), ''), 'リスクは低いと評価されます') AS risks
+    FROM (SELECT *, split_part({ladder('score', 'ratio', 'same')}, ' ', 1) AS action FROM {GRID})""")
 def r20(t: Tables):
-    return recommend.unified(grid(t)).select("pair", F.size(recommend.risks(F.col("recommendation_type"), F.col("bv"), F.col("bv"), F.col("sv"))).cast("bigint").alias("n_risks"))
+    return recommend.unified(grid(t)).select("pair", F.array_join(recommend.risks(F.col("recommendation_type"), F.col("bv"), F.col("bv"), F.col("sv")), " / ").alias("risks"))
 
 
 @query("r20_steps", f"""SELECT pair, n_steps, timeline FROM (SELECT pair, split_part({ladder('score', 'ratio', 'same')}, ' ', 1) AS action FROM {GRID})
@@ -449,7 +451,7 @@ def z03_refreshed(t: Tables):
     """Lists of an earlier state (some articles not there, some with another vector, some gone since), after a refresh with what differs."""
     from corpuslens.operators import toplists
 
-    now = t("v_articles").select("id", "content_embedding")
+    now = materialise(t("v_articles").select("id", "content_embedding"), "now")
     n = F.col("id").cast("int")
     turned = F.when(n % 13 == 7, F.reverse("content_embedding")).otherwise(F.col("content_embedding"))
     gone = now.where(n % 17 == 3).select(F.concat("id", F.lit("x")).alias("id"), "content_embedding")
