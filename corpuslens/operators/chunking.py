@@ -151,9 +151,9 @@ def packed(pieces: list[tuple[str, str]], most: int) -> list[str]:
     """
     joiners, texts = np.array([len(j) for j, _ in pieces], np.int64), np.array([len(t) for _, t in pieces], np.int64)
     upto = np.cumsum(joiners + texts)
-    out, first = [], 0
+    without, out, first = upto - joiners, [], 0
     while first < len(pieces):
-        end = max(first + 1, int(np.searchsorted(upto - joiners, most + upto[first] - texts[first], "right")))
+        end = max(first + 1, int(np.searchsorted(without, most + upto[first] - texts[first], "right")))
         out.append(pieces[first][1] + "".join(j + t for j, t in pieces[first + 1 : end]))
         first = end
     return out

@@ -212,8 +212,8 @@ def test_packing_takes_linear_time():
         return time.perf_counter() - began
 
     taken(100)
-    # a section of ten million characters
-    assert taken(196_000) < 40 * max(taken(19_600), 0.02)
+    # a section of ten million characters: ten times the work of one of a million, with room for a busy machine
+    assert taken(196_000) < 30 * max(min(taken(19_600) for _ in range(3)), 0.02)
 
 
 # pages
