@@ -129,3 +129,22 @@ def test_sketches_are_within_their_bound(spark):
     whole = engagement.from_sketches(kept, keys=()).first()
     exact = rows.agg(F.count_distinct(engagement.session_id())).first()[0]
     assert abs(whole.sessions - exact) <= bound * exact
+
+
+def test_any_model_can_embed(spark):
+    """A model is a pandas function of texts; what it fails on has no vector, is in no list and on the work list."""
+    import pandas as pd
+
+    from corpuslens.operators import vectors
+
+    @F.pandas_udf("array<double>")
+    def model(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None or t.startswith("bad") else [float(len(t)), float(t.count("a")), 1.0])
+
+    texts = ["aaa", "aab", "bad one", None, "", "a long text"]
+    rows = vectors.embed(spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "id string, full_content string"), "full_content", model=model)
+    got = {r.id: r.content_embedding for r in rows.collect()}
+    assert got == {"0": [3.0, 3.0, 1.0], "1": [3.0, 2.0, 1.0], "2": None, "3": None, "4": [0.0, 0.0, 1.0], "5": [11.0, 1.0, 1.0]}
+    lists = toplists.build(rows, 2, -1.0).collect()
+    assert {r.base_id for r in lists} == {"0", "1", "4", "5"} and {r.similar_id for r in lists} == {"0", "1", "5"}
+    assert {r.id for r in search.embedding_worklist(rows, least=3).collect()} == {"2"}
