@@ -183,7 +183,9 @@ def index(classes: DataFrame, threshold: float, shard_rows: int = SHARD_ROWS) ->
     ship_package(spark)
     shards = max(LEAST_SHARDS, -(-classes.count() // shard_rows))
     dealt, folder = new_path(spark, "dealt"), new_path(spark, "graphs")
-    classes.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")).repartition(shards, "shard").write.partitionBy("shard").parquet(dealt)
+    # each shard by several tasks, so that none writes two whole ones
+    owner = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
+    classes.withColumn("shard", owner).repartition(F.col("shard"), F.pmod(F.xxhash64("key", F.lit(1)), F.lit(16))).write.partitionBy("shard").parquet(dealt)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs, parquet
