@@ -1,9 +1,9 @@
 """Substring search through an index of trigrams.
 
-Rows are written in blocks, and for each field the trigrams of its lower-case text as postings (trigram, row, block),
-partitioned by a hash of the trigram. A search reads the postings of its own trigrams only, intersects them by row, reads
-the blocks of the rows that are left, and looks whether they really contain the query. Queries of fewer than three
-characters have no trigram and scan.
+Rows are written in blocks, and for each field the trigrams that the lower-case texts of a block have as postings
+(trigram, block), partitioned by a hash of the trigram: a small share of the texts' own size. A search reads the postings
+of its own trigrams only, intersects them by block, reads the blocks that are left, and looks which rows really contain
+the query. Queries of fewer than three characters have no trigram and scan.
 """
 
 from __future__ import annotations
@@ -21,8 +21,10 @@ from corpuslens.runtime import new_path, ship_package
 
 #: Rows of a block and postings' partitions.
 BLOCK_ROWS, PARTS = 2000, 64
-#: Trigrams of a query that are looked up at most; all rows that have these are verified.
+#: Trigrams of a query that are looked up at most; all rows of blocks that have these are verified.
 LOOKED_UP = 12
+#: Blocks that are named in a filter of folders; more are joined.
+NAMED = 1000
 
 
 def grams(text: str) -> set[str]:
@@ -31,7 +33,7 @@ def grams(text: str) -> set[str]:
 
 @dataclass
 class TextIndex:
-    """rows: the indexed table in blocks (columns, __block, __row); postings: field, gram, __row, __block by __part."""
+    """rows: the indexed table in blocks (columns, __block); postings: field, gram, __block by __part."""
 
     rows: DataFrame
     postings: DataFrame
@@ -40,7 +42,7 @@ class TextIndex:
     parts: int
 
     def candidates(self, query: str, fields: list[str]) -> DataFrame | None:
-        """__row, __block of the rows of which a field has all trigrams of a query that are looked up; none if it has no trigram."""
+        """__block of the blocks of which a field has all trigrams of a query that are looked up; none if it has no trigram."""
         found = sorted(grams(query.lower()))
         if not found:
             return None
@@ -49,7 +51,8 @@ class TextIndex:
         # on the driver: literal parts prune folders
         wanted = self.rows.sparkSession.createDataFrame([(g,) for g in found], "gram string").select("gram", part_of(F.col("gram"), self.parts).alias("p")).collect()
         own = self.postings.where(F.col("__part").isin(sorted({r.p for r in wanted}))).where(F.col("gram").isin(found) & F.col("field").isin(fields))
-        return own.groupBy("field", "__row", "__block").agg(F.count("*").alias("c")).where(F.col("c") == len(found)).select("__row", "__block").distinct()
+        # a block that several tasks have read has a trigram more than once
+        return own.groupBy("field", "__block").agg(F.count_distinct("gram").alias("c")).where(F.col("c") == len(found)).select("__block").distinct()
 
     def hits(self, query: str, fields: list[str]) -> DataFrame:
         """Rows of which one of the fields contains a query in any case; an empty query is in all that have a text."""
@@ -59,8 +62,9 @@ class TextIndex:
         met = self.candidates(query, fields)
         if met is None:
             return self.rows.where(some)
-        blocks = [r[0] for r in met.select("__block").distinct().collect()]
-        return self.rows.where(F.col("__block").isin(blocks)).join(met.select("__row"), "__row", "left_semi").where(some)
+        blocks = [r[0] for r in met.limit(NAMED + 1).collect()]
+        own = self.rows.where(F.col("__block").isin(blocks)) if len(blocks) <= NAMED else self.rows.join(met, "__block", "left_semi")
+        return own.where(some)
 
     def search(self, query: str, fields: list[str], where: Column | None = None) -> DataFrame:
         """The rows that text_search() over the table gives."""
@@ -98,22 +102,33 @@ def build(df: DataFrame, fields: list[str], parts: int = PARTS, block_rows: int
     stored, posted = new_path(spark, "rows"), new_path(spark, "postings")
     numbered = df.withColumn("__row", F.monotonically_increasing_id())
     # a block is a run of rows of a partition
-    blocked = numbered.withColumn("__block", F.shiftright("__row", 33) * (1 << 20) + F.floor(F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)) / block_rows))
+    # rows keep their order within a partition, so a block is written by one task
+    blocked = numbered.withColumn("__block", F.shiftright("__row", 33) * (1 << 20) + F.floor(F.col("__row").bitwiseAND(F.lit((1 << 33) - 1)) / block_rows)).drop("__row")
     blocked.write.partitionBy("__block").parquet(stored)
-    rows = spark.read.schema(blocked.select(*df.columns, "__row", "__block").schema).parquet(stored)
+    rows = spark.read.schema(blocked.select(*df.columns, "__block").schema).parquet(stored)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[int, str], set[str]] = {}
+
+        def told(keep: int | None) -> Iterator[pa.RecordBatch]:
+            for block, f in [k for k in held if k[0] != keep]:
+                found = sorted(held.pop((block, f)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([f] * len(found)), pa.array(found), pa.array([block] * len(found))], names=["field", "gram", "__block"])
+
         for batch in batches:
-            ids, blocks = batch.column("__row").to_pylist(), batch.column("__block").to_pylist()
+            blocks = batch.column("__block").to_pylist()
             for f in fields:
-                for row, block, text in zip(ids, blocks, batch.column(f).to_pylist(), strict=True):
-                    found = list(grams(text or ""))
-                    if found:
-                        n = len(found)
-                        yield pa.RecordBatch.from_arrays([pa.array([f] * n), pa.array(found), pa.array([row] * n), pa.array([block] * n)], names=["field", "gram", "__row", "__block"])
-
-    low = rows.select("__row", "__block", *[F.lower(F.col(f)).alias(f) for f in fields])
-    post = low.mapInArrow(run, "field string, gram string, __row bigint, __block bigint").withColumn("__part", part_of(F.col("gram"), parts))
-    # frequent trigrams go to several tasks; files are sorted, so their statistics skip row groups
-    post.hint("rebalance", F.col("__part")).sortWithinPartitions("__part", "gram", "field", "__row").write.partitionBy("__part").parquet(posted)
-    return TextIndex(rows, spark.read.schema(post.select("field", "gram", "__row", "__block", "__part").schema).parquet(posted), df.columns, fields, parts)
+                for block, text in zip(blocks, batch.column(f).to_pylist(), strict=True):
+                    if text:
+                        held.setdefault((block, f), set()).update(grams(text))
+            # rows of a block come one after the other
+            if blocks:
+                yield from told(blocks[-1])
+        yield from told(None)
+
+    low = rows.select("__block", *[F.lower(F.col(f)).alias(f) for f in fields])
+    post = low.mapInArrow(run, "field string, gram string, __block bigint").withColumn("__part", part_of(F.col("gram"), parts))
+    # files are sorted, so their statistics skip row groups
+    post.hint("rebalance", F.col("__part")).sortWithinPartitions("__part", "gram", "field", "__block").write.partitionBy("__part").parquet(posted)
+    return TextIndex(rows, spark.read.schema(post.select("field", "gram", "__block", "__part").schema).parquet(posted), df.columns, fields, parts)

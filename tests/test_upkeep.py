@@ -99,9 +99,7 @@ def test_a_rare_query_reads_a_small_share(spark):
     assert [r.id for r in found.collect()] == ["1234"]
     all_files = len(built.rows.inputFiles())
     read = re.findall(r"__block#\d+L? (?:=|IN) [^\]]*", found._jdf.queryExecution().optimizedPlan().toString())
-    blocks = built.candidates("wxyz", ["title"]).select("__block").distinct().count()
-    parts = {r[0] for r in built.candidates("wxyz", ["title"]).select("__row").collect()}
-    assert read and blocks == 1 and len(parts) == 1 and all_files > 50
+    assert read and built.candidates("wxyz", ["title"]).count() == 1 and all_files > 50
     postings = re.search(r"PartitionFilters: \[([^\]]*)\]", built.candidates("wxyz", ["title"])._jdf.queryExecution().executedPlan().toString())[1]
     assert "__part" in postings
 
