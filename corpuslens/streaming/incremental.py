@@ -43,6 +43,8 @@ class Revised:
         return rows if before is None else rows.where(F.col("batch") < before)
 
     def _write(self, rows: DataFrame, name: str, number: int, *by: str) -> None:
+        # a day's rows go to as many tasks as they need: few files for a small batch
+        rows = rows.hint("rebalance", *[F.col(c) for c in by]) if by else rows
         out = rows.write.mode("overwrite")
         (out.partitionBy(*by) if by else out).parquet(f"{self.folder}/{name}/batch={number}")
 
