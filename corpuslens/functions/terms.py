@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpuslens.runtime import ship_to_active
+
 OPEN, CLOSE = "【", "】"
 
 
@@ -73,6 +75,7 @@ class Finder:
 
 def _own(convert) -> Callable[..., Column]:
     """A function in a projection of its own: were it inlined into expressions around it, it couldn't be run there."""
+    ship_to_active()
     return convert.asNondeterministic()
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from corpuslens.functions import terms
 from corpuslens.functions.markup import texts, tokens
+from corpuslens.runtime import ship_to_active
 
 DROPPED = frozenset({"script", "style", "meta", "link", "nav", "footer"})
 VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
@@ -116,6 +117,7 @@ def plain_text(markup: str | None, separator: str = " ", drop: frozenset[str] =
 
 def html_text(markup: Column, separator: str = " ", drop: frozenset[str] = DROPPED, nfkc: bool = True) -> Column:
     """plain_text() of a column, batch by batch; null is empty."""
+    ship_to_active()
 
     @F.pandas_udf(T.StringType())
     def convert(s: pd.Series) -> pd.Series:

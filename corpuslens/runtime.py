@@ -68,3 +68,9 @@ def ship_package(spark: SparkSession) -> None:
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
+
+
+def ship_to_active() -> None:
+    """ship_package() for functions that make columns and have no DataFrame at hand."""
+    if (spark := SparkSession.getActiveSession()) is not None:
+        ship_package(spark)
