@@ -1,11 +1,14 @@
 """What a step holds, sends and shuffles doesn't grow out of proportion."""
 
 import re
+import sys
 
 import numpy as np
 import pytest
 
-from corpuslens.operators import vectors
+sys.path.insert(0, __file__.rsplit("/", 1)[0])
+
+from corpuslens.operators import pruned, vectors  # noqa: E402
 
 
 def plan(df):
@@ -27,3 +30,35 @@ def test_similarities_are_not_sent_to_the_driver(near):
         found = vectors.nearest_to(base, near, columns=columns)
         assert re.search(r"\w+Join", plan(found))[0] == "SortMergeJoin" and found.count() == 2 * 59
     assert vectors.nearest_to(base, near, columns=[]).columns == ["base_id", "id", "similarity"]
+
+
+def test_best_lists_hold_what_is_found():
+    """Room for a thousand million best a row isn't taken beforehand; lists are those of a sort."""
+    rng = np.random.default_rng(6)
+    products = np.round(rng.standard_normal((40, 300)), 1)
+    ids = np.array([str(k) for k in range(300)], object)
+    for n in (1, 7, 10**9):
+        best = pruned._Best(40, n, 0.3)
+        for s in range(0, 300, 50):
+            best.meet(np.arange(40), products[:, s : s + 50].copy(), ids[s : s + 50])
+        rows, values, names = best.found()
+        for i in range(40):
+            want = sorted((-products[i, k], ids[k]) for k in range(300) if products[i, k] >= 0.3)[:n]
+            assert sorted(zip((-values[rows == i]).tolist(), names[rows == i].tolist(), strict=True)) == want
+
+
+def test_texts_are_moved_once(spark):
+    """The joins of v_articles meet the ids; what needs no text doesn't move it."""
+    from oracle import SF
+
+    from corpuslens.fixtures import view
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        articles = view(spark, SF, "v_articles")
+        moved = lambda df: [x for x in re.findall(r"Exchange hashpartitioning[^\n]*\n[^\n]*", plan(df)) if re.search(r"\btext#", x)]
+        assert len(moved(articles.select("id", "full_content", "pageviews"))) == 1
+        assert not moved(articles.select("id", "pageviews"))
+        assert plan(articles.select("id", "full_content")).count("ShuffledHashJoin") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
