@@ -241,10 +241,22 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Members of the nodes that hold several components, with the number of blocks of their node."""
+    """Members of the nodes that hold several components, with the number of blocks of their node, the blocks they are dealt from and meet.
+
+    Members of a node's largest component have blocks of their own after those of the others, which are all they meet: a
+    group that is one component already isn't compared with itself.
+    """
     members = materialise(members, "labelled")
-    stats = members.groupBy("node").agg(F.count("*").alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").drop("lo", "hi")
-    return materialise(_met(members, stats).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("bigint")).drop("c"), "open")
+    sizes = members.groupBy("node", "comp").agg(F.count("*").alias("of"))
+    stats = sizes.groupBy("node").agg(F.sum("of").alias("c"), F.max(F.struct("of", (-F.col("comp")).alias("minus"))).alias("most"), F.count("*").alias("comps")).where("comps > 1")
+    others = F.ceil((F.col("c") - F.col("most.of")) / BLOCK)
+    # nodes of one block are compared as that
+    stats = stats.withColumn("others", F.when(F.col("c") <= BLOCK, 1).otherwise(others).cast("bigint")).withColumn("main", F.when(F.col("c") > BLOCK, -F.col("most.minus")))
+    stats = stats.withColumn("own", F.when(F.col("c") > BLOCK, F.ceil(F.col("most.of") / BLOCK)).otherwise(0).cast("bigint")).drop("most", "comps")
+    met = _met(members, stats).withColumn("blocks", F.ceil(F.col("c") / BLOCK).cast("bigint"))
+    mine = F.coalesce(F.col("comp") == F.col("main"), F.lit(False))
+    block = F.when(mine, F.col("others") + F.pmod(F.xxhash64("id"), F.greatest("own", F.lit(1).cast("bigint")))).otherwise(F.pmod(F.xxhash64("id"), "others"))
+    return materialise(met.select("node", "id", "n", "comp", "blocks", block.alias("i"), F.when(mine, F.col("others")).otherwise(F.col("others") + F.col("own")).alias("meets")), "open")
 
 
 def _descend(members: DataFrame, sets: DataFrame) -> DataFrame:
@@ -269,10 +281,10 @@ def _across(members: DataFrame, drawn: DataFrame, sets: DataFrame, percent: int)
     A first pass over sketches and sizes lists each member's possible partners; a pair is left to the first of the nodes
     that its ends share. Members with any then meet with their full sets, so pairs never become rows.
     """
-    # a document is in a few nodes of each tree
-    own = members.groupBy("id").agg(F.collect_set("node").alias("keys"))
-    mine = members.withColumn("i", F.pmod(F.xxhash64("id"), "blocks")).join(own, "id").join(drawn.drop("n"), "id")
-    dealt = mine.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    # a document is in a few nodes of each tree, so sketches are joined to documents and not to their places in nodes
+    mine = members.groupBy("id", "n", "comp").agg(F.collect_list(F.struct("node", "i", "meets")).alias("places")).join(drawn.drop("n"), "id")
+    placed = mine.select("id", "n", "comp", "sketch", F.array_distinct("places.node").alias("keys"), F.explode("places").alias("at")).select("*", "at.*")
+    dealt = placed.withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("meets") - 1)))
     dealt = dealt.select("node", F.least("i", "j").alias("p"), F.greatest("i", "j").alias("q"), "i", "id", "n", "comp", "sketch", "keys")
 
     def meet(key, pdf):
@@ -321,7 +333,8 @@ def _across(members: DataFrame, drawn: DataFrame, sets: DataFrame, percent: int)
                     found.append((min(a, b), max(a, b)))
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    return materialise(listed.join(sets, "id").groupBy("node", "p", "q").applyInPandas(compare, "a bigint, b bigint"), "across")
+    full = listed.groupBy("id").agg(F.collect_list(F.struct("node", "p", "q", "comp", "partners")).alias("all")).join(sets, "id").select("id", "items", F.inline("all"))
+    return materialise(full.groupBy("node", "p", "q").applyInPandas(compare, "a bigint, b bigint"), "across")
 
 
 def _linked(docs: DataFrame, known: DataFrame | None, words: int, percent: int, recall: float) -> DataFrame:
@@ -352,7 +365,7 @@ def _linked(docs: DataFrame, known: DataFrame | None, words: int, percent: int,
         wide = rest.where(F.col("blocks") > WIDE)
         if level == DESCENTS or wide.isEmpty():
             break
-        nodes = _descend(_labelled(wide.drop("comp", "blocks"), links), sets)
+        nodes = _descend(_labelled(wide.select("node", "id", "n"), links), sets)
     joined = links if known is None else links.union(_between(known, mapped))
     comps = connected_components(joined).select(F.col("id").alias("at"), "component")
     out = mapped.drop("keys", "sketch").withColumn("at", F.coalesce("rep", "doc_id")).join(comps, "at", "left")

@@ -265,6 +265,19 @@ def test_near_duplicates(spark, wide, monkeypatch):
         assert sorted([(r.doc_id, r.component_id, r.kept) for r in twice], key=str) == [(1, 1, True), (1, 1, True), (2, 1, False), (None, None, True)]
 
 
+def test_a_large_component_is_not_dealt_to_itself(spark, monkeypatch):
+    """What a node hands on grows with the members outside of its largest component, not with the square of all; each other pair of components meets."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    handed = []
+    for size in (100, 400):
+        members = spark.createDataFrame([(7, i, 9, 0 if i >= 3 else i + 10_000) for i in range(size)], "node bigint, id bigint, n bigint, comp bigint")
+        rows = neardup._open(members).collect()
+        handed.append(sum(r.meets for r in rows))
+        met = lambda a, b: max(a.i, b.i) < (a if a.i < b.i else b).meets
+        assert len(rows) == size and all(met(a, b) for a in rows for b in rows if a.comp != b.comp)
+    assert handed[1] <= 4 * handed[0]
+
+
 def test_rows_of_a_document_are_one_vertex(spark):
     for rows in ([(1, "p q r"), (1, "u v w"), (2, "u v w x")], [(1, "u v w"), (1, "p q r"), (2, "u v w x")]):
         got = sorted((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 2, 60).collect())
