@@ -38,6 +38,8 @@ BLOCK, OPEN_BLOCKS = 1 << 19, 32
 KEPT, SLICE = 256 << 20, 1 << 20
 #: A character that the library parts from white space, as one id of its own.
 MARK = "\x01"
+#: Words of these are a piece for any tokenizer that keeps runs of letters, in whatever version of Unicode.
+LETTERS = re.compile("[a-zß-öø-ÿ]+")
 
 
 class Bits:
@@ -261,6 +263,14 @@ class WordEncoder:
         self.added = re.compile("" if anywhere else "|".join(re.escape(x.content) for x in added) or r"(?!)", re.IGNORECASE)
         #: upper-case ASCII letters come to the same ids, so that one of the two is kept
         self.lowers = all(self.whole([x])[0] == self.whole([x.lower()])[0] for x in map(chr, range(65, 91)))
+        #: which ids end a piece, if pieces have an end of their own and words of LETTERS are pieces
+        end, pieces = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.pre_tokenizer
+        some = "".join(c for c in map(chr, range(256)) if LETTERS.fullmatch(c))
+        self.ends = None
+        if end and pieces is not None and len(pieces.pre_tokenize_str(some)) == 1:
+            vocabulary = self.tokenizer.get_vocab()
+            self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(end)]] = True
         #: digits, and letters of European scripts, that the library parts from a comma or full stop that follows
         letters = [c for c in map(chr, [*range(48, 0x250), *range(0x370, 0x530)]) if c.isalnum() and unicodedata.category(c) != "Lm"]
         tried = [[self.whole([c + between + end for c in letters]) for between in ("", " ")] for end in (",", ".", ",b", ".2", ",'s", ".;", "..", ",̈")]
@@ -283,23 +293,57 @@ class WordEncoder:
                 return [raw[a:b] for a, b in zip([0, *(x + 4 for x in places)], [*places, len(raw)])]
         return self.whole(words)
 
-    def words(self, text: str) -> list[str]:
-        """Parts that the tokenizer encodes alike alone: between spaces and line feeds, and before a comma or full stop, if all of them follow what they are parted from."""
+    def pieces(self, words: list[str]) -> list[bytes]:
+        """The ids of each word of LETTERS: up to the end of its only piece."""
+        if self.ends is not None and words:
+            ids = np.frombuffer(self.whole([" ".join(words)])[0], "<u4")
+            stops = np.flatnonzero(self.ends[ids])
+            if len(stops) == len(words):
+                raw, stops = ids.tobytes(), (4 * stops + 4).tolist()
+                return [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)]
+        return self.apart(words)
+
+    def parted(self, text: str) -> str:
+        """text with a space between any parts that the tokenizer encodes alike alone: at line feeds, and before a comma or full stop, if all of them follow what they are parted from."""
         if self.lowers and text.isascii():
             text = text.lower()
         if not self.joined.search(text):
             text = text.replace(",", " ,").replace(".", " .")
-        return text.replace("\n", " ").split(" ")
+        return text.replace("\n", " ")
+
+    def words(self, text: str) -> list[str]:
+        """The parts of text that are encoded apart."""
+        return self.parted(text).split(" ")
+
+    def _spaced(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, from those of what stands between its spaces; each different word is looked up once."""
+        split = pc.split_pattern(pa.array(texts, pa.string()), " ")
+        coded = split.flatten().dictionary_encode()
+        words, at = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        known = [*map(self.kept.young.get, words)]
+        unmet = [k for k, ids in enumerate(known) if ids is None]
+        new = self.kept.missing({words[k] for k in unmet})
+        letters = [w for w in new if LETTERS.fullmatch(w)]
+        rest = [*set(new).difference(letters)]
+        self.kept.add(letters, self.pieces(letters))
+        self.kept.add(rest, self.apart(rest))
+        for k in unmet:
+            known[k] = self.kept.young[words[k]]
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        ids, first = np.frombuffer(b"".join(known), "<u4"), np.cumsum(sizes) - sizes
+        size = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(size)])
+        raw = ids[np.repeat(first[at] - ends[:-1], size) + np.arange(ends[-1])].tobytes()
+        stops = (4 * ends[split.offsets.to_numpy()]).tolist()
+        return [raw[a:b] for a, b in zip(stops, stops[1:], strict=False)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Of each text its ids; what stands between spaces and line feeds is encoded apart, but for texts with added tokens."""
         out = []
         for some in slices(texts, SLICE):
-            split = [None if self.added.search(t) else self.words(t) for t in some]
-            new = self.kept.missing(set().union(*(x for x in split if x is not None)))
-            self.kept.add(new, self.apart(new))
-            get = self.kept.young.__getitem__
-            out += [self.whole([t])[0] if x is None else b"".join(map(get, x)) for t, x in zip(some, split, strict=True)]
+            split = [None if self.added.search(t) else self.parted(t) for t in some]
+            found = iter(self._spaced([x for x in split if x is not None]))
+            out += [self.whole([t])[0] if x is None else next(found) for t, x in zip(some, split, strict=True)]
         return out
 
 

@@ -390,6 +390,21 @@ def test_shards_round_trip(spark, odd, none, apart):
         start += len(ids) // 4
 
 
+def test_words_of_letters_are_encoded_without_marks(monkeypatch):
+    """A word of letters is one piece with an end of its own."""
+    import public_tokenizers
+
+    w = wavelet.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    words = ["straße", "zzqxj", "a", "ñandú", "the", "ÿ"]
+    assert w.pieces(words) == [w.whole([x])[0] for x in words] == w.apart(words)
+    texts = ["", " ", "Ein Über-Maß, ŒUVRE Été. été\nÑANDÚ", "İx ŉ Σας ΣΑΣ x\u0301 É", "a1 b2c it's &&& straße&&&", "Été"]
+    kept = []
+    monkeypatch.setattr(w, "apart", lambda words: kept.extend(words) or w.whole(words))
+    for _ in range(2):
+        assert w.encode(texts) == w.whole(texts)
+    assert "été" in w.kept.young and kept and not any(map(wavelet.LETTERS.fullmatch, kept))
+
+
 def test_words_encode_apart():
     from tokenizers import Tokenizer
 
