@@ -70,3 +70,13 @@ def test_few_bands_for_low_thresholds():
         signs, bands = lsh.shape(0.4, 0.9, n)
         agree = 1 - np.arccos(0.4) / np.pi
         assert bands <= 100 and 1 - (1 - agree**signs) ** bands >= 0.9
+
+
+def test_matches_are_ranked_once(spark):
+    """Chunk matches come ranked from the join; they aren't moved and sorted once more, nor moved with articles."""
+    from oracle import SF
+
+    from corpuslens import queries
+
+    queries.load()
+    assert len(re.findall(r"\bWindow \[row_number", plan(queries.QUERIES["w01_ranked_matches"](spark, SF)))) == 1
