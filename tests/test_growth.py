@@ -1,5 +1,6 @@
 """What a step holds, sends and shuffles doesn't grow out of proportion."""
 
+import os
 import re
 import sys
 
@@ -80,3 +81,68 @@ def test_matches_are_ranked_once(spark):
 
     queries.load()
     assert len(re.findall(r"\bWindow \[row_number", plan(queries.QUERIES["w01_ranked_matches"](spark, SF)))) == 1
+
+
+def rows_moved(spark, df):
+    """Rows that are written to shuffles while df is computed."""
+    sc, jvm = spark.sparkContext._jsc.sc(), spark.sparkContext._jvm
+
+    def total():
+        sc.listenerBus().waitUntilEmpty()
+        none = jvm.java.util.ArrayList()
+        stages = sc.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return sum(stages.apply(k).shuffleWriteRecords() for k in range(stages.size()))
+
+    before = total()
+    df.write.format("noop").mode("overwrite").save()
+    return total() - before
+
+
+def grown(spark, folder, times):
+    """The tables, with orders and events repeated with shifted keys."""
+    from oracle import SF
+
+    from corpuslens.fixtures import TABLES
+
+    folder.mkdir()
+    for t in TABLES:
+        key = {"orders": "o_orderkey", "events": "event_id"}.get(t)
+        if key is None:
+            os.symlink(f"{SF}/{t}.parquet", folder / f"{t}.parquet")
+            continue
+        rows = spark.read.parquet(f"{SF}/{t}.parquet")
+        n = rows.agg({key: "max"}).first()[0] + 1
+        rows.crossJoin(spark.range(times).withColumnRenamed("id", "copy")).selectExpr(*[f"{c} + copy * {n} AS {c}" if c == key else c for c in rows.columns]).coalesce(1).write.parquet(str(folder / f"{t}.parquet"))
+    return str(folder)
+
+
+def test_orders_and_events_of_no_document_are_not_moved(spark, tmp_path):
+    """Where orders and events are too large to be broadcast, only those move whose keys articles can have (all of them before)."""
+    from oracle import duck, same
+
+    from corpuslens import queries
+    from corpuslens.fixtures import view
+
+    queries.load()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        small, large = grown(spark, tmp_path / "20", 20), grown(spark, tmp_path / "40", 40)
+        dates = lambda sf: rows_moved(spark, view(spark, sf, "v_articles").select("id", "created_at", "updated_at"))
+        assert 0 < dates(large) <= dates(small)
+        con = duck(large)
+        for name in ("z08_compare", "a12_one_course", "d02_merge_articles"):
+            assert same(queries.QUERIES[name](spark, large), con, queries.ORACLE_SQL[name]) > 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_metrics_that_nobody_asks_for_are_not_made(spark):
+    """One row a document, joined by the key that it is grouped by: without its columns the join is dropped, and events aren't read for it."""
+    from oracle import SF
+
+    from corpuslens import queries
+
+    queries.load()
+    assert "events.parquet" in plan(queries.QUERIES["a12_one_course"](spark, SF))
+    for name in ("p20_highlight", "p18_search_excerpt"):
+        assert "events.parquet" not in plan(queries.QUERIES[name](spark, SF))
