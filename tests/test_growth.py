@@ -117,7 +117,7 @@ def grown(spark, folder, times):
 
 
 def test_orders_and_events_of_no_document_are_not_moved(spark, tmp_path):
-    """Where orders and events are too large to be broadcast, only those move whose keys articles can have (all of them before)."""
+    """Where orders and events are too large to be broadcast, only those move whose keys articles and the cache can have (all of them before)."""
     from oracle import duck, same
 
     from corpuslens import queries
@@ -129,8 +129,10 @@ def test_orders_and_events_of_no_document_are_not_moved(spark, tmp_path):
         small, large = grown(spark, tmp_path / "20", 20), grown(spark, tmp_path / "40", 40)
         dates = lambda sf: rows_moved(spark, view(spark, sf, "v_articles").select("id", "created_at", "updated_at"))
         assert 0 < dates(large) <= dates(small)
+        times = lambda sf: rows_moved(spark, view(spark, sf, "v_cache"))
+        assert 0 < times(large) <= times(small)
         con = duck(large)
-        for name in ("z08_compare", "a12_one_course", "d02_merge_articles"):
+        for name in ("z08_compare", "t33_cache_prompts", "a12_one_course", "d02_merge_articles"):
             assert same(queries.QUERIES[name](spark, large), con, queries.ORACLE_SQL[name]) > 0
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
