@@ -5,6 +5,7 @@ import re
 import sys
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 
 sys.path.insert(0, __file__.rsplit("/", 1)[0])
@@ -148,3 +149,25 @@ def test_metrics_that_nobody_asks_for_are_not_made(spark):
     assert "events.parquet" in plan(queries.QUERIES["a12_one_course"](spark, SF))
     for name in ("p20_highlight", "p18_search_excerpt"):
         assert "events.parquet" not in plan(queries.QUERIES[name](spark, SF))
+
+
+def cloud(spark, n):
+    rng = np.random.default_rng(8)
+    rows = [(f"{i:05}", str(i // 10), v) for i, v in enumerate(rng.standard_normal((n, 16)).tolist())]
+    return spark.createDataFrame(rows, "id string, article string, content_embedding array<double>")
+
+
+def stored(found, folder):
+    """Similarities of each file that is written, in their order."""
+    found.write.parquet(str(folder))
+    files = [pq.read_table(f)["similarity"].to_numpy() for f in sorted(folder.glob("*.parquet"))]
+    return [x for x in files if len(x)]
+
+
+def test_pairs_are_stored_in_order(spark, tmp_path):
+    """Equal similarities lie beside each other (about every second pair was out of order before), pairs beside their reverse."""
+    df = cloud(spark, 1200)
+    files = stored(vectors.similarity_join(df, 0.2, None, owner="article", block_rows=400), tmp_path / "pairs")
+    assert sum(map(len, files)) == vectors.similarity_join(df, 0.2, None, owner="article").count() > 300_000
+    # a task's pairs within a block and with others are in order on their own
+    assert sum((np.diff(x) < 0).sum() for x in files) <= 3 * len(files)
