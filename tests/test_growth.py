@@ -171,3 +171,14 @@ def test_pairs_are_stored_in_order(spark, tmp_path):
     assert sum(map(len, files)) == vectors.similarity_join(df, 0.2, None, owner="article").count() > 300_000
     # a task's pairs within a block and with others are in order on their own
     assert sum((np.diff(x) < 0).sum() for x in files) <= 3 * len(files)
+
+
+def test_every_pair_in_full_blocks(spark, tmp_path):
+    """Where no pair can be skipped, blocks are of one cell and full, so that a task has many pairs of few ids to put in order."""
+    df = cloud(spark, 4000)
+    base = df.where("CAST(id AS INT) % 50 = 0")
+    files = stored(vectors.nearest_to(base, df, columns=[]), tmp_path / "all")
+    assert sum(map(len, files)) == 80 * 3999
+    assert sum((np.diff(x) < 0).sum() for x in files) <= 3 * len(files)
+    table = vectors.joined(df, -2.0, block_rows=100, whole=True).first.table
+    assert table.select("cell").distinct().count() == 1 and table.count() <= 60
