@@ -182,3 +182,33 @@ def test_every_pair_in_full_blocks(spark, tmp_path):
     assert sum((np.diff(x) < 0).sum() for x in files) <= 3 * len(files)
     table = vectors.joined(df, -2.0, block_rows=100, whole=True).first.table
     assert table.select("cell").distinct().count() == 1 and table.count() <= 60
+
+
+def test_sizes_of_blocks_make_no_lists(spark):
+    """Numbers and least ids of similar articles and of courses, those of the lists, without a row for each similar article."""
+    from pyspark.sql import functions as F
+
+    from corpuslens.plans import jobs
+
+    n = F.col("id").cast("int")
+    df = cloud(spark, 2400).select("id", F.when(n % 5 != 1, F.concat(F.lit("c"), n % 5)).alias("koza_id"), F.lit("t").alias("title"), "content_embedding")
+    df = df.union(df.where("id < '00200'").selectExpr("concat('z', id)", "koza_id", "title", "content_embedding")).union(df.selectExpr("concat('y', id)", "koza_id", "title", "CAST(NULL AS array<double>)"))
+    base = df.where("try_cast(id AS INT) % 50 = 0")
+    got = {(r.base_id, r.type): (r.n, r.first) for r in jobs.neighbour_sizes(df, base, 0.2).collect()}
+    lists = jobs.neighbour_blocks(df, base, 0.2, 10**6).withColumn("of", F.from_json("data", "array<struct<id:string,koza_id:string>>")).collect()
+    known = lambda r: [x.koza_id for x in r.of if x.koza_id is not None]
+    want = {(r.base_id, r.type): (1, None) if r.type == "stats" else (len(r.of), min(x.id for x in r.of)) if r.type == "high_similarity" else (len(known(r)), min(known(r))) for r in lists}
+    assert got == want and len(got) == 3 * 48
+    assert {r.type for r in jobs.neighbour_sizes(df, base, 1.1).collect()} == {"stats", "course_similarities"}
+    # of more than 10,000 similar ones, before each was moved several times
+    assert sum(n for (_, kind), (n, _) in got.items() if kind == "high_similarity") > 10_000
+    assert rows_moved(spark, jobs.neighbour_sizes(df, base, 0.2)) < 1_000
+
+
+def test_courses_that_nobody_knows_are_not_counted(spark):
+    """As count(DISTINCT ...) and min(...) of SQL do."""
+    from corpuslens.plans import jobs
+
+    df = spark.createDataFrame([("0", "x", [1.0, 0.0]), ("1", None, [1.0, 0.1]), ("2", "b", [0.0, 1.0]), ("50", None, [1.0, 0.2])], "id string, koza_id string, content_embedding array<double>")
+    got = {(r.base_id, r.type): (r.n, r.first) for r in jobs.neighbour_sizes(df, df.where("id IN ('0', '50')"), 0.9).collect()}
+    assert got == {("0", "stats"): (1, None), ("0", "high_similarity"): (2, "1"), ("0", "course_similarities"): (1, "b"), ("50", "stats"): (1, None), ("50", "high_similarity"): (2, "0"), ("50", "course_similarities"): (2, "b")}
